@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import ONE_BLOCK, Blocks, shifted
+from tickloom.operators.ordered import BLOCK, ONE_BLOCK, Blocks, asof, island_ids, running, shifted
 
 
 def aligned_grid(spans: DataFrame, start: str, end: str, step: int, out: str) -> DataFrame:
@@ -23,3 +25,332 @@ def mid_change_path(
     """Rows at which the mid differs from the previous row of the key; the first row always stays."""
     d = shifted(df, keys, ts, {"_prev": (F.col(mid), 1)}, blocks)
     return d.where(~F.col(mid).eqNullSafe(F.col("_prev"))).drop("_prev")
+
+
+def both_up_segments(
+    df: DataFrame, keys: Sequence[str], ts: str, stream: str, is_open: str, streams: Sequence[str],
+    blocks: Blocks = ONE_BLOCK,
+) -> DataFrame:
+    """Maximal spans during which every stream is up, closed by the row that takes one down."""
+    ups = {f"_up_{s}": ("last", F.when(F.col(stream) == s, F.col(is_open))) for s in streams}
+    d = running(df, keys, ts, ups, blocks)
+    up = F.lit(True)
+    for s in streams:
+        up = up & F.coalesce(F.col(f"_up_{s}"), F.lit(False))
+    d = d.withColumn("_up", up)
+    d = shifted(d, keys, ts, {"_next_ts": (F.col(ts), -1), "_next_stream": (F.col(stream), -1)}, blocks)
+    d = island_ids(d, keys, ts, lambda prev: F.col("_up") != prev("_up"), ["_up"], "_run", blocks)
+    reason = F.when(F.col("_next_ts").isNull(), "end_of_data").otherwise(F.concat(F.col("_next_stream"), F.lit("_down")))
+    return (
+        d.where("_up")
+        .groupBy(*keys, "_run")
+        .agg(
+            F.min(ts).alias("start_us"),
+            F.max(F.coalesce("_next_ts", ts)).alias("end_us"),
+            F.max_by(reason, ts).alias("close_reason"),
+            F.count("*").alias("n"),
+        )
+        .drop("_run")
+    )
+
+
+def valid_run_ids(
+    df: DataFrame, keys: Sequence[str], ts: str, valid: Column, out: str, blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
+    """Number the runs of valid rows inside each key from 1; NULL on invalid rows."""
+    d = df.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    d = shifted(d, keys, ts, {"_prev_ok": (F.col("_ok"), 1)}, blocks)
+    start = F.col("_ok") & ~F.coalesce("_prev_ok", F.lit(False))
+    d = running(d, keys, ts, {"_run": ("sum", start.cast("bigint"))}, blocks)
+    return d.withColumn(out, F.when(F.col("_ok"), F.col("_run"))).drop("_ok", "_prev_ok", "_run")
+
+
+def level_intervals(levels: DataFrame, keys: Sequence[str], ts: str, blocks: Blocks = ONE_BLOCK) -> DataFrame:
+    """Price-level change log as intervals [valid_from, valid_to); a zero quantity only ends one."""
+    d = shifted(levels, [*keys, "side", "px"], ts, {"valid_to": (F.col(ts), -1)}, blocks)
+    return d.where("qty > 0").select(*keys, "side", "px", "qty", F.col(ts).alias("valid_from"), "valid_to")
+
+
+def book_on_grid(
+    intervals: DataFrame, ends: DataFrame, keys: Sequence[str], step: int, out: str = "g_us"
+) -> DataFrame:
+    """Live levels at every grid instant: all changes with stamp <= t. Each interval lists its own
+    instants, so nothing is range-joined. ``ends`` gives the last instant (``end_us``) per key."""
+    d = intervals.join(ends, list(keys))
+    first = (F.ceil(F.col("valid_from") / F.lit(step)) * F.lit(step)).cast("bigint")
+    last = F.least(F.coalesce(F.col("valid_to") - 1, F.col("end_us")), F.col("end_us"))
+    d = d.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    d = d.withColumn(out, F.explode(F.sequence("_first", "_last", F.lit(step))))
+    return d.select(*keys, out, "side", "px", "qty")
+
+
+def top_levels(state: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Best ``n`` levels of each side per instant as arrays ordered from the touch outward."""
+    best_first = F.when(F.col("side") == "bid", -F.col("px")).otherwise(F.col("px"))
+    w = Window.partitionBy(*keys, "side").orderBy(best_first)
+    d = state.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+
+    def arr(side: str, c: str) -> Column:
+        got = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("_rank", c))))
+        return F.transform(got, lambda x: x[c])
+
+    return d.groupBy(*keys).agg(
+        *[arr(s, c).alias(f"{s}_{c}") for s in ("bid", "ask") for c in ("px", "qty")]
+    )
+
+
+def bbo(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best prices and sizes, spread, doubled mid and validity per instant."""
+    bid = F.col("side") == "bid"
+    b, a = F.when(bid, F.col("px")), F.when(~bid, F.col("px"))
+    d = state.where("qty > 0").groupBy(*keys).agg(
+        F.max(b).alias("best_bid"),
+        F.max_by(F.col("qty"), b).alias("bid_qty"),
+        F.min(a).alias("best_ask"),
+        F.min_by(F.col("qty"), a).alias("ask_qty"),
+    )
+    both = F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull()
+    d = d.withColumns(
+        {
+            "bid_qty": F.when(F.col("best_bid").isNotNull(), F.col("bid_qty")),
+            "ask_qty": F.when(F.col("best_ask").isNotNull(), F.col("ask_qty")),
+            "spread_ticks": F.when(both, F.col("best_ask") - F.col("best_bid")),
+            "mid_x2": F.when(both, F.col("best_ask") + F.col("best_bid")),
+        }
+    )
+    return d.withColumn("validity", book_validity(F.col("best_bid"), F.col("best_ask")))
+
+
+def book_validity(bid: Column, ask: Column) -> Column:
+    return (
+        F.when(bid.isNull() & ask.isNull(), "empty")
+        .when(bid.isNull(), "empty_bid")
+        .when(ask.isNull(), "empty_ask")
+        .when(bid >= ask, "crossed")
+        .otherwise("valid")
+    )
+
+
+def trade_buckets(prints: DataFrame, grid: DataFrame, keys: Sequence[str], ts: str, at: str, step: int) -> DataFrame:
+    """Prints summed into buckets (g - step, g] and laid on the grid; empty buckets are zero."""
+    g = (F.ceil(F.col(ts) / F.lit(step)) * F.lit(step)).cast("bigint")
+    buy, qty = F.col("is_buy"), F.col("qty")
+
+    def total(v: Column, when: Column) -> Column:
+        return F.sum(F.when(when, v).otherwise(F.lit(0)))
+
+    b = prints.groupBy(*keys, g.alias(at)).agg(
+        total(qty, buy).alias("buy_qty"),
+        total(qty, ~buy).alias("sell_qty"),
+        total(qty * F.col("px"), buy).alias("buy_notional"),
+        total(qty * F.col("px"), ~buy).alias("sell_notional"),
+        F.count_if(buy).alias("buy_count"),
+        F.count_if(~buy).alias("sell_count"),
+        F.max(ts).alias("last_trade_us"),
+    )
+    out = grid.select(*keys, at).join(b, [*keys, at], "left")
+    sums = [c for c in b.columns if c not in (*keys, at, "last_trade_us")]
+    return out.na.fill(0, sums)
+
+
+def _sweep_side(rank_best: np.ndarray, px: np.ndarray, qty: np.ndarray, mine: np.ndarray) -> dict[str, np.ndarray]:
+    """Touch, ten-level depth and pre-update rank of one side after every row, price by price."""
+    n = len(px)
+    steps = np.arange(n)
+    best = np.zeros(n, dtype="int64")
+    best_qty = np.zeros(n, dtype="int64")
+    depth = np.zeros(n, dtype="int64")
+    live = np.zeros(n, dtype="int64")
+    before_count = np.zeros(n, dtype="int64")
+    rank = np.full(n, -1, dtype="int64")
+    old = np.zeros(n, dtype="int64")
+    for price in rank_best:
+        rows = np.flatnonzero(mine & (px == price))
+        at = np.searchsorted(rows, steps, side="right") - 1
+        after = np.where(at >= 0, qty[rows[np.maximum(at, 0)]], 0)
+        before = np.concatenate(([0], after[:-1]))
+        rank[rows] = before_count[rows]
+        old[rows] = before[rows]
+        on = after > 0
+        first = on & (live == 0)
+        best[first], best_qty[first] = price, after[first]
+        depth += np.where(live < 10, after, 0)
+        live += on
+        before_count += before > 0
+    return {"best": best, "qty": best_qty, "depth": depth, "live": live, "rank": rank, "old": old}
+
+
+SWEPT = (
+    "best_bid bigint, bid_qty bigint, bid_depth bigint, bid_levels bigint, "
+    "best_ask bigint, ask_qty bigint, ask_depth bigint, ask_levels bigint, rank bigint, old_qty bigint"
+)
+
+
+def book_after_updates(
+    levels: DataFrame, keys: Sequence[str], ts: str, ord_: str, blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
+    """Every level update with the book right after it and its price's rank right before it.
+
+    Work is split by (key, block); a block starts from the last quantity of each live level of the
+    earlier blocks, which is one row per level, and is swept with numpy.
+    """
+    cols = [*keys, ts, ord_, "side", "px", "qty"]
+    d = blocks.assign(levels.select(*cols), ts).withColumn("_carry", F.lit(False))
+    if not blocks.single:
+        per_level = d.groupBy(*keys, "side", "px", BLOCK).agg(
+            F.max_by("qty", F.struct(ts, ord_)).alias("qty"), F.max(ts).alias(ts), F.max(ord_).alias(ord_)
+        )
+        w = Window.partitionBy(*keys, "side", "px").orderBy(BLOCK)
+        nxt = F.coalesce(F.lead(BLOCK).over(w), F.lit(len(blocks.splits)))
+        carried = (
+            per_level.withColumn("_to", nxt)
+            .where(F.col("qty") > 0)
+            .where(F.col("_to") > F.col(BLOCK))
+            .withColumn(BLOCK, F.explode(F.sequence(F.col(BLOCK) + 1, F.col("_to"))))
+            .select(*cols, BLOCK, F.lit(True).alias("_carry"))
+        )
+        d = d.unionByName(carried)
+    schema = ", ".join(f"{c} {t}" for c, t in levels.select(*cols).dtypes) + ", " + SWEPT
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_carry", ts, ord_], ascending=[False, True, True], kind="stable")
+        px, qty = pdf["px"].to_numpy(), pdf["qty"].to_numpy()
+        is_bid = (pdf["side"] == "bid").to_numpy()
+        bid = _sweep_side(np.unique(px[is_bid])[::-1], px, qty, is_bid)
+        ask = _sweep_side(np.unique(px[~is_bid]), px, qty, ~is_bid)
+        out = pdf[cols].copy()
+        for side, got in (("bid", bid), ("ask", ask)):
+            some = got["live"] > 0
+            out[f"best_{side}"] = pd.array(got["best"], dtype="Int64")
+            out.loc[~some, f"best_{side}"] = pd.NA
+            out[f"{side}_qty"] = got["qty"]
+            out[f"{side}_depth"] = got["depth"]
+            out[f"{side}_levels"] = got["live"]
+        out["rank"] = np.where(is_bid, bid["rank"], ask["rank"])
+        out["old_qty"] = np.where(is_bid, bid["old"], ask["old"])
+        return out[~pdf["_carry"].to_numpy()]
+
+    return d.groupBy(*keys, BLOCK).applyInPandas(sweep, schema)
+
+
+def touch_path(book: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """One row per update and side: touch price and size (NULL price when the side is empty)."""
+    sides = F.array(
+        F.struct(F.lit("bid").alias("side"), F.col("best_bid").alias("px"), F.col("bid_qty").alias("qty")),
+        F.struct(F.lit("ask").alias("side"), F.col("best_ask").alias("px"), F.col("ask_qty").alias("qty")),
+    )
+    return book.select(*keys, ts, F.inline(sides))
+
+
+def episode_rows(touch: DataFrame, keys: Sequence[str], ts: str, blocks: Blocks = ONE_BLOCK) -> DataFrame:
+    """Touch rows with the episode (run of one best price) they belong to and their size change.
+
+    Adds ``episode``, ``delta`` (0 on the first row) and the next row's stamp and price.
+    """
+    side_keys = [*keys, "side"]
+    d = island_ids(touch, side_keys, ts, lambda prev: ~F.col("px").eqNullSafe(prev("px")), ["px"], "episode", blocks)
+    moves = {
+        "_pe": (F.col("episode"), 1), "_pq": (F.col("qty"), 1),
+        "next_ts": (F.col(ts), -1), "next_px": (F.col("px"), -1), "_ne": (F.col("episode"), -1),
+    }
+    d = shifted(d, side_keys, ts, moves, blocks)
+    same = F.col("_pe") == F.col("episode")
+    d = d.withColumn("delta", F.when(same, F.col("qty") - F.col("_pq")).otherwise(F.lit(0)))
+    return d.withColumn("last_row", F.col("_ne").isNull() | (F.col("_ne") != F.col("episode"))).drop("_pe", "_pq", "_ne")
+
+
+def episode_flow(rows: DataFrame, keys: Sequence[str], ts: str, blocks: Blocks = ONE_BLOCK) -> DataFrame:
+    """Per row: size added, removed, and added after an earlier removal in the same episode."""
+    delta = F.col("delta")
+    d = running(
+        rows, [*keys, "side", "episode"], ts, {"_removed": ("sum", (delta < 0).cast("bigint"))}, blocks, exclusive=True
+    )
+    add = F.greatest(delta, F.lit(0))
+    again = F.coalesce("_removed", F.lit(0)) > 0
+    return d.withColumns(
+        {
+            "added": add,
+            "removed": F.greatest(-delta, F.lit(0)),
+            "replenished": F.when(again, add).otherwise(F.lit(0)),
+        }
+    ).drop("_removed")
+
+
+def level_episodes(flow: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """One row per episode of a present touch: lifetime, sizes, flows and why it ended."""
+    bid = F.col("side") == "bid"
+    px, nxt = F.col("px"), F.col("next_px")
+    better = F.when(bid, nxt > px).otherwise(nxt < px)
+    reason = (
+        F.when(F.col("next_ts").isNull(), "segment_end")
+        .when(nxt.isNull(), "book_side_empty")
+        .when(better, "improved")
+        .otherwise("stepped_away")
+    )
+    return flow.where("px IS NOT NULL").groupBy(*keys, "side", "episode", "px").agg(
+        F.min(ts).alias("start_us"),
+        F.max(F.when(F.col("last_row"), F.coalesce("next_ts", ts))).alias("end_us"),
+        F.min_by("qty", ts).alias("initial_qty"),
+        F.max_by("qty", ts).alias("final_qty"),
+        F.max("qty").alias("max_qty"),
+        F.min("qty").alias("min_qty"),
+        F.sum("added").alias("cum_add"),
+        F.sum("removed").alias("cum_remove"),
+        F.sum("replenished").alias("cum_replenish"),
+        F.count_if(F.col("added") > 0).alias("add_events"),
+        F.count_if(F.col("removed") > 0).alias("remove_events"),
+        F.count_if(F.col("replenished") > 0).alias("replenish_events"),
+        F.max(F.when(F.col("last_row"), reason)).alias("close_reason"),
+    )
+
+
+def episode_prints(
+    prints: DataFrame, rows: DataFrame, keys: Sequence[str], ts: str, blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
+    """Aggressive prints with the episode of the touch they hit: at the quote, through it, or outside."""
+    side = F.when(F.col("is_buy"), "ask").otherwise("bid")
+    p = prints.withColumn("side", side)
+    got = asof(p, rows, [*keys, "side"], ts, ts, {"episode": "episode", "px": "touch_px"}, blocks)
+    beyond = F.when(F.col("side") == "bid", F.col("px") < F.col("touch_px")).otherwise(F.col("px") > F.col("touch_px"))
+    kind = F.when(F.col("px") == F.col("touch_px"), "at_quote").when(beyond, "through").otherwise("outside")
+    return got.where("touch_px IS NOT NULL").withColumn("kind", kind)
+
+
+def explained_removals(
+    flow: DataFrame, hits: DataFrame, keys: Sequence[str], ts: str, blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
+    """Removals split into the part earlier prints at the level account for and the rest.
+
+    The unexplained total is the running maximum of (removed - printed), floored at zero, which
+    equals drawing every removal from the pool of unconsumed prints in event order.
+    """
+    cols = [*keys, "side", "episode"]
+    a = flow.where("removed > 0").select(*cols, ts, F.col("removed"), F.lit(0).cast("bigint").alias("printed"), F.lit(1).alias("_k"))
+    b = hits.where("kind = 'at_quote'").select(*cols, ts, F.lit(0).cast("bigint").alias("removed"), F.col("qty").alias("printed"), F.lit(0).alias("_k"))
+    d = running(
+        a.unionByName(b), cols, ts,
+        {"_r": ("sum", F.col("removed")), "_p": ("sum", F.col("printed"))}, blocks, ["_k"],
+    )
+    short = F.when(F.col("removed") > 0, F.col("_r") - F.col("_p"))
+    d = running(d, cols, ts, {"_u": ("max", short)}, blocks, ["_k"])
+    d = d.withColumn("_u", F.greatest(F.coalesce("_u", F.lit(0)), F.lit(0)))
+    d = shifted(d, cols, ts, {"_pu": (F.col("_u"), 1)}, blocks, ["_k"])
+    unexplained = F.col("_u") - F.coalesce("_pu", F.lit(0))
+    d = d.where("removed > 0").withColumn("unexplained", unexplained)
+    return d.withColumn("explained", F.col("removed") - F.col("unexplained")).select(
+        *cols, ts, "removed", "explained", "unexplained"
+    )
+
+
+def reconnect_gaps(df: DataFrame, keys: Sequence[str], ts: str, snapshot: str, blocks: Blocks = ONE_BLOCK) -> DataFrame:
+    """Outage before each replacement snapshot (last message to snapshot), rolled up per key."""
+    d = shifted(df, keys, ts, {"_prev": (F.col(ts), 1)}, blocks)
+    gap = F.when(F.col(snapshot) & F.col("_prev").isNotNull(), F.col(ts) - F.col("_prev"))
+    span = F.max(ts) - F.min(ts)
+    d = d.withColumn("_gap", gap)
+    return d.groupBy(*keys).agg(
+        F.count("_gap").alias("reconnects"),
+        F.coalesce(F.sum("_gap"), F.lit(0)).alias("gap_us"),
+        F.max("_gap").alias("max_gap_us"),
+        (F.lit(100.0) * (span - F.coalesce(F.sum("_gap"), F.lit(0))) / span).alias("valid_pct"),
+    )
