@@ -142,4 +142,18 @@ VIEWS: dict[str, str] = {
         FROM (SELECT seg, ts_us, ord, qty, CASE WHEN is_buy THEN 'ask' ELSE 'bid' END AS side,
                      CASE WHEN is_buy THEN 1001 + ord % 3 ELSE 1000 - ord % 3 END AS px FROM prints) p
         ASOF JOIN touch_flow t ON p.seg = t.seg AND p.side = t.side AND p.ts_us >= t.ts_us WHERE t.px IS NOT NULL""",
+    "fill_prints": "SELECT * REPLACE (px // 25 AS px), CASE WHEN is_buy THEN 'ask' ELSE 'bid' END AS side FROM prints",
+    "fills": f"""
+        WITH o AS (SELECT * REPLACE (px // 25 AS px, (ahead % 40) * alpha // 100 AS ahead) FROM orders_p, (SELECT unnest([0, 25, 50, 75, 100])::BIGINT AS alpha)),
+        w AS (SELECT o.*, p.ts_us AS pts, p.ord AS pord, p.px AS ppx,
+                     sum(CASE WHEN p.px = o.px THEN p.qty ELSE 0 END) OVER (PARTITION BY o.oid, o.alpha ORDER BY p.ts_us, p.ord) AS cum
+              FROM o LEFT JOIN fill_prints p ON p.seg = o.seg AND p.side = o.side AND p.ts_us > o.place_us AND p.ts_us < o.end_us),
+        a AS (SELECT * EXCLUDE (pts, pord, ppx, cum), min(pts) FILTER (WHERE ppx = px AND cum >= ahead + qty) AS f2,
+                     min(pts) FILTER (WHERE CASE WHEN side = 'bid' THEN ppx < px ELSE ppx > px END) AS th FROM w GROUP BY ALL),
+        b AS (SELECT *, least(th, f2) AS fill_us, px * 25 AS price, CASE WHEN th IS NOT NULL AND (f2 IS NULL OR th < f2) THEN 'through' WHEN f2 IS NOT NULL THEN 'at_quote' END AS mechanism FROM a),
+        z AS (SELECT seg, max(ts_us) AS last_us FROM ev GROUP BY 1), c AS (SELECT b.*, z.last_us FROM b JOIN z USING (seg))
+        SELECT c.* EXCLUDE (f2, th), c.fill_us IS NOT NULL AS filled, c.place_us // {SPAN} AS sid,
+               CASE WHEN c.fill_us + {HOUR} <= last_us THEN CASE WHEN side = 'bid' THEN 1 ELSE -1 END * (p1.mid_x2 - 2 * price) END AS m1,
+               CASE WHEN c.fill_us + {6 * HOUR} <= last_us THEN CASE WHEN side = 'bid' THEN 1 ELSE -1 END * (p6.mid_x2 - 2 * price) END AS m6
+        FROM c ASOF LEFT JOIN mid_path p1 ON p1.seg = c.seg AND c.fill_us + {HOUR} >= p1.ts_us ASOF LEFT JOIN mid_path p6 ON p6.seg = c.seg AND c.fill_us + {6 * HOUR} >= p6.ts_us""",
 }
