@@ -156,4 +156,12 @@ VIEWS: dict[str, str] = {
                CASE WHEN c.fill_us + {HOUR} <= last_us THEN CASE WHEN side = 'bid' THEN 1 ELSE -1 END * (p1.mid_x2 - 2 * price) END AS m1,
                CASE WHEN c.fill_us + {6 * HOUR} <= last_us THEN CASE WHEN side = 'bid' THEN 1 ELSE -1 END * (p6.mid_x2 - 2 * price) END AS m6
         FROM c ASOF LEFT JOIN mid_path p1 ON p1.seg = c.seg AND c.fill_us + {HOUR} >= p1.ts_us ASOF LEFT JOIN mid_path p6 ON p6.seg = c.seg AND c.fill_us + {6 * HOUR} >= p6.ts_us""",
+    "study_rows": f"""
+        SELECT m.*, row_number() OVER (PARTITION BY seg, sid ORDER BY g_us) AS pos FROM marks m""",
+    "study": f"""
+        WITH l AS (SELECT h.h AS horizon, seg, sid, g_us // {24 * HOUR} AS day, g_us, (g_us // {HOUR}) * 10 + seg AS uid, sig, m1, mid_x2, (pos - 1) % h.h = 0 AS anchor,
+                          CASE h.h WHEN 1 THEN m1 WHEN 6 THEN m6 ELSE m24 END AS y FROM study_rows, (SELECT unnest([1, 6, 24])::BIGINT AS h) h)
+        SELECT *, floor((row_number() OVER (PARTITION BY horizon ORDER BY sig, uid) - 1) * 10 / count(*) OVER (PARTITION BY horizon))::BIGINT AS decile,
+               y - avg(y) OVER (PARTITION BY horizon, day) AS y_d, (y - m1) - avg(y - m1) OVER (PARTITION BY horizon, day) AS inc_d
+        FROM l WHERE sig IS NOT NULL AND y IS NOT NULL""",
 }

@@ -270,3 +270,7 @@ class Views(Tables):
     def value_blocks(self, df: DataFrame, col: str, table: str = "lineitem", per_row: float = 1.0) -> Blocks:
         """Blocks of a value axis, for ranks and quantiles; sampled only when the source is large."""
         return self.blocks(df, col, table, per_row)
+
+    def cut(self, df: DataFrame, table: str, per_row: float = 1.0):
+        """Column -> Blocks of its values in ``df``, whose rows are bounded by a source table."""
+        return lambda c: self.blocks(df, c, table, per_row)
