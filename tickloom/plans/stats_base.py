@@ -257,19 +257,19 @@ def episode_frame(v):
 
 @query(
     "survival_summary",
-    f"""SELECT side, seg, count(*) AS episodes, quantile_cont(duration / 1e6, 0.5) AS median_s, quantile_cont(duration / 1e6, 0.9) AS p90_s, sum(removed)::BIGINT AS removed, sum(replenished) / nullif(sum(removed), 0) AS replenish_ratio,
+    f"""SELECT side, seg, count(*) AS episodes, quantile_cont(duration / 3.6e9, 0.5) AS median_h, quantile_cont(duration / 3.6e9, 0.9) AS p90_h, sum(removed)::BIGINT AS removed, sum(replenished) / nullif(sum(removed), 0) AS replenish_ratio,
                count(*) FILTER (WHERE duration < {HOUR}) AS under_1h, count(*) FILTER (WHERE duration >= {HOUR} AND duration < {6 * HOUR}) AS h1_to_6, count(*) FILTER (WHERE duration >= {6 * HOUR}) AS over_6h
         FROM ({EPI}) GROUP BY 1, 2""",
-    dbl="median_s p90_s replenish_ratio",
+    dbl="median_h p90_h replenish_ratio",
 )
 def survival_summary(v):
-    e = episode_frame(v).withColumn("duration_s", F.col("duration") / 1e6)
+    e = episode_frame(v).withColumn("duration_h", F.col("duration") / 3.6e9)
     dur = F.col("duration")
     aggs = {
         "episodes": F.count("*"), "removed": F.sum("cum_remove"), "replenish_ratio": F.try_divide(F.sum("cum_replenish").cast("double"), F.nullif(F.sum("cum_remove"), F.lit(0)).cast("double")),
         "under_1h": F.count_if(dur < HOUR), "h1_to_6": F.count_if((dur >= HOUR) & (dur < 6 * HOUR)), "over_6h": F.count_if(dur >= 6 * HOUR),
     }
-    return st.grouped(e, ["side", "seg"], aggs, {"median_s": ("duration_s", 0.5), "p90_s": ("duration_s", 0.9)}, v.cut(e, "events", 2))
+    return st.grouped(e, ["side", "seg"], aggs, {"median_h": ("duration_h", 0.5), "p90_h": ("duration_h", 0.9)}, v.cut(e, "events", 2))
 
 
 @query(
