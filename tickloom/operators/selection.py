@@ -100,6 +100,18 @@ def stratified_first(df: DataFrame, strata: Sequence[str], key: Column, n: int)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def evenly_spaced(
+    df: DataFrame, keys: Sequence[str], order: str, cap: int, blocks: Blocks = ONE_BLOCK, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Rows at floor(i * (n - 1) / (cap - 1)), i = 0..cap-1: a sample spread over the whole key."""
+    d = row_numbers(df, keys, order, "_r", blocks, ties)
+    d = attach(d, df.groupBy(*keys).agg((F.count("*") - 1).alias("_last")), keys)
+    at = F.col("_r") - 1
+    i = F.ceil(at * (cap - 1) / F.greatest("_last", F.lit(1)))
+    chosen = (i <= cap - 1) & (F.floor(i * F.col("_last") / float(cap - 1)) == at)
+    return d.where(chosen).drop("_r", "_last")
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row of every key; a map-side-combined minimum, so a hot key does not gather."""
     rest = [c for c in df.columns if c not in keys]
@@ -112,5 +124,3 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
     """Rank small report tables by several mixed-direction keys."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
-
-__all__ = ["first_by_key", "ranked", "row_numbers", "spaced", "stratified_first", "tail_select"]
