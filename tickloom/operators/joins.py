@@ -35,31 +35,34 @@ def threshold_fills(
     """When resting orders fill against prints in the open window (place_us, end_us).
 
     A print beyond the price fills at once. At the price, the order starts to fill when the volume
-    since placement exceeds ``ahead`` and is done at ``ahead + qty``; the volume is a difference of
-    running sums, so orders are never paired with prints. Ties go to the earlier ordinal.
-    ``prints`` carries the book side it hits. Adds first_us, full_us, filled, mechanism, state.
+    since placement exceeds ``ahead`` and is done at ``ahead + qty``: with the running volume V of the
+    price level, at the first print whose V reaches V(placement) + ahead + 1 or + qty. That is an
+    as-of lookup on the volume axis, so orders are never paired with prints. Ties go to the earlier
+    ordinal. ``prints`` carries the book side it hits. Adds first_us, full_us, filled, mechanism, state.
     """
     both = [*keys, "side"]
     level = [*both, "px"]
     cum = running(prints, level, "ts_us", {"cum": ("sum", F.col("qty"))}, blocks, ["ord"])
+    volume = ONE_BLOCK if blocks.single else Blocks.fit(cum, "cum")
     d = asof(orders, cum, level, "place_us", "ts_us", {"cum": "_base"}, blocks, ["ord"])
     d = asof(d, cum, level, "end_us", "ts_us", {"cum": "_upto"}, blocks, ["ord"], strict=True)
-    d = d.withColumns({"_base": F.coalesce("_base", F.lit(0)), "_upto": F.coalesce("_upto", F.lit(0))})
-    end = F.col("end_us")
-    need = F.col("_base") + F.col("ahead")
-    common = {"qid": oid, "after": "place_us", "until": end, "ts": "ts_us", "blocks": blocks, "ord_": "ord"}
-    d = first_beyond(d, cum, level, bound=need, sign=F.lit(1), value="cum", out="_first", **common)
-    d = first_beyond(d, cum, level, bound=need + F.col("qty") - 1, sign=F.lit(1), value="cum", out="_full", **common)
-    d = first_beyond(d, prints, both, bound=F.col("px"), sign=-direction(), value="px", out="_thru", **common)
+    need = F.coalesce(F.col("_base"), F.lit(0)) + F.col("ahead")
+    d = d.withColumns({"_want_first": need + 1, "_want_full": need + F.col("qty")})
+    for c in ("_first", "_full"):
+        d = asof(d, cum, level, f"_want{c}", "cum", {"ts_us": c, "ord": f"{c}_ord"}, volume, forward=True)
+        d = d.withColumn(c, F.when(F.col(c) < F.col("end_us"), F.col(c)))
+    d = first_beyond(
+        d, prints, both, oid, "place_us", F.col("end_us"), F.col("px"), -direction(), "ts_us", "px", "_thru", blocks, "ord"
+    )
 
     def stamp(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("t"), F.col(f"{c}_ord").alias("o")))
 
     thru, first, full = stamp("_thru"), stamp("_first"), stamp("_full")
     by_thru = thru.isNotNull() & (full.isNull() | (thru < full))
-    traded = F.least(F.greatest(F.col("_upto") - need, F.lit(0)), F.col("qty"))
+    over = F.coalesce(F.col("_upto"), F.lit(0)) - (F.col("_want_first") - 1)
     done = by_thru | full.isNotNull()
-    filled = F.when(done, F.col("qty")).otherwise(traded)
+    filled = F.when(done, F.col("qty")).otherwise(F.least(F.greatest(over, F.lit(0)), F.col("qty")))
     d = d.withColumns(
         {
             "first_us": F.least(thru, first)["t"],
@@ -69,7 +72,7 @@ def threshold_fills(
             "state": F.when(done, "full").when(filled > 0, "partial").otherwise("unfilled"),
         }
     )
-    return d.drop("_base", "_upto", *[f"{c}{x}" for c in ("_first", "_full", "_thru") for x in ("", "_ord")])
+    return d.drop("_base", "_upto", "_want_first", "_want_full", *[f"{c}{x}" for c in ("_first", "_full", "_thru") for x in ("", "_ord")])
 
 
 def lifetime_grid(

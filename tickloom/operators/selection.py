@@ -90,8 +90,12 @@ def tail_select(
     df: DataFrame, keys: Sequence[str], score: str, tail: float, blocks: Blocks = ONE_BLOCK
 ) -> DataFrame:
     """Rows at or above the (1 - tail) quantile of their own fold."""
-    cut = exact_quantiles(df.where(F.col(score).isNotNull()), keys, score, {"_cut": 1 - tail}, blocks)
-    return attach(df, cut, keys).where(F.col(score) >= F.col("_cut")).drop("_cut")
+    if blocks.single:
+        d = df.withColumn("_cut", F.percentile(F.col(score), F.lit(1 - tail)).over(Window.partitionBy(*keys)))
+    else:
+        cut = exact_quantiles(df.where(F.col(score).isNotNull()), keys, score, {"_cut": 1 - tail}, blocks)
+        d = attach(df, cut, keys)
+    return d.where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
 def stratified_first(df: DataFrame, strata: Sequence[str], key: Column, n: int) -> DataFrame:

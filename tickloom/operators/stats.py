@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import (
@@ -23,13 +23,23 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(table, list(keys), "left") if keys else df.crossJoin(F.broadcast(table))
 
 
-def add_standard_scores(df: DataFrame, cols: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], blocks: Blocks) -> DataFrame:
+    """Rows with aggregates of their whole key. A size-checked frame (one block) reads its input once
+    through a window; a larger one pre-aggregates and joins, so a hot key never gathers in one task."""
+    if blocks.single:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({o: a.over(w) for o, a in aggs.items()})
+    return attach(df, df.groupBy(*keys).agg(*[a.alias(o) for o, a in aggs.items()]), keys)
+
+
+def add_standard_scores(
+    df: DataFrame, cols: dict[str, str], keys: Sequence[str] = (), blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
     """Population z-scores (column -> output) over each key."""
-    aggs = []
+    aggs = {}
     for c in cols:
-        aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
-    stats = df.groupBy(*keys).agg(*aggs)
-    d = attach(df, stats, keys)
+        aggs |= {f"_m_{c}": F.avg(c), f"_s_{c}": F.stddev_pop(c)}
+    d = with_group_stats(df, keys, aggs, blocks)
     z = {o: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))) for c, o in cols.items()}
     return d.withColumns(z).drop(*[f"_{p}_{c}" for p in "ms" for c in cols])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import (
@@ -18,7 +18,7 @@ from tickloom.operators.ordered import (
     running,
     shifted,
 )
-from tickloom.operators.stats import attach
+from tickloom.operators.stats import attach, with_group_stats
 
 
 def trailing_sums(
@@ -101,10 +101,9 @@ def backward_move(
     return d.withColumn(out, F.col(value) - F.col("_old")).drop("_old")
 
 
-def demean(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
-    """Value minus the mean of its group (column -> output); means are pre-aggregated."""
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    d = attach(df, means, keys)
+def demean(df: DataFrame, keys: Sequence[str], cols: dict[str, str], blocks: Blocks = ONE_BLOCK) -> DataFrame:
+    """Value minus the mean of its group (column -> output)."""
+    d = with_group_stats(df, keys, {f"_m_{c}": F.avg(c) for c in cols}, blocks)
     return d.withColumns({o: F.col(c) - F.col(f"_m_{c}") for c, o in cols.items()}).drop(*[f"_m_{c}" for c in cols])
 
 
@@ -121,7 +120,7 @@ def rank_deciles(
     """floor((rank - 1) * n / rows) by unique rank, ties broken by ``tie``; NULL values get NULL."""
     known = df.where(F.col(value).isNotNull())
     d = row_numbers(known, keys, value, "_r", blocks, [tie])
-    d = attach(d, known.groupBy(*keys).agg(F.count("*").alias("_rows")), keys)
+    d = with_group_stats(d, keys, {"_rows": F.count(F.lit(1))}, blocks)
     d = d.withColumn(out, F.floor((F.col("_r") - 1) * n / F.col("_rows"))).drop("_r", "_rows")
     return d.unionByName(df.where(F.col(value).isNull()), allowMissingColumns=True)
 
@@ -131,9 +130,12 @@ def quantile_buckets(
 ) -> DataFrame:
     """Right-closed buckets between linear quantile edges, repeated edges merged; per key, from 0."""
     probs = {f"_e{i}": i / n for i in range(n + 1)}
-    edges = exact_quantiles(df.where(F.col(value).isNotNull()), keys, value, probs, blocks)
-    edges = edges.select(*keys, F.array_distinct(F.array(*probs)).alias("_edges"))
-    d = attach(df, edges, keys)
+    if blocks.single:
+        all_edges = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs.values()]))
+        d = df.withColumn("_edges", F.array_distinct(all_edges.over(Window.partitionBy(*keys))))
+    else:
+        edges = exact_quantiles(df.where(F.col(value).isNotNull()), keys, value, probs, blocks)
+        d = attach(df, edges.select(*keys, F.array_distinct(F.array(*probs)).alias("_edges")), keys)
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return d.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(below, F.lit(1)) - 1)).drop("_edges")
 

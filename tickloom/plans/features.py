@@ -12,10 +12,14 @@ from tickloom.plans.registry import query
 from tickloom.plans.state import book, ofi_frame
 from tickloom.plans.views import HOUR
 
-BQ, AQ, BP, AP = (F.col(c) for c in ("bid_qty", "ask_qty", "bid_px", "ask_px"))
 KEY = ["seg", "g_us"]
 
 
+def ladders():
+    """Bid sizes, ask sizes, bid prices and ask prices of ``book10``, best level first."""
+    return tuple(F.col(c) for c in ("bid_qty", "ask_qty", "bid_px", "ask_px"))
+
+
 def S(q, n):
     return f"list_sum({q}[1:{n}])"
 
@@ -26,6 +30,7 @@ def S(q, n):
     dbl="obi_l1 obi_l5 obi_l10",
 )
 def obi_depth(v):
+    BQ, AQ, _, _ = ladders()
     return v.book10.select(*KEY, *[b.obi(BQ, AQ, n).alias(f"obi_l{n}") for n in (1, 5, 10)])
 
 
@@ -39,6 +44,7 @@ def WS(q, n):
     dbl="wobi_l1 wobi_l5 wobi_l10",
 )
 def weighted_obi(v):
+    BQ, AQ, _, _ = ladders()
     return v.book10.select(*KEY, *[b.weighted_obi(BQ, AQ, n).alias(f"wobi_l{n}") for n in (1, 5, 10)])
 
 
@@ -49,6 +55,7 @@ def weighted_obi(v):
     dbl="micro micro_minus_mid",
 )
 def microprice(v):
+    BQ, AQ, BP, AP = ladders()
     m = b.microprice(BP[0], BQ[0], AP[0], AQ[0])
     return v.book10.select(*KEY, m.alias("micro"), (m - (BP[0] + AP[0]) / 2).alias("micro_minus_mid"))
 
@@ -60,6 +67,7 @@ def microprice(v):
     dbl="depth_ratio",
 )
 def depth_totals(v):
+    BQ, AQ, _, _ = ladders()
     totals = [b.arr_sum(F.col(f"{q}_qty"), n).alias(f"{q}_l{n}") for q in ("bid", "ask") for n in (1, 5, 10)]
     return v.book10.select(*KEY, *totals, b.ratio(b.arr_sum(BQ, 10), b.arr_sum(AQ, 10)).alias("depth_ratio"))
 
@@ -85,6 +93,7 @@ def DISP(q):
     dbl="bid_disp ask_disp",
 )
 def dispersion(v):
+    BQ, AQ, BP, AP = ladders()
     return v.book10.select(*KEY, b.dispersion(BP, BQ).alias("bid_disp"), b.dispersion(AP, AQ).alias("ask_disp"))
 
 
@@ -170,6 +179,7 @@ def log_transforms(v):
     dbl="norm_l5 conc_imbalance disp_imbalance",
 )
 def derived_pressure(v):
+    BQ, AQ, BP, AP = ladders()
     net = b.arr_sum(BQ, 5) - b.arr_sum(AQ, 5)
     return v.book10.select(
         *KEY, (BQ[4] - AQ[4]).alias("net_l5_level"), net.alias("net_l5_sum"), b.ratio(net, b.arr_sum(BQ, 5) + b.arr_sum(AQ, 5)).alias("norm_l5"),
@@ -184,6 +194,7 @@ def derived_pressure(v):
        UNION ALL SELECT seg, g_us, 'ask', ask_px[1], ask_qty[1], bid_px[1], bid_qty[1], ask_qty[1] - bid_qty[1] FROM book10""",
 )
 def side_view(v):
+    BQ, AQ, BP, AP = ladders()
     d = v.book10.select(*KEY, BP[0].alias("bid_px"), BQ[0].alias("bid_qty"), AP[0].alias("ask_px"), AQ[0].alias("ask_qty"), (BQ[0] - AQ[0]).alias("lean"))
     return side_rows(d, KEY, {"px": ("bid_px", "ask_px"), "qty": ("bid_qty", "ask_qty")}, ["lean"])
 
@@ -215,9 +226,10 @@ def lifecycle_ratios(v):
     dbl="depth_mean consensus_z",
 )
 def signal_composites(v):
+    BQ, AQ, _, _ = ladders()
     a = F.when((BQ[0] + F.expr(f"g_us div {HOUR}")) % 5 != 0, b.obi(BQ, AQ, 1))
     d = v.book10.select("seg", "sid", "g_us", "mid_x2", a.alias("a"), b.obi(BQ, AQ, 5).alias("b"))
-    d = add_standard_scores(d, {"a": "za", "b": "zb"})
+    d = add_standard_scores(d, {"a": "za", "b": "zb"}, blocks=v.blocks(d, "b", "events", 10))
     d = shifted(d, ["seg", "sid"], "g_us", {"old": (F.col("mid_x2"), 50)}, v.time)
     return d.select(
         *KEY, b.mean_present([F.col("a"), F.col("b")]).alias("depth_mean"), b.consensus([F.col("za"), F.col("zb")]).alias("consensus_z"),
@@ -273,6 +285,7 @@ WALK = """
     dbl="vwap slippage touch_part visible_part",
 )
 def book_walk_vwap(v):
+    _, AQ, _, AP = ladders()
     wanted = (20 + F.expr(f"g_us div {HOUR}") % 300).cast("bigint")
     d = v.book10.withColumn("wanted", wanted).withColumn("w", b.walk_book(AP, AQ, F.col("wanted"), True))
     return d.select(

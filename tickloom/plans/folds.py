@@ -110,7 +110,7 @@ COEF = f"""
 
 
 def standardised(v):
-    return st.add_standard_scores(v.wide, {"x1": "z1", "x2": "z2"})
+    return st.add_standard_scores(v.wide, {"x1": "z1", "x2": "z2"}, blocks=v.value_blocks(v.wide, "x1"))
 
 
 @query("ols_fit", f"WITH z AS ({Z}), c AS ({COEF}) SELECT unnest(['intercept', 'z1', 'z2']) AS name, unnest([c0, c1, c2]) AS value FROM c", dbl="value")

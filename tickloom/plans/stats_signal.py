@@ -27,8 +27,9 @@ def study(v):
             "inc": F.col("y") - F.col("m1"),
         }
     )
-    d = w.rank_deciles(d, ["horizon"], "sig", "uid", "decile", 10, v.blocks(v.marks, "sig", "events", 20))
-    return w.demean(d, ["horizon", "day"], {"y": "y_d", "inc": "inc_d"})
+    cut = v.blocks(v.marks, "sig", "events", 20)
+    d = w.rank_deciles(d, ["horizon"], "sig", "uid", "decile", 10, cut)
+    return w.demean(d, ["horizon", "day"], {"y": "y_d", "inc": "inc_d"}, cut)
 
 
 GAP = "avg({y}) FILTER (WHERE decile = 9) - avg({y}) FILTER (WHERE decile = 0)"

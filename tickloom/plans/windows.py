@@ -11,9 +11,12 @@ from tickloom.operators.selection import spaced
 from tickloom.plans.registry import query
 from tickloom.plans.views import HOUR
 
-QTY = F.col("qty")
-BUY = F.when(F.col("is_buy"), QTY).otherwise(0)
-SELL = F.when(~F.col("is_buy"), QTY).otherwise(0)
+
+
+def volumes():
+    """Bought and sold quantity of a print."""
+    buy, qty = F.col("is_buy"), F.col("qty")
+    return F.when(buy, qty).otherwise(0), F.when(~buy, qty).otherwise(0)
 
 
 @query(
@@ -23,9 +26,10 @@ SELL = F.when(~F.col("is_buy"), QTY).otherwise(0)
     ) + f" FROM instants i LEFT JOIN prints p ON p.seg = i.seg AND p.ts_us <= i.g_us AND p.ts_us > i.g_us - 12 * {HOUR} GROUP BY 1, 2",
 )
 def trailing_time_sum(v):
+    buy, sell = volumes()
     sums = {}
     for h in (1, 3, 12):
-        sums |= {f"buy_{h}h": (BUY, h * HOUR), f"sell_{h}h": (SELL, h * HOUR)}
+        sums |= {f"buy_{h}h": (buy, h * HOUR), f"sell_{h}h": (sell, h * HOUR)}
     return w.trailing_sums(v.prints, ["seg"], "ts_us", sums, v.time, at=v.grid.select("seg", "g_us"), at_ts="g_us")
 
 
@@ -35,7 +39,7 @@ def trailing_time_sum(v):
                count(*) OVER (PARTITION BY seg ORDER BY ts_us RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW) AS n_6h FROM prints""",
 )
 def trailing_closed_sum(v):
-    sums = {"qty_3h": (QTY, 3 * HOUR), "n_6h": (F.lit(1), 6 * HOUR)}
+    sums = {"qty_3h": (F.col("qty"), 3 * HOUR), "n_6h": (F.lit(1), 6 * HOUR)}
     return w.trailing_sums(v.prints, ["seg"], "ts_us", sums, v.time, closed_left=True).select("seg", "ord", "qty_3h", "n_6h")
 
 
@@ -70,7 +74,8 @@ def sign_persistence(v):
 
 
 def flow_windows(v):
-    sums = {"buy": (BUY, 6 * HOUR), "sell": (SELL, 6 * HOUR), "n": (F.lit(1), 6 * HOUR)}
+    buy, sell = volumes()
+    sums = {"buy": (buy, 6 * HOUR), "sell": (sell, 6 * HOUR), "n": (F.lit(1), 6 * HOUR)}
     return w.trailing_sums(v.prints, ["seg"], "ts_us", sums, v.time, at=v.marks, at_ts="g_us")
 
 
@@ -137,7 +142,7 @@ def backward_move(v):
 
 @query("demean_by_block", "SELECT id, x1 - avg(x1) OVER (PARTITION BY blk) AS x1_d, y - avg(y) OVER (PARTITION BY blk) AS y_d FROM wide", dbl="x1_d y_d")
 def demean_by_block(v):
-    return w.demean(v.wide, ["blk"], {"x1": "x1_d", "y": "y_d"}).select("id", "x1_d", "y_d")
+    return w.demean(v.wide, ["blk"], {"x1": "x1_d", "y": "y_d"}, v.value_blocks(v.wide, "x1")).select("id", "x1_d", "y_d")
 
 
 @query("anchor_rows", "SELECT seg, sid, g_us FROM (SELECT *, row_number() OVER (PARTITION BY seg, sid ORDER BY g_us) AS rn FROM grid) WHERE (rn - 1) % 6 = 0")
