@@ -36,6 +36,8 @@ def first_index_beyond(values: np.ndarray, start: np.ndarray, limit: np.ndarray,
 
 def split_sums(values: np.ndarray, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Sum of weights over i in [lo, hi) with values[i] < bound, bit by bit on the value ranks."""
+    if not len(values):
+        return np.zeros(len(lo), dtype="int64")
     levels, ranks = np.unique(values, return_inverse=True)
     want = np.searchsorted(levels, bound, side="left")
     bits = max(1, int(len(levels)).bit_length())
@@ -149,15 +151,17 @@ def window_volume(
     def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("_ts")
         stamps, v, w = (right[c].to_numpy() for c in ("_ts", "_v", "_w"))
-        if not len(v) or not len(left):
-            return pd.DataFrame({"_id": [], "below": [], "at": [], "above": []})
+        if not len(v):
+            v = w = np.array([], dtype="int64")
+            stamps = v
         lo = np.searchsorted(stamps, left["_after"].to_numpy(), side="right")
         hi = np.searchsorted(stamps, left["_until"].to_numpy(), side="right")
         bound_ = left["_bound"].to_numpy()
         run = np.concatenate(([0], np.cumsum(w)))
         below = split_sums(v, w, lo, hi, bound_)
         upto = split_sums(v, w, lo, hi, bound_ + 1)
-        return pd.DataFrame({"_id": left["_id"], "below": below, "at": upto - below, "above": run[hi] - run[lo] - upto})
+        ids = left["_id"].to_numpy(dtype=object)
+        return pd.DataFrame({"_id": ids, "below": below, "at": upto - below, "above": run[hi] - run[lo] - upto})
 
     parts = (
         q.groupBy(*keys, BLOCK)

@@ -241,31 +241,39 @@ def interval_sums(
 
 
 def reconcile_executions(
-    executions: DataFrame, events: DataFrame, key: str, ts: str, window: int
+    executions: DataFrame, events: DataFrame, key: str, ts: str, window: int, blocks: Blocks = ONE_BLOCK
 ) -> DataFrame:
-    """Each execution against its maker's order events within +/- ``window``."""
-    e = executions.select("ord", key, F.col(ts).alias("exec_us"), "exec_qty", (F.col(ts) - window - 1).alias("_lo"), (F.col(ts) + window + 1).alias("_hi"))
-    o = events.select(key, ts, "kind", F.col("qty").alias("event_qty"))
-    pairs = interval_join(e, o, [key], "_lo", "_hi", ts, 2 * window + 2)
-    terminal = F.col("kind").isin("cancelled", "filled")
-    got = pairs.groupBy("ord").agg(
-        F.count("*").alias("window_events"),
-        F.count_if(F.col("kind") == "placed").alias("n_placed"),
-        F.count_if(terminal).alias("n_terminal"),
-        F.min_by("event_qty", F.when(F.col("kind") == "placed", F.col(ts))).alias("placed_qty"),
-        F.max_by("event_qty", F.when(F.col("kind") == "cancelled", F.col(ts))).alias("left_qty"),
-        F.count_if((F.col("kind") == "cancelled") & (F.col(ts) >= F.col("exec_us"))).alias("n_cancel_after"),
-    )
-    d = e.select("ord", key, "exec_us", "exec_qty").join(got, "ord", "left")
-    d = d.na.fill(0, ["window_events", "n_placed", "n_terminal", "n_cancel_after"])
-    placed = F.when(F.col("n_placed") > 0, F.col("placed_qty"))
-    left = F.when(F.col("n_terminal") > 0, F.col("left_qty"))
-    kind = (
-        F.when(placed == F.col("exec_qty"), "full")
-        .when(placed == F.col("exec_qty") + left, "partial_then_cancel")
-        .otherwise("unknown")
+    """Each execution against its maker's order events within +/- ``window``.
+
+    Counts are differences of running counts and the first placement and last cancellation are as-of
+    lookups, so a busy maker's executions and events are never paired.
+    """
+    kinds = {"n": F.lit(True), "p": F.col("kind") == "placed", "t": F.col("kind").isin("cancelled", "filled"), "c": F.col("kind") == "cancelled"}
+    cum = running(events, [key], ts, {f"_{k}": ("sum", c.cast("bigint")) for k, c in kinds.items()}, blocks)
+    e = executions.select("ord", key, F.col(ts).alias("exec_us"), "exec_qty")
+    e = e.withColumns({"_lo": F.col("exec_us") - window, "_hi": F.col("exec_us") + window})
+
+    def counts(tag: str) -> dict[str, str]:
+        return {f"_{k}": f"_{k}_{tag}" for k in kinds}
+
+    d = asof(e, cum, [key], "_hi", ts, counts("hi"), blocks)
+    d = asof(d, cum, [key], "_lo", ts, counts("lo"), blocks, strict=True)
+    d = asof(d, cum, [key], "exec_us", ts, {"_c": "_c_at"}, blocks, strict=True)
+    placed = events.where("kind = 'placed'").select(key, ts, "qty")
+    d = asof(d, placed, [key], "_lo", ts, {ts: "_pt", "qty": "_pq"}, blocks, forward=True)
+    gone = events.where("kind = 'cancelled'").select(key, ts, "qty")
+    d = asof(d, gone, [key], "_hi", ts, {ts: "_ct", "qty": "_cq"}, blocks)
+
+    def between(k: str, low: str) -> Column:
+        return F.coalesce(F.col(f"_{k}_hi"), F.lit(0)) - F.coalesce(F.col(low), F.lit(0))
+
+    first = F.when(F.col("_pt") <= F.col("_hi"), F.col("_pq"))
+    left = F.when(F.col("_ct") >= F.col("_lo"), F.col("_cq"))
+    kind = F.when(first == F.col("exec_qty"), "full").when(first == F.col("exec_qty") + left, "partial_then_cancel").otherwise("unknown")
+    return d.select(
+        "ord", key, "exec_us", "exec_qty", between("n", "_n_lo").alias("window_events"), between("p", "_p_lo").alias("n_placed"),
+        between("t", "_t_lo").alias("n_terminal"), between("c", "_c_at").alias("n_cancel_after"), kind.alias("fill_class"),
     )
-    return d.withColumn("fill_class", kind).drop("placed_qty", "left_qty")
 
 
 def eligible_policies(df: DataFrame, policies: dict[str, Column]) -> DataFrame:

@@ -264,7 +264,7 @@ LIFE = "SELECT *, k % 4 AS qty FROM lifecycle"
 def execution_reconciliation(v):
     life = v.lifecycle.withColumn("qty", F.col("k") % 4)
     ex = life.where("kind = 'execution'").withColumn("exec_qty", F.col("qty"))
-    return j.reconcile_executions(ex, life.where("kind <> 'execution'"), "uid", "ts_us", 24 * HOUR)
+    return j.reconcile_executions(ex, life.where("kind <> 'execution'"), "uid", "ts_us", 24 * HOUR, v.time)
 
 
 @query(

@@ -49,7 +49,7 @@ def stream_sessions(v):
 def stream_sequence_gap(v):
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     e = source(v).where("ord % 97 <> 0").select(
-        "seg", "ts_us", "ord", (F.col("ord") % 53 == 0).alias("is_snapshot"), (F.col("ord") * 3).alias("first_u"), (F.col("ord") * 3 + 2).alias("last_u"),
+        "seg", "ts_us", "ord", (F.col("ord") % 53 == 0).alias("is_snapshot"), (F.col("ord") * 3).alias("first_u"), (F.col("ord") * 3 + F.when(F.col("ord") % 53 == 0, 3).otherwise(2)).alias("last_u"),
         (F.when(F.col("ord") % 31 == 0, F.col("ord") * 3 - 4).otherwise(F.col("ord") * 3 - 1)).alias("prev_u"),
     )
     # One symbol per hundred consecutive ids, so that ids run on inside a symbol.
