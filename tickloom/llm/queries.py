@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import simhash
+from tickloom.llm import packing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Base32 of a SHA-1 digest from its hex form: five hex digits are four base-32 digits.
+BASE32 = """
+array_to_string(list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '')
+"""
+
+
+@query(
+    f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = warc.read(warc.write(pages, min_bytes=0), pages.schema["page_id"].dataType)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query(
+    f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS tokens FROM documents
+), rounded AS (
+  SELECT tokens, greatest(length(bin(tokens)) - 7, 0) AS s FROM sized
+), hist AS (
+  SELECT (((tokens + (1::BIGINT << s) - 1) >> s) << s) AS size, count(*) AS n, sum(tokens)::BIGINT AS total
+  FROM rounded GROUP BY 1
+), sums AS (
+  SELECT row_number() OVER w AS j, size, (sum(n) OVER w)::BIGINT AS cn, (sum(total) OVER w)::BIGINT AS ct
+  FROM hist WINDOW w AS (ORDER BY size)
+), dp(k, j, cost, cuts) AS (
+  SELECT 1, j, size * cn - ct, [size] FROM sums
+  UNION ALL
+  SELECT any_value(d.k) + 1, b.j, min(d.cost + b.size * (b.cn - a.cn) - (b.ct - a.ct)),
+    arg_min(list_append(d.cuts, b.size), (d.cost + b.size * (b.cn - a.cn) - (b.ct - a.ct), d.j))
+  FROM dp d JOIN sums a ON a.j = d.j JOIN sums b ON b.j > d.j
+  WHERE d.k < {packing.BUCKETS} GROUP BY b.j
+), chosen AS (
+  SELECT cuts FROM dp WHERE j = (SELECT max(j) FROM sums) ORDER BY k DESC LIMIT 1
+), bounded AS (
+  SELECT doc_id, tokens, len(list_filter(cuts, lambda c: c < tokens))::INT AS bucket,
+    list_min(list_filter(cuts, lambda c: c >= tokens)) AS bound
+  FROM sized, chosen
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY tokens, doc_id) - 1 AS r,
+    greatest(1, {packing.BUDGET} // bound) AS take
+  FROM bounded
+)
+SELECT doc_id, tokens, bucket, bound, r // take AS batch, r % take AS slot FROM ranked
+"""
+)
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "tokens", "bucket", "bound", "batch", "slot")
