@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only a single-JVM session without one gets a local folder."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="tickloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
