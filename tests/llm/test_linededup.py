@@ -40,7 +40,7 @@ def units_of(text, min_words, long_words):
     cuts = [0]
     for i in range(len(lines)):
         a, c = (r[i - 1] if i else 0), (r[i + 1] if i + 1 < len(r) else 0)
-        if not (a < r[i] and r[i] >= c) or lines[i].endswith("\n") or i + 1 == len(lines):
+        if not (a < r[i] and r[i] >= c) or lines[i].endswith("\n") or max(words[i : i + 2]) >= long_words or i + 1 == len(lines):
             cuts.append(i + 1)
     total = lambda b, e: sum(words[b:e])
     out = [(b, e) for b, e in zip(cuts, cuts[2:], strict=False) if total(b, e) >= min_words]

@@ -61,10 +61,14 @@ def line_units(rows: DataFrame, min_words: int, long_words: int) -> DataFrame:
         F.col("r").alias("b"),
         F.concat(F.slice("r", 2, F.col("n")), zero).alias("c"),
         F.col("broken").alias("d"),
+        F.col("words").alias("w"),
+        F.concat(F.slice("words", 2, F.col("n")), F.array(F.lit(0))).alias("v"),
         F.sequence(F.lit(1), F.col("n")).alias("i"),
     )
-    # A line goes on into the next chunk only where its rolling hash is the largest of three.
-    ends = F.filter(around, lambda z: (z["a"] >= z["b"]) | (z["b"] < z["c"]) | z["d"] | (z["i"] == F.col("n")))
+    # A line shares its chunk with the next one only where its rolling hash is the largest of three; a line
+    # break ends a chunk, and a line of ``long_words`` is a chunk of its own.
+    is_long = lambda z: F.greatest(z["w"], z["v"]) >= long_words
+    ends = F.filter(around, lambda z: (z["a"] >= z["b"]) | (z["b"] < z["c"]) | z["d"] | is_long(z) | (z["i"] == F.col("n")))
     cut = rolled.select("id", "content", "h", "words", F.concat(F.array(F.lit(0)), F.transform(ends, lambda z: z["i"])).alias("cuts"))
     of = lambda column, b, e: F.slice(column, b + 1, e - b)
     total = lambda b, e: F.aggregate(of("words", b, e), F.lit(0), lambda s, w: s + w)
