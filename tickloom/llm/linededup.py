@@ -106,10 +106,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_
     again = found.join(firsts, "key").select("id", "content", F.struct("begin", "end", "key", (place == F.col("first")).alias("is_first")).alias("unit"))
     by_document = save(again.groupBy("id", "content").agg(F.collect_set("unit").alias("units")), "line-candidates")
     texts = with_size_checked(source, by_document, ["id", "content"], "inner")
-    cut = texts.select("id", "content", _lines(F.col("text")).alias("lines"), "units")
-    read = lambda u: F.array_join(F.slice("lines", u["begin"] + 1, u["end"] - u["begin"]), "")
-    with_bytes = F.transform("units", lambda u: F.struct(u["begin"].alias("begin"), u["end"].alias("end"), u["key"].alias("key"), u["is_first"].alias("is_first"), read(u).alias("bytes")))
-    bytes_of = save(cut.select("id", "content", with_bytes.alias("units")), "line-bytes").select("id", "content", F.inline("units"))
+    read = lambda lines, u: F.array_join(F.slice(lines, u["begin"] + 1, u["end"] - u["begin"]), "").alias("bytes")
+    whole = lambda lines: F.transform("units", lambda u: F.struct(*[u[c].alias(c) for c in ("begin", "end", "key", "is_first")], read(lines, u)))
+    # A one-element array binds the lines, else each unit would split the text anew.
+    with_bytes = F.transform(F.array(_lines(F.col("text"))), whole)[0]
+    bytes_of = save(texts.select("id", "content", with_bytes.alias("units")), "line-bytes").select("id", "content", F.inline("units"))
     kept = bytes_of.where("is_first").groupBy("key").agg(F.min("bytes").alias("same"))
     same = bytes_of.where("not is_first").join(kept, "key").where("bytes = same")
     return save(same.groupBy("id", "content").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "line-repeats")
