@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import decontaminate, linededup, packing, quality, simhash, warc
+from tickloom.llm import chat, decontaminate, linededup, packing, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,27 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@query(
+    """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+), p AS (
+  SELECT *, string_agg(md5(role || chr(31) || text), '') OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM t
+), kept AS (
+  SELECT min(conv_id) AS conv_id FROM p
+  WHERE place = n AND prefix NOT IN (SELECT prefix FROM p WHERE place < n) GROUP BY prefix
+)
+SELECT conv_id, 0::BIGINT AS part, n AS n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM t JOIN kept USING (conv_id) GROUP BY conv_id, n
+"""
+)
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 # Base32 of a SHA-1 digest from its hex form: five hex digits are four base-32 digits.
 BASE32 = """
 array_to_string(list_transform(range(0, 32), lambda i:
