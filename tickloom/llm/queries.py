@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chat, decontaminate, linededup, packing, quality, simhash, warc
+from tickloom.llm import chat, decontaminate, linededup, neighbours, packing, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +96,26 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "removed", "text")
 
 
+@query(
+    f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {neighbours.COSINE}
+), reach(src, dst) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.src, l.dst FROM reach r JOIN link l ON r.dst = l.src
+), least AS (
+  SELECT src AS vec_id, min(dst) AS component_id FROM reach GROUP BY src
+)
+SELECT vec_id, (SELECT count(*) FROM link WHERE src = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""
+)
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     f"""
 WITH RECURSIVE sized AS (
