@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chat, decontaminate, linededup, neighbours, packing, quality, simhash, warc
+from tickloom.llm import chat, decontaminate, licenses, linededup, neighbours, packing, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,37 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, " ".join(licenses.normal_words(t))) for name, t in licenses.TEMPLATES.items())
+
+
+@query(
+    f"""
+WITH w AS (SELECT license, string_split(words, ' ') AS w FROM (VALUES {_TEMPLATE_ROWS}) t(license, words)),
+tg AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+u AS (
+  SELECT doc_id, 'line' AS kind, unnest(range(len(p))) AS unit, unnest(p) AS piece
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
+  UNION ALL
+  SELECT * FROM (
+    SELECT doc_id, 'paragraph' AS kind, unnest(range(len(p))) AS unit, unnest(p) AS piece
+    FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n') AS p FROM documents)
+  ) WHERE contains(piece, chr(10))
+), uw AS (
+  SELECT doc_id, kind, unit, string_split(trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u
+), ug AS (
+  SELECT doc_id, kind, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM uw WHERE len(w) > 1
+), hit AS (
+  SELECT doc_id, kind, unit, license, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS score
+  FROM ug JOIN tg ON len(ug.g) <= 2 * len(tg.g) AND len(tg.g) <= 2 * len(ug.g)
+)
+SELECT * FROM hit WHERE score >= {licenses.DICE}
+"""
+)
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
