@@ -1,10 +1,8 @@
 """Streaming results equal batch results, across several micro-batches."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.plans.streams import ROCKS
 from tickloom.plans.views import Views
 from tickloom.streaming import streams as ss
 
@@ -49,34 +47,17 @@ def test_dedupe_across_batches(spark, parts):
     assert got == Views(spark, DIR).ev.select("seg", "event_type").distinct().count()
 
 
-def test_classify_follows_the_protocol():
-    m, buf = {"phase": "buffering", "last_u": 0}, []
-    feed = [
-        (1, False, 1, 5, 0), (2, False, 6, 9, 5), (3, True, 0, 7, 0),  # buffered, then a snapshot at id 7
-        (4, False, 10, 12, 9), (5, False, 8, 9, 7), (6, False, 15, 18, 14),  # follows, stale, gap
-        (7, False, 19, 20, 18), (8, True, 0, 19, 0), (9, False, 21, 22, 20), (10, True, 0, 30, 0), (11, False, 33, 34, 32),
-    ]
-    out = [x for row in feed for x in ss.classify(m, buf, row)]
-    assert out == [
-        (3, True, "snapshot"), (1, False, "stale"), (2, False, "bridge"), (4, False, "applied"), (5, False, "stale"), (6, False, "gap"),
-        (8, True, "snapshot"), (6, False, "stale"), (7, False, "bridge"), (9, False, "applied"), (10, True, "snapshot"), (11, False, "gap"),
-    ]
-
-
-def test_sequence_machine_equals_one_pass(spark, parts):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+def test_sequence_status_carries_ids_across_batches(spark, parts):
     e = source(spark, parts).select(
-        (F.col("ord") % 3).alias("seg"), "ts_us", "ord", (F.col("ord") % 40 == 5).alias("is_snapshot"), (F.col("ord") - F.col("ord") % 3).alias("first_u"),
-        (F.col("ord") - F.col("ord") % 3 + F.when(F.col("ord") % 40 == 5, 3).otherwise(2)).alias("last_u"), F.when(F.col("ord") % 77 == 0, -9).otherwise(F.col("ord") - F.col("ord") % 3 - 1).cast("bigint").alias("prev_u"),
+        F.when(F.col("ord") % 4 > 0, F.col("ord") % 4).alias("seg"), "ts_us", "ord", (F.col("ord") - F.col("ord") % 7 * 3).alias("last_u"), F.when(F.col("ord") % 5 == 0, -1).otherwise(F.col("ord") - 2).alias("prev_u")
     )
-    got = ss.run_to_table(ss.sequence_status(e), "append").toPandas()
-    rows = Views(spark, DIR).ev.select("ord", "ts_us").toPandas().sort_values(["ts_us", "ord"])
-    want = []
-    for seg in range(3):
-        m, buf = {"phase": "buffering", "last_u": 0}, []
-        for o in rows[rows.ord % 3 == seg].ord:
-            base = o - o % 3
-            row = (int(o), o % 40 == 5, int(base), int(base + (3 if o % 40 == 5 else 2)), -9 if o % 77 == 0 else int(base - 1))
-            want += [(seg, *x) for x in ss.classify(m, buf, row)]
-    assert sorted(map(tuple, got[["seg", "ord", "is_snapshot", "status"]].itertuples(index=False))) == sorted(want)
-    assert {w[3] for w in want} >= {"snapshot", "bridge", "applied", "gap"}
+    got = ss.sequence_status(e, ["seg"], ["ts_us", "ord"]).collect()
+    rows = sorted(Views(spark, DIR).ev.select("ts_us", "ord").collect())
+    tops, want = {}, []
+    for _, o in rows:
+        seg, last, prev = (o % 4 or None), o - o % 7 * 3, -1 if o % 5 == 0 else o - 2
+        top = tops.get(seg)
+        want.append((o, "first" if top is None else "stale" if last <= top else "gap" if prev > top else "overlap" if prev < top else "contiguous"))
+        tops[seg] = last if top is None else max(top, last)
+    assert sorted((r.ord, r.status) for r in got) == sorted(want)
+    assert {s for _, s in want} >= {"first", "stale", "gap", "overlap"}

@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here t
 cut into equi-depth blocks (``Blocks``), work is partitioned by ``(key, block)``, and what has to
 cross a block edge travels as a small per-block summary (``running``) or as a halo of copied rows
 (``halo_rows``, ``halo_range``). With one block, which is what a small table gets after a size
-check, every function below is a single built-in window.
+check, every function below is a single built-in window; both forms give the same rows, NULL keys and
+NULL order values included.
 """
 
 from __future__ import annotations
@@ -64,12 +65,21 @@ class Blocks:
             handleInvalid="keep",
         )
         cast = df.withColumn("_axis", at.cast("double"))
-        return cut.transform(cast).withColumn(out, F.col("_cut").cast("int")).drop("_axis", "_cut")
+        # NULLs sort first in every window here, so their block is the first one.
+        block = F.when(F.col("_axis").isNull(), -1).otherwise(F.col("_cut").cast("int"))
+        return cut.transform(cast).withColumn(out, block).drop("_axis", "_cut")
 
 
 ONE_BLOCK = Blocks()
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join that finds NULL keys too, as a window over the keys does; the keys come from ``left``."""
+    other = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [left[k].eqNullSafe(other[f"_k_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def order_by(order: str, ties: Sequence[str] = (), reverse: bool = False) -> list[Column]:
     cols = [F.col(c) for c in (order, *ties)]
     return [c.desc() for c in cols] if reverse else [c.asc() for c in cols]
@@ -142,7 +152,7 @@ def running(
     )
     w = Window.partitionBy(*keys, BLOCK).orderBy(*sort).rowsBetween(Window.unboundedPreceding, edge)
     local = df.withColumns({f"_l_{o}": _windowed(how, v, w) for o, (how, v) in outs.items()})
-    joined = local.join(before, [*keys, BLOCK], "left")
+    joined = join_keys(local, before, [*keys, BLOCK])
     joined = joined.withColumns(
         {o: _combine(how, F.col(f"_p_{o}"), F.col(f"_l_{o}")) for o, (how, _) in outs.items()}
     )
@@ -283,7 +293,7 @@ def exact_quantiles(
     vc = value_counts_running(df, keys, value, blocks)
     if keys:
         total = vc.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-        vc = vc.join(total, list(keys))
+        vc = join_keys(vc, total, keys, "inner")
     else:
         vc = vc.crossJoin(F.broadcast(vc.agg(F.sum("_n").alias("_total"))))
 
@@ -320,7 +330,7 @@ def average_ranks(
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     vc = value_counts_running(df, keys, value, blocks)
     vc = vc.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(vc, [*keys, value], "left")
+    return join_keys(df, vc, [*keys, value])
 
 
 def row_numbers(

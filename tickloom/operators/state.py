@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 from tickloom.operators.ordered import BLOCK, ONE_BLOCK, Blocks, asof, island_ids, running, shifted
 
 
+GRID_STEPS = 4_096
+
+
 def aligned_grid(spans: DataFrame, start: str, end: str, step: int, out: str) -> DataFrame:
-    """Absolute multiples of ``step`` from the first one >= start up to end, one row each."""
-    first = F.ceil(F.col(start) / F.lit(step)) * F.lit(step)
-    spans = spans.withColumn("_first", first.cast("bigint")).where(F.col("_first") <= F.col(end))
-    return spans.withColumn(out, F.explode(F.sequence("_first", F.col(end), F.lit(step)))).drop("_first")
+    """Absolute multiples of ``step`` from the first one >= start up to end, one row each.
+
+    A long span is first cut into stretches of ``GRID_STEPS`` steps that are dealt out over all tasks,
+    so neither an array nor a task grows with the span.
+    """
+    first = (F.ceil(F.col(start) / F.lit(step)) * F.lit(step)).cast("bigint")
+    spans = spans.withColumn("_first", first).where(F.col("_first") <= F.col(end))
+    stretch = F.lit(step * GRID_STEPS)
+    cut = spans.withColumn("_from", F.explode(F.sequence("_first", F.col(end), stretch))).repartition("_from")
+    last = F.least(F.col(end), F.col("_from") + F.lit(step * (GRID_STEPS - 1)))
+    return cut.withColumn(out, F.explode(F.sequence("_from", last, F.lit(step)))).drop("_first", "_from")
 
 
 def mid_change_path(

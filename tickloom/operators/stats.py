@@ -12,6 +12,7 @@ from tickloom.operators.ordered import (
     Blocks,
     average_ranks,
     exact_quantiles,
+    join_keys,
     row_numbers,
     running,
     shifted,
@@ -20,7 +21,7 @@ from tickloom.operators.ordered import (
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per-key constants back onto the rows; without keys the table is one row."""
-    return df.join(table, list(keys), "left") if keys else df.crossJoin(F.broadcast(table))
+    return join_keys(df, table, keys) if keys else df.crossJoin(F.broadcast(table))
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], blocks: Blocks) -> DataFrame:

@@ -16,16 +16,16 @@ from tickloom.plans.views import DAY, HOUR, SPAN
 
 @query(
     "exact_key_join",
-    """SELECT l.l_orderkey, l.l_partkey, o.o_custkey, p.p_brand, l.l_quantity FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-       LEFT JOIN (SELECT * FROM part WHERE p_size < 25) p ON l.l_partkey = p.p_partkey WHERE o.o_orderstatus = 'F' AND l.l_quantity > 40""",
+    """SELECT l.l_orderkey, l.l_linenumber::BIGINT AS l_linenumber, l.l_partkey, o.o_custkey, p.p_brand, l.l_quantity FROM lineitem l
+       JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN part p ON l.l_partkey = p.p_partkey""",
     dbl="l_quantity",
 )
 def exact_key_join(v):
-    lines = v.read("lineitem").where("l_quantity > 40").select("l_orderkey", "l_partkey", "l_quantity")
-    orders = v.read("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    part = v.read("part").where("p_size < 25").select("p_partkey", "p_brand")
+    lines = v.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    orders = v.read("orders").select("o_orderkey", "o_custkey")
+    part = v.read("part").select("p_partkey", "p_brand")
     d = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(part, lines.l_partkey == part.p_partkey, "left")
-    return d.select("l_orderkey", "l_partkey", "o_custkey", "p_brand", "l_quantity")
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "p_brand", "l_quantity")
 
 
 @query("asof_backward", "SELECT o.oid, m.ts_us AS mid_us, m.mid_x2 FROM orders_p o ASOF LEFT JOIN mid_path m ON m.seg = o.seg AND o.place_us - 1800000000 >= m.ts_us")
@@ -40,19 +40,19 @@ def asof_forward_strict(v):
     return d.select("oid", "next_us", "px")
 
 
-@query("interval_containment", "SELECT p.ord, s.sid FROM (SELECT * FROM levels WHERE ord % 3 = 0) p JOIN segs s ON s.seg = p.seg AND p.ts_us BETWEEN s.start_us AND s.end_us")
+@query("interval_containment", "SELECT p.ord, s.sid FROM levels p JOIN segs s ON s.seg = p.seg AND p.ts_us BETWEEN s.start_us AND s.end_us")
 def interval_containment(v):
-    return j.contained_in(v.levels.where("ord % 3 = 0"), v.segs, ["seg"], "ts_us", "start_us", "end_us", {"sid": "sid"}, v.time).select("ord", "sid")
+    return j.contained_in(v.levels, v.segs, ["seg"], "ts_us", "start_us", "end_us", {"sid": "sid"}, v.time).select("ord", "sid")
 
 
 @query(
     "asof_then_bound",
-    """SELECT e.seg, e.eid, min(p.ts_us) AS first_ts FROM episodes e JOIN (SELECT * FROM prints WHERE px > 40) p
+    """SELECT e.seg, e.eid, min(p.ts_us) AS first_ts FROM episodes e JOIN prints p
        ON p.seg = e.seg AND p.ts_us >= e.start_us AND p.ts_us <= e.end_us
        WHERE NOT EXISTS (SELECT 1 FROM episodes n WHERE n.seg = p.seg AND n.start_us = p.ts_us AND n.eid <> e.eid) GROUP BY 1, 2""",
 )
 def asof_then_bound(v):
-    return j.first_event_per_span(v.prints.where("px > 40"), v.episodes, ["seg"], "ts_us", "start_us", "end_us", "eid", v.time)
+    return j.first_event_per_span(v.prints, v.episodes, ["seg"], "ts_us", "start_us", "end_us", "eid", v.time)
 
 
 def fill_orders(v):

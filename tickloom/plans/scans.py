@@ -23,14 +23,14 @@ def _level_rows(v):
 
 def _trade_rows(v):
     side = F.when(F.col("ord") % 17 == 0, "unknown").when(F.col("is_buy"), "buy").otherwise("sell")
-    return v.prints.where("px > 0").select(
+    return v.prints.select(
         F.lit("demo").alias("exchange"),
         F.concat(F.lit("S"), F.col("seg")).alias("symbol"),
         F.col("ts_us").alias("timestamp"),
         F.col("ts_us").alias("local_timestamp"),
         F.col("ord").cast("string").alias("id"),
         side.alias("side"),
-        F.col("px").cast("decimal(18,4)").alias("price"),
+        (F.col("px") + 1).cast("decimal(18,4)").alias("price"),
         F.col("qty").cast("decimal(18,4)").alias("amount"),
     )
 
@@ -64,8 +64,8 @@ def scan_typed_csv(v):
     "scan_trades",
     """SELECT 'S' || seg AS symbol,
               CASE WHEN ord % 17 = 0 THEN 'unknown' WHEN is_buy THEN 'buy' ELSE 'sell' END AS side,
-              count(*) AS n, sum(px * qty)::BIGINT AS notional, max(ord) AS last_id
-       FROM prints WHERE px > 0 GROUP BY 1, 2""",
+              count(*) AS n, sum((px + 1) * qty)::BIGINT AS notional, max(ord) AS last_id
+       FROM prints GROUP BY 1, 2""",
 )
 def scan_trades(v):
     df = typed.scan_trades(v.spark, _as_csv(v, _trade_rows(v), "trades"))

@@ -9,7 +9,6 @@ from tickloom.plans.views import HOUR
 from tickloom.streaming import streams as ss
 
 LATE = "60 days"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(v):
@@ -45,17 +44,19 @@ def stream_sessions(v):
     return ss.run_to_table(ss.activity_sessions(stream_prints(v), ["seg"], "1 hour"), "complete")
 
 
-@query("stream_sequence_gap")
+@query(
+    "stream_sequence_gap",
+    """WITH e AS (SELECT ord // 100 AS seg, ts_us, ord, ord * 3 + 2 AS last_u, ord * 3 - CASE WHEN ord % 31 = 0 THEN 4 ELSE 1 END AS prev_u FROM ev WHERE ord % 97 <> 0),
+            t AS (SELECT *, max(last_u) OVER (PARTITION BY seg ORDER BY ts_us, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+       SELECT seg, CASE WHEN top IS NULL THEN 'first' WHEN last_u <= top THEN 'stale' WHEN prev_u > top THEN 'gap' WHEN prev_u < top THEN 'overlap' ELSE 'contiguous' END AS status, count(*) AS n
+       FROM t GROUP BY 1, 2""",
+)
 def stream_sequence_gap(v):
-    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # One symbol per hundred consecutive ids, so that ids run on inside a symbol.
     e = source(v).where("ord % 97 <> 0").select(
-        "seg", "ts_us", "ord", (F.col("ord") % 53 == 0).alias("is_snapshot"), (F.col("ord") * 3).alias("first_u"), (F.col("ord") * 3 + F.when(F.col("ord") % 53 == 0, 3).otherwise(2)).alias("last_u"),
-        (F.when(F.col("ord") % 31 == 0, F.col("ord") * 3 - 4).otherwise(F.col("ord") * 3 - 1)).alias("prev_u"),
+        F.expr("ord div 100").alias("seg"), "ts_us", "ord", (F.col("ord") * 3 + 2).alias("last_u"), (F.col("ord") * 3 - F.when(F.col("ord") % 31 == 0, 4).otherwise(1)).alias("prev_u")
     )
-    # One symbol per hundred consecutive ids, so that ids run on inside a symbol.
-    e = e.withColumn("seg", F.expr("ord div 100"))
-    d = ss.run_to_table(ss.sequence_status(e), "append")
-    return d.groupBy("seg", "status").agg(F.count("*").alias("n"))
+    return ss.sequence_status(e, ["seg"], ["ts_us", "ord"]).groupBy("seg", "status").agg(F.count("*").alias("n"))
 
 
 @query("stream_dedupe", "SELECT seg, k, count(DISTINCT (event_type, ts_us // 86400000000)) AS n FROM ev GROUP BY 1, 2")

@@ -45,11 +45,14 @@ DEPTH_PAYLOAD = T.StructType(
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder; a local one only when none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """New folder below the cluster's shared checkpoint folder; a single-JVM session without one gets a local folder."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = sc.getCheckpointDir()
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

@@ -3,14 +3,12 @@ on the same rows their results equal the batch operators."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
+from tickloom.operators.ordered import join_keys
 from tickloom.sources.typed import scratch_dir
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -62,94 +60,35 @@ def first_sightings(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys))
 
 
-SYNC_OUT = "seg bigint, ord bigint, is_snapshot boolean, status string"
+def sequence_status(updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``updates(..., last_u, prev_u)`` with ``status``: how each follows the largest id of its key so far.
 
-
-def classify(machine: dict, buffer: list[tuple], row: tuple) -> list[tuple]:
-    """One step of a symbol's sequence machine; returns (ord, is_snapshot, status) rows it settles.
-
-    Without a snapshot, updates are buffered. A snapshot drops older buffered updates; the next must
-    contain its id, later ones must continue the previous. A gap clears the state and buffers again.
+    ``first`` (nothing before), ``stale`` (brings nothing new), ``gap`` (its predecessor was never seen),
+    ``overlap`` (starts inside what is known) or ``contiguous``. A micro-batch is ranked by one window
+    over its rows and the keys' largest ids of the batches before, a table of one row per key. Batch
+    folders are overwritten on a retry, so each batch counts once.
     """
-    ord_, snap, first_u, last_u, prev_u = row
-    out: list[tuple] = []
-
-    def update(o: int, first: int, last: int, prev: int) -> None:
-        if machine["phase"] == "buffering":
-            buffer.append((o, first, last, prev))
-            return
-        top = machine["last_u"]
-        if machine["phase"] == "bridging":
-            if last < top:
-                out.append((o, False, "stale"))
-            elif first <= top:
-                machine.update(phase="live", last_u=last)
-                out.append((o, False, "bridge"))
-            else:
-                gap(o, first, last, prev)
-        elif last <= top:
-            out.append((o, False, "stale"))
-        elif prev == top:
-            machine["last_u"] = last
-            out.append((o, False, "applied"))
-        else:
-            gap(o, first, last, prev)
-
-    def gap(o: int, first: int, last: int, prev: int) -> None:
-        machine.update(phase="buffering", last_u=0)
-        buffer.clear()
-        buffer.append((o, first, last, prev))
-        out.append((o, False, "gap"))
-
-    if snap:
-        waiting = list(buffer)
-        buffer.clear()
-        machine.update(phase="bridging", last_u=last_u)
-        out.append((ord_, True, "snapshot"))
-        for o, first, last, prev in waiting:
-            update(o, first, last, prev)
-    else:
-        update(ord_, first_u, last_u, prev_u)
-    return out
-
-
-class SequenceMachine(StatefulProcessor):
-    """Buffer, bridge, follow and resynchronise one symbol's updates across micro-batches."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", StructType([StructField("live", LongType()), StructField("last_u", LongType())]))
-        cols = ("ord", "first_u", "last_u", "prev_u")
-        self.buffer = handle.getListState("buffer", StructType([StructField(c, LongType()) for c in cols]))
-
-    PHASES = ("buffering", "bridging", "live")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        phase, last = (int(x) for x in self.state.get()) if self.state.exists() else (0, 0)
-        machine = {"phase": self.PHASES[phase], "last_u": last}
-        buffer = [tuple(int(x) for x in r) for r in self.buffer.get()] if self.buffer.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "ord", "is_snapshot"])
-        out: list[tuple] = []
-        for r in batch[["ord", "is_snapshot", "first_u", "last_u", "prev_u"]].itertuples(index=False, name=None):
-            out += classify(machine, buffer, (int(r[0]), bool(r[1]), int(r[2]), int(r[3]), int(r[4])))
-        self.state.update((self.PHASES.index(machine["phase"]), machine["last_u"]))
-        if buffer:
-            self.buffer.put(buffer)
-        elif self.buffer.exists():
-            self.buffer.clear()
-        yield pd.DataFrame(
-            {"seg": [int(key[0])] * len(out), "ord": [o[0] for o in out], "is_snapshot": [o[1] for o in out], "status": [o[2] for o in out]}
-        ).astype({"seg": "int64", "ord": "int64", "is_snapshot": "bool", "status": "object"})
-
-    def close(self) -> None:
-        pass
-
-
-def sequence_status(updates: DataFrame) -> DataFrame:
-    """Statuses of updates and snapshots (seg, ts_us, ord, is_snapshot, first_u, last_u, prev_u)."""
-    return updates.groupBy("seg").transformWithStateInPandas(
-        statefulProcessor=SequenceMachine(), outputStructType=SYNC_OUT, outputMode="Append", timeMode="None"
+    spark = updates.sparkSession
+    out, state = scratch_dir(spark, "sequence"), scratch_dir(spark, "sequence-state")
+    top = F.greatest("_carried", F.max("last_u").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    known = F.col("_top")
+    status = (
+        F.when(known.isNull(), "first").when(F.col("last_u") <= known, "stale").when(F.col("prev_u") > known, "gap")
+        .when(F.col("prev_u") < known, "overlap").otherwise("contiguous")
     )
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = batch.groupBy(*keys).agg(F.max("last_u").alias("_carried"))
+        before = batch.sparkSession.read.schema(now.schema).parquet(f"{out}/tops/{batch_id - 1}") if batch_id else now.limit(0)
+        rows = join_keys(batch, before, keys).withColumn("_top", top).withColumn("status", status)
+        rows.drop("_carried", "_top").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        both = before.unionByName(now).groupBy(*keys).agg(F.max("_carried").alias("_carried"))
+        both.write.mode("overwrite").parquet(f"{out}/tops/{batch_id}")
+
+    w = updates.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True)
+    w.start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
 
 def run_to_table(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
     """Run what is available and return the result as a batch frame read from the shared folder.
