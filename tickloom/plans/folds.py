@@ -134,14 +134,24 @@ def linear_score(v):
     )
 
 
+def oof_rows(v):
+    d = v.marks.where("sig IS NOT NULL AND m6 IS NOT NULL").withColumn("up", (F.col("m6") > 0).cast("int"))
+    ten = fd.fold_dimension(v.marks, "g_us", N, 2, PURGE)
+    return fd.fold_rows(d, ten, "g_us"), ten
+
+
 @query("oof_models")
 def oof_models(v):
-    d = v.marks.where("sig IS NOT NULL AND m6 IS NOT NULL").withColumn("up", (F.col("m6") > 0).cast("int"))
-    rows = fd.fold_rows(d, fd.fold_dimension(v.marks, "g_us", 4, 2, PURGE), "g_us")
-    oof = fd.out_of_fold(rows, [0, 1], ["seg", "g_us"], ["sig", "mid_x2"], "up")
+    oof = fd.out_of_fold(*oof_rows(v), ["seg", "g_us"], ["sig", "mid_x2"], "up")
     return sg.classification_scores(oof, ["model", "fold"], "up", "prediction")
 
 
+@query("oof_regressions")
+def oof_regressions(v):
+    oof = fd.out_of_fold(*oof_rows(v), ["seg", "g_us"], ["sig", "mid_x2"], "m6", classes=False)
+    return sg.regression_scores(oof, ["model", "fold"], "m6", "prediction")
+
+
 @query(
     "coefficient_summary",
     """WITH c AS (SELECT grp, unnest(['x1', 'x2', 'x3']) AS feature, unnest([regr_slope(y, x1), regr_slope(y, x2), regr_slope(y, x3)]) AS value FROM wide WHERE y IS NOT NULL GROUP BY 1),
