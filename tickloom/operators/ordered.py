@@ -14,6 +14,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 BLOCK = "_blk"
 ROWS_CONF = "spark.tickloom.rowsPerBlock"
 DEFAULT_ROWS = 4_000_000
+SPLIT_SAMPLE = 100_000
 
 
 def rows_per_block(spark: SparkSession) -> int:
@@ -47,12 +49,15 @@ class Blocks:
         rows = rows_per_block(df.sparkSession)
         if bound is not None and bound <= rows:
             return cls(rows=rows)
-        axis = df.select(F.col(col).cast("double").alias("_axis")).where(F.col("_axis").isNotNull())
-        n = math.ceil(axis.count() / rows)
+        axis = df.select(F.col(col).cast("double").alias("_axis")).where("_axis IS NOT NULL AND NOT isnan(_axis)")
+        count = axis.count()
+        n = math.ceil(count / rows)
         if n <= 1:
             return cls(rows=rows)
-        cuts = axis.approxQuantile("_axis", [i / n for i in range(1, n)], 0.25 / n)
-        return cls(tuple(sorted(set(cuts))), rows)
+        # A sample of fixed size places the cuts, so the driver's share doesn't grow with the table.
+        sample = axis.sample(min(1.0, SPLIT_SAMPLE / count), seed=7).collect()
+        cuts = np.quantile([r["_axis"] for r in sample], np.arange(1, n) / n, method="lower") if sample else []
+        return cls(tuple(sorted({float(c) for c in cuts})), rows)
 
     def assign(self, df: DataFrame, at: str | Column, out: str = BLOCK) -> DataFrame:
         if self.single:
