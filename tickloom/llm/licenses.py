@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm.shared import empty_if_null
 
 DICE = 0.8
+COMMON = frozenset("a and as at by file for in is it of on or that the this to under use with work".split())
 
 # The wording of public licence notices.
 TEMPLATES = {
@@ -48,10 +49,10 @@ def least_shared(size: int, dice: float) -> int:
 
 def anchors(templates: dict[str, list[str]], dice: float) -> list[str]:
     """Words of which every text that matches some template has one: so many bigrams hold one of them that
-    too few are left without. The longest words are taken first, as they are the rarest."""
+    too few are left without. The longest words are taken first, as they are the rarest, common ones last."""
     chosen: set[str] = set()
     for grams in templates.values():
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
             if sum(not chosen & set(g.split()) for g in grams) < least_shared(len(grams), dice):
                 break
             chosen.add(word)
@@ -75,7 +76,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     """
     grams = {name: bigrams(normal_words(t)) for name, t in templates.items()}
     words = anchors(grams, dice)
-    has_anchor = lambda c: F.lower(c).rlike("|".join(words))
+    has_anchor = lambda c: F.lower(c).rlike(f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")
     low = min(least_shared(len(g), dice) for g in grams.values())
     text = empty_if_null(F.col(text_col))
     own = docs.select(F.col(id_col).alias("id"), text.alias("text")).where(has_anchor(F.col("text")))
