@@ -89,8 +89,8 @@ def test_equals_brute_force(spark, monkeypatch):
     rows, passages = corpus()
     docs = spark.createDataFrame([(i, t, "a", "b", 7) for i, t in rows], "doc_id long, text string, spans string, content string, removed int")
     expect = plain(rows)
-    for broadcast_rows in (100_000, 0):
-        monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast_rows)
+    for ranges in (200_000, -1):
+        monkeypatch.setattr(linededup, "BROADCAST_RANGES", ranges)
         out = linededup.remove(docs)
         assert out.columns == [*docs.columns, "_removed"]
         got = out.collect()

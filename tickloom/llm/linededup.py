@@ -18,8 +18,10 @@ from tickloom.llm.shared import empty_if_null, free_name, save
 MIN_WORDS = 12
 #: Words from which a single chunk is a unit too: a passage without sentence ends is one line.
 LONG_WORDS = 50
-#: Documents with repeats (one short row each) that are broadcast; more are joined by a shuffle.
+#: Documents with repeats, and their line ranges (about 100 bytes each in memory), that are broadcast at
+#: most; above either number both sides are shuffled.
 BROADCAST_ROWS = 100_000
+BROADCAST_RANGES = 1_000_000
 LINE_END = "(?<=[.!?] |\n)"
 MARK = "\u0001"
 
@@ -105,7 +107,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_
     firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
     again = found.join(firsts, "key").select("id", "content", F.struct("begin", "end", "key", (place == F.col("first")).alias("is_first")).alias("unit"))
     by_document = save(again.groupBy("id", "content").agg(F.collect_set("unit").alias("units")), "line-candidates")
-    texts = with_size_checked(source, by_document, ["id", "content"], "inner")
+    texts = with_size_checked(source, by_document, ["id", "content"], "units", "inner")
     read = lambda lines, u: F.array_join(F.slice(lines, u["begin"] + 1, u["end"] - u["begin"]), "").alias("bytes")
     whole = lambda lines: F.transform("units", lambda u: F.struct(*[u[c].alias(c) for c in ("begin", "end", "key", "is_first")], read(lines, u)))
     # A one-element array binds the lines, else each unit would split the text anew.
@@ -116,10 +118,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_
     return save(same.groupBy("id", "content").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "line-repeats")
 
 
-def with_size_checked(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Null-safe join with a saved table: broadcast up to ``BROADCAST_ROWS`` rows, else by a shuffle of both."""
+def with_size_checked(rows: DataFrame, found: DataFrame, keys: list[str], ranges: str, how: str) -> DataFrame:
+    """Null-safe join with a saved table: a broadcast if its rows and their ``ranges`` are few, else a shuffle."""
     other = found.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in found.columns if c not in keys])
-    if found.count() <= BROADCAST_ROWS:
+    rows_found, ranges_found = found.agg(F.count("*"), F.sum(F.size(ranges))).first()
+    if rows_found <= BROADCAST_ROWS and (ranges_found or 0) <= BROADCAST_RANGES:
         other = F.broadcast(other)
     on = [rows[k].eqNullSafe(other[f"{k}__"]) for k in keys]
     return rows.join(other, on, how).drop(*[f"{k}__" for k in keys])
@@ -134,7 +137,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_W
     id_, content, spans, removed = (free_name(docs, c) for c in ("id", "content", "spans", "removed"))
     found = repeats(docs, min_words, long_words, id_col, text_col)
     own = docs.select("*", F.col(id_col).alias(id_), F.xxhash64(empty_if_null(F.col(text_col))).alias(content))
-    joined = with_size_checked(own, found.select(F.col("id").alias(id_), F.col("content").alias(content), F.col("spans").alias(spans)), [id_, content], "left")
+    joined = with_size_checked(own, found.select(F.col("id").alias(id_), F.col("content").alias(content), F.col("spans").alias(spans)), [id_, content], spans, "left")
     gone = F.flatten(F.transform(spans, lambda z: F.sequence(z["begin"], z["end"] - 1)))
     lines = _lines(F.col(text_col))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
