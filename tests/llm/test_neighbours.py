@@ -64,3 +64,39 @@ def test_low_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "audit", lambda *a: (1, 2))
     with pytest.raises(RuntimeError, match="recall 0.500"):
         neighbours.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.1])], "vec_id long, embedding array<double>"), tries=1)
+
+
+def linked_groups(size, groups=2, dim=64):
+    """Groups at cosine 0.99 inside and about 0.93 to each other."""
+    rng = np.random.default_rng(3)
+    shared, *own = np.linalg.qr(rng.standard_normal((dim, groups + 1)))[0].T
+    rows = []
+    for g in range(groups):
+        for i in range(size):
+            noise = rng.standard_normal(dim)
+            v = 0.97 * shared + (1 - 0.97**2) ** 0.5 * own[g] + 0.1005 * noise / np.linalg.norm(noise)
+            rows.append((g * size + i, v.tolist()))
+    return rows
+
+
+@pytest.mark.parametrize("size, block", [(20, 256), (60, 16)])
+def test_linked_dense_groups_are_one(spark, monkeypatch, size, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rows = linked_groups(size)
+    expect = plain(rows, 0.9)
+    assert min(n for _, n, _, _ in expect) > size and sum(kept for *_, kept in expect) == 1
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == expect
+
+
+@pytest.mark.parametrize("cell, cells", [(0.15, 2048), (0.3, 3), (0.0, 5)])
+def test_bridges_join_groups_that_no_list_joins(spark, monkeypatch, cell, cells):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "CELLS", cells)
+    rows = linked_groups(12, 3) + [(100 + i, v) for i, v in enumerate(np.random.default_rng(4).standard_normal((9, 64)).tolist())] + [(200, [1.0, 0.0]), (201, [1.0, 0.1])]
+    nodes = spark.createDataFrame([(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows], "node long, unit array<double>")
+    groups = spark.createDataFrame([(i, i // 12 * 12 if i < 36 else i if i < 200 else 200) for i, _ in rows], "node long, root long")
+    found = neighbours.bridges(nodes, groups, groups.selectExpr("node as src"), 0.9).collect()
+    unit = {r.node: np.array(r.unit) for r in nodes.collect()}
+    assert all(unit[r.src] @ unit[r.dst] >= 0.9 and max(r.src, r.dst) < 36 for r in found)
+    assert len({frozenset((r.src // 12, r.dst // 12)) for r in found}) >= 2

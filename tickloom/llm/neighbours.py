@@ -21,6 +21,9 @@ LIST = 8
 BLOCK = 256
 JOIN_ROWS = 64
 PIECE = 512
+#: Cells of saturated vectors have this angle around their first member at most; so many cells meet at once.
+CELL = 0.15
+CELLS = 2048
 ROUNDS = 2
 RECALL = 0.95
 #: Vectors whose neighbours are counted by brute force to measure recall (130 KB at 64 dimensions).
@@ -53,8 +56,10 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float32)
 
 
-def first_lists(nodes: DataFrame, trees: range) -> DataFrame:
-    """``(src, dst, sim)``: the best of each block of ``BLOCK`` neighbours in the order of each tree's signs.
+def first_lists(nodes: DataFrame, trees: range, cosine: float) -> DataFrame:
+    """``(src, dst, sim, spans)``: the best of each block of ``BLOCK`` neighbours in the order of each tree's signs.
+
+    Rows with ``spans`` are links that together connect all that a block links, however many links it has.
 
     Range partitions cut equal codes too, so a dense group fills many blocks and no task more than others.
     """
@@ -76,38 +81,70 @@ def first_lists(nodes: DataFrame, trees: range) -> DataFrame:
             for _, part in frame.groupby(["tree", "dim"]):
                 for a in range(0, len(part), BLOCK):
                     piece = part.iloc[a : a + BLOCK]
-                    yield best(piece["node"].to_numpy(), _stack(piece["unit"]), LIST)
-
-    return ordered.mapInPandas(pick, "src long, dst long, sim float")
-
-
-def best(node: np.ndarray, unit: np.ndarray, k: int, floor: np.ndarray | None = None) -> pd.DataFrame:
-    """The ``k`` most similar others of each node, above its floor if it has one."""
+                    yield best(piece["node"].to_numpy(), _stack(piece["unit"]), LIST, cosine)
+
+    return ordered.mapInPandas(pick, "src long, dst long, sim float, spans boolean")
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a symmetric link matrix: each row's link to its parent in a spanning forest (-1 at roots), and its root."""
+    parent, root = np.full(len(near), -1), np.arange(len(near))
+    left = near.any(axis=1)
+    while left.any():
+        first = int(left.argmax())
+        left[first] = False
+        front = np.array([first])
+        while len(front):
+            reach = near[front] & left
+            fresh = np.flatnonzero(reach.any(axis=0))
+            parent[fresh], root[fresh] = front[reach[:, fresh].argmax(axis=0)], first
+            left[fresh] = False
+            front = fresh
+    return parent, root
+
+
+def best(node: np.ndarray, unit: np.ndarray, k: int, cosine: float, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """The ``k`` most similar others of each node, above its floor if it has one, and links that span the rest."""
     sim = unit @ unit.T
     np.fill_diagonal(sim, -2)
     k = min(k, len(node) - 1)
     if k < 1:
-        return pd.DataFrame({"src": node[:0], "dst": node[:0], "sim": sim[:0, 0]})
+        return pd.DataFrame({"src": node[:0], "dst": node[:0], "sim": sim[:0, 0], "spans": node[:0] > 0})
     top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     src, dst, value = np.repeat(node, k), node[top.reshape(-1)], np.take_along_axis(sim, top, 1).reshape(-1)
     keep = src != dst
     if floor is not None:
         keep &= value > np.repeat(floor, k)
-    return pd.DataFrame({"src": src[keep], "dst": dst[keep], "sim": value[keep]})
+    out = pd.DataFrame({"src": src[keep], "dst": dst[keep], "sim": value[keep], "spans": False})
+    if sim.max() < cosine - SLACK:
+        return out
+    # What single precision leaves open is passed on pair by pair where the sure links don't connect it.
+    parent, root = spanning((sim >= cosine + SLACK) & (node[:, None] != node[None, :]))
+    a = np.flatnonzero(parent >= 0)
+    b = parent[a]
+    x, y = np.nonzero(np.triu((np.abs(sim - cosine) < SLACK) & (root[:, None] != root[None, :])))
+    a, b = np.concatenate([a, x]), np.concatenate([b, y])
+    return pd.concat([out, pd.DataFrame({"src": node[a], "dst": node[b], "sim": sim[a, b], "spans": True})], ignore_index=True)
 
 
 def shortest(lists: DataFrame, k: int = LIST) -> DataFrame:
-    """The ``k`` best entries of each node's list; a node has at most a list's entries from each block it was in."""
+    """The ``k`` best entries of each node's list (``listed``), and all spanning links that were met.
+
+    A node has at most a list's entries from each block it was in, and as a ``src`` one spanning link.
+    """
     by = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return lists.groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("rank")
+    merged = lists.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.bool_or("spans").alias("spans"))
+    return merged.withColumn("listed", F.row_number().over(by) <= k).where("listed or spans")
 
 
-def descend(nodes: DataFrame, lists: DataFrame) -> DataFrame:
+def descend(nodes: DataFrame, lists: DataFrame, cosine: float) -> DataFrame:
     """One NN-descent round: the neighbours of a node, in both directions, are compared with each other.
 
     A hub's neighbours are dealt out over groups of ``JOIN_ROWS``; none is left out. Pairs that would enter
-    neither's list aren't emitted.
+    neither's list aren't emitted, but for links that span what the others link.
     """
+    met = lists.drop("listed")
+    lists = lists.where("listed").drop("listed")
     floors = lists.groupBy("src").agg(F.min("sim").alias("floor"), F.count("*").alias("n"))
     known = nodes.join(floors, nodes["node"] == floors["src"], "left").select(
         F.col("node").alias("member"), "unit", F.when(F.col("n") >= LIST, F.col("floor")).otherwise(F.lit(-2.0)).cast("float").alias("floor")
@@ -134,10 +171,10 @@ def descend(nodes: DataFrame, lists: DataFrame) -> DataFrame:
         for a, b in zip(cuts, cuts[1:], strict=False):
             own = units[a:b]
             if b - a > 1 and len({len(u) for u in own}) == 1:
-                out.append(best(node[a:b], np.stack(own), LIST, floor[a:b]))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"src": [], "dst": [], "sim": []})
+                out.append(best(node[a:b], np.stack(own), LIST, cosine, floor[a:b]))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"src": [], "dst": [], "sim": [], "spans": []})
 
-    return shortest(lists.unionByName(rows.mapInPandas(run, "src long, dst long, sim float")))
+    return shortest(met.unionByName(rows.mapInPandas(run, "src long, dst long, sim float, spans boolean")))
 
 
 def verified(nodes: DataFrame, lists: DataFrame, cosine: float) -> DataFrame:
@@ -148,6 +185,77 @@ def verified(nodes: DataFrame, lists: DataFrame, cosine: float) -> DataFrame:
     return near.join(one, "src").join(two, "dst").where(dot >= cosine).select("src", "dst")
 
 
+def bridges(nodes: DataFrame, groups: DataFrame, full: DataFrame, cosine: float) -> DataFrame:
+    """``(src, dst)``: links that join all ``groups(node, root)`` between which two saturated vectors link.
+
+    Two vectors with full lists above the threshold may name nobody of the other's group. Saturated vectors
+    are put into cells around a first member; two cells of different groups can hold a link only if the
+    first members' angle is at most the threshold's plus both radii. Such cells are compared in full, unless
+    first members connect their groups already, so no link between groups is left to chance.
+    """
+    own = full.join(groups, full["src"] == groups["node"]).select("root", "node").join(nodes.select("node", "unit"), "node")
+    sizes = own.groupBy("root").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    dealt = own.join(sizes, "root").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+
+    def cover(frame: pd.DataFrame) -> pd.DataFrame:
+        node, unit = frame["node"].to_numpy(), np.stack(frame["unit"].to_numpy())
+        angle = np.arccos(np.clip(unit @ unit.T, -1, 1))
+        cell, radius = np.full(len(node), -1), np.zeros(len(node))
+        for i in range(len(node)):
+            if cell[i] < 0:
+                mine = (cell < 0) & (angle[i] <= CELL)
+                mine[i] = True
+                cell[mine], radius[i] = i, angle[i][mine].max()
+        return pd.DataFrame({"root": frame["root"], "cell": node[cell], "node": node, "unit": list(unit), "radius": radius})
+
+    members = save(dealt.groupBy("root", "piece").applyInPandas(cover, "root long, cell long, node long, unit array<double>, radius double"), "cells")
+    firsts = members.where("cell = node").select("root", "cell", "unit", "radius", F.size("unit").alias("dim"))
+    pieces = max(1, math.ceil(firsts.count() / CELLS))
+    rows = (
+        firsts.withColumn("piece", F.pmod(F.xxhash64("cell"), F.lit(pieces)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        .withColumn("low", F.least("piece", "other"))
+        .withColumn("high", F.greatest("piece", "other"))
+    )
+    limit = math.acos(cosine)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        cell, radius, piece = (frame[c].to_numpy() for c in ("cell", "radius", "piece"))
+        unit = np.stack(frame["unit"].to_numpy())
+        _, group = np.unique(frame["root"].to_numpy(), return_inverse=True)
+        dot = unit @ unit.T
+        apart = group[:, None] != group[None, :]
+        if frame["low"].iloc[0] != frame["high"].iloc[0]:
+            apart &= piece[:, None] != piece[None, :]
+        a, b = np.nonzero((dot >= cosine) & apart)
+        linked = np.zeros((group.max() + 1,) * 2, bool)
+        linked[group[a], group[b]] = True
+        parent, root = spanning(linked)
+        sure = parent[group[a]] == group[b]
+        a, b = a[sure], b[sure]
+        _, once = np.unique(group[a], return_index=True)
+        a, b = a[once], b[once]
+        apart &= (root[:, None] != root[None, :])[group[:, None], group[None, :]]
+        x, y = np.nonzero(np.triu(apart & (np.arccos(np.clip(dot, -1, 1)) <= limit + radius[:, None] + radius[None, :] + 1e-6)))
+        return pd.DataFrame({"src": cell[np.concatenate([a, x])], "dst": cell[np.concatenate([b, y])], "sure": np.arange(len(a) + len(x)) < len(a)})
+
+    met = save(rows.groupBy("dim", "low", "high").applyInPandas(meet, "src long, dst long, sure boolean"), "cell-pairs")
+    open_pairs = met.where("not sure").select("src", "dst")
+    asked = open_pairs.select("src", "dst", F.inline(F.array(*[F.struct(F.col(c).alias("cell"), F.lit(c == "src").alias("left")) for c in ("src", "dst")])))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        left = frame["left"].to_numpy()
+        node, unit = frame["node"].to_numpy(), np.stack(frame["unit"].to_numpy())
+        dot = unit[left] @ unit[~left].T
+        a, b = np.unravel_index(dot.argmax(), dot.shape)
+        found = dot[a, b] >= cosine
+        return pd.DataFrame({"a": node[left][[a]][:found], "b": node[~left][[b]][:found]})
+
+    exact = asked.join(members.select("cell", "node", "unit"), "cell").groupBy("src", "dst").applyInPandas(compare, "a long, b long")
+    both = met.where("sure").select("src", "dst").unionByName(exact.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return both.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 def dense_counts(nodes: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
     """``(node, links, weight)`` inside each of ``groups(node, root)``, by exact comparison in pieces.
 
@@ -210,7 +318,9 @@ def near_duplicates(
     other). Repeated ids are rows of their own; other columns are not read.
 
     Lists start from blocks of random-projection trees (their number follows from the count and the
-    threshold), NN-descent rounds refine them, and groups with saturated lists are compared exactly. Recall
+    threshold), and NN-descent rounds refine them. Links met beyond a list's end still join their groups, and
+    saturated vectors of different groups are compared through cells, so that two linked dense groups are
+    one; groups with saturated lists are then compared exactly, the links between their parts too. Recall
     against brute force is measured on a sample; below ``recall`` more trees are added, ``tries`` times at
     most, after which an error names the recall reached.
     """
@@ -219,13 +329,17 @@ def near_duplicates(
     nodes = save(classes, "vector-classes")
     trees, lists, first = trees_for(nodes.count(), cosine), None, 0
     for _ in range(tries):
-        start = first_lists(nodes, range(first, first + trees))
-        lists = save(shortest(start if lists is None else start.unionByName(lists)), "lists")
+        start = first_lists(nodes, range(first, first + trees), cosine)
+        lists = save(shortest(start if lists is None else start.unionByName(lists.drop("listed"))), "lists")
         for _ in range(ROUNDS):
-            lists = save(descend(nodes, lists), "lists")
+            lists = save(descend(nodes, lists, cosine), "lists")
         edges = save(verified(nodes, lists, cosine), "links")
         groups = save(components(edges), "groups")
-        full = lists.groupBy("src").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where((F.col("n") >= LIST) & (F.col("least") >= cosine - SLACK))
+        full = lists.where("listed").groupBy("src").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where((F.col("n") >= LIST) & (F.col("least") >= cosine - SLACK))
+        across = save(bridges(nodes, groups, full, cosine), "bridges")
+        if across.take(1):
+            edges = edges.unionByName(across)
+            groups = save(components(edges), "groups")
         dense = full.join(groups, full["src"] == groups["node"]).select("root").distinct()
         exact = dense_counts(nodes, groups.join(dense, "root", "left_semi"), cosine)
         open_edges = edges.join(groups, edges["src"] == groups["node"]).join(dense, "root", "left_anti").select("src", "dst")
