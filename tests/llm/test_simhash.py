@@ -94,3 +94,53 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
     assert simhash.keep_one(docs).collect() == []
+
+
+def plain_similar(texts, width=5):
+    """Index of the first text of each group, by trying all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    head = list(range(len(texts)))
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            head[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one_similar_decides_by_jaccard(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    texts = corpus(40)
+    for i in range(60):
+        words = rng.choices(vocab, k=rng.randint(150, 500))
+        texts.append(" ".join(words))
+        # One to three copies with words changed, each up to five shingles: similarities of 0.6 to 1.
+        for _ in range(rng.randint(1, 3)):
+            words = list(words)
+            for at in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.005, 0.04)))):
+                words[at] = "changed" + str(rng.random())
+            texts.append(" ".join(words))
+    expect = plain_similar(texts)
+    nine = plain_components([(i, plain_fingerprint(t, 5)) for i, t in enumerate(texts)], 9)
+    assert len(set(nine) - set(expect)) > 5  # the fingerprint alone leaves these copies
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, row string, sign string")
+    for rows in (128, 2):
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
+        kept = simhash.keep_one_similar(docs)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert sorted(r.doc_id for r in got) == sorted(set(expect))
+        assert all((r.row, r.sign) == ("x", "y") for r in got)
+
+
+def test_keep_one_similar_of_nothing(spark):
+    assert simhash.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []

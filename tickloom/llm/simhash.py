@@ -236,8 +236,8 @@ def keep_one(
 ) -> DataFrame:
     """One row of ``docs`` for each near-duplicate component: the one with the smallest id (null last).
 
-    The defaults take five-word shingles and nine bits: at an angle of 9/64 of a half turn two equally
-    large shingle sets have a Jaccard similarity of 0.8. Of rows that tie in the id any one stays. All
+    The defaults take five-word shingles and nine bits; a fingerprint only estimates the similarity of the
+    sets (``keep_one_similar`` decides by it). Of rows that tie in the id any one stays. All
     columns come out as they were, whatever their names.
     """
     fp, row = free_name(docs, "fp"), free_name(docs, "row")
@@ -246,3 +246,105 @@ def keep_one(
     found = classify(table.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row")), radius, blocks)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"))
     return table.join(kept.select(F.col("least.row").alias(row)), row, "left_semi").drop(fp, row)
+
+
+#: MinHash bands and values in each; a pair at similarity 0.8 shares a band with probability 0.9996.
+BANDS = 20
+BAND_ROWS = 5
+#: Texts of one bucket that are compared at once, with as many others.
+BUCKET_ROWS = 128
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted XXH64 values of the distinct word shingles, with words as in ``fingerprint``."""
+    words = (text or "").encode().lower().split()
+    width = min(width, len(words))
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams)))
+
+
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """One key for each band of the set's minimum hashes."""
+    rng = np.random.default_rng(7)
+    factor, shift = rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
+    factor = factor * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[at : at + 2048, None] * factor + shift).min(axis=0), out=least)
+    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(part.tobytes(), i)).view("<i8"))) for i, part in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= similarity * (len(one) + len(two) - both)
+
+
+def similar_groups(texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """``(node, root)`` of the texts of ``texts(node, text, bands)`` whose shingle sets are linked at ``similarity``.
+
+    Texts of a bucket are compared with its first one; buckets that then still hold several groups are
+    compared in full, in pieces, so no verified link between groups of a bucket is left out.
+    """
+    buckets = save(texts.select("node", F.explode("bands").alias("bucket")), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    held = save(buckets.join(shared, "bucket"), "shared-buckets")
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("src", "dst"))
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(shingle_set(x, width), shingle_set(y, width), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    pairs = held.where("first <> node").select(F.col("first").alias("src"), F.col("node").alias("dst")).distinct()
+    edges = save(pairs.join(one, "src").join(two, "dst").where(near("src_text", "dst_text")).select("src", "dst"), "similar")
+    groups = save(components(edges), "groups")
+    rooted = held.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    dealt = (
+        rooted.join(mixed, "bucket")
+        .withColumn("pieces", F.ceil(F.col("n") / BUCKET_ROWS).cast("int"))
+        .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "node", "root")
+    )
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        node, label = frame["node"].to_numpy(), frame["root"].to_numpy().copy()
+        src, dst = [], []
+        if (label != label[0]).any():
+            sets = [shingle_set(t, width) for t in frame["text"]]
+            for i in range(len(node)):
+                for j in range(i):
+                    if label[i] != label[j] and similar(sets[i], sets[j], similarity):
+                        src.append(node[i])
+                        dst.append(node[j])
+                        label[label == label[j]] = label[i]
+        return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
+
+    more = dealt.join(texts.select("node", "text"), "node").groupBy("bucket", "low", "high").applyInPandas(compare, "src long, dst long")
+    return components(edges.unionByName(more))
+
+
+def keep_one_similar(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` for each group linked by the Jaccard similarity of word shingles; rows as in ``keep_one``.
+
+    MinHash bands give candidates (a pair at 0.8 is missed with probability 0.0004, less above), and a pair
+    is linked only if its shingle sets reach ``similarity``. Rows with equal sets are one group.
+    """
+    sign, row = free_name(docs, "sign"), free_name(docs, "row")
+
+    @F.pandas_udf("bands array<long>, same binary")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in texts]
+        return pd.DataFrame({"bands": [bands_of(x) for x in sets], "same": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]})
+
+    table = save(docs.withColumn(sign, signed(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "documents")
+    rows = table.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{sign}.same").alias("same"))
+    classes = save(rows.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")), "shingle-classes")
+    texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text"), F.col(f"{sign}.bands").alias("bands"))
+    groups = similar_groups(texts.join(classes.select("node"), "node", "left_semi"), similarity, width)
+    kept = classes.join(groups, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
+    return table.join(kept.select(F.col("least.row").alias(row)), row, "left_semi").drop(sign, row)
