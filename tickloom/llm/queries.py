@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import chat, decontaminate, fim, licenses, linededup, neighbours, packing, pii, quality, simhash, warc
+from tickloom.llm import chat, decontaminate, fim, langid, licenses, linededup, neighbours, packing, pii, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.examples(table(spark, sf_dir, "documents"))
     back = fim.restored(F.col("output"), F.col("form"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query()
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
