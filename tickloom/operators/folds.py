@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import ONE_BLOCK, exact_quantiles
 from tickloom.operators.signals import classification_scores
-from tickloom.operators.stats import attach, long_columns
+from tickloom.operators.stats import attach, long_columns, safe_corr
 from tickloom.sources.typed import scratch_dir
 
 
@@ -216,6 +216,6 @@ def residual_diagnostic(df: DataFrame, signal: str, controls: Sequence[str], out
     r = F.col(signal) - F.col("_fit")
     d = d.withColumn("_r", r)
     return d.agg(
-        F.count("*").alias("n"), (1 - F.sum(r * r) / (F.var_pop(signal) * F.count("*"))).alias("r2"), F.corr(signal, "_fit").alias("corr_fit"),
-        F.corr("_r", outcome).alias("corr_residual"), F.corr(signal, outcome).alias("corr_signal"),
+        F.count("*").alias("n"), (1 - F.sum(r * r) / F.nullif(F.var_pop(signal) * F.count("*"), F.lit(0.0))).alias("r2"), safe_corr(signal, "_fit").alias("corr_fit"),
+        safe_corr("_r", outcome).alias("corr_residual"), safe_corr(signal, outcome).alias("corr_signal"),
     )

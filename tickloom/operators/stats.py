@@ -73,6 +73,14 @@ def mean_if(cond: Column, value: Column) -> Column:
     return F.avg(F.when(cond, value))
 
 
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation over the rows with both values; NULL, not an error, where one side has no variance."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def share(cond: Column) -> Column:
     """Share of rows meeting a condition, among rows where it is defined."""
     return F.avg(cond.cast("int"))
@@ -160,7 +168,7 @@ def rank_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str, cut=None) ->
 def information_coefficients(df: DataFrame, keys: Sequence[str], x: str, y: str, cut=None) -> DataFrame:
     """Pairs, Pearson and Spearman (average ranks) per key."""
     return rank_pairs(df, keys, x, y, cut).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman")
+        F.count("*").alias("n"), safe_corr(x, y).alias("pearson"), safe_corr("_rx", "_ry").alias("spearman")
     )
 
 

@@ -11,7 +11,7 @@ from tickloom.functions.book import ratio, walk_book
 from tickloom.operators.joins import interval_sums
 from tickloom.operators.ordered import ONE_BLOCK, Blocks, asof, halo_range, row_numbers, running, shifted
 from tickloom.operators.selection import spaced
-from tickloom.operators.stats import attach, mean_if, share
+from tickloom.operators.stats import attach, mean_if, safe_corr, share
 
 
 def one_position_trades(
@@ -245,7 +245,7 @@ def bar_metrics(df: DataFrame, keys: Sequence[str], order: str, hold: int, least
     """Score against forward log return on all rows, and the every-``hold``-rows tape of strong scores."""
     score, target = F.col("score"), F.col("target")
     rows = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), share(F.signum(score) == F.signum(target)).alias("accuracy"), F.corr("score", "target").alias("ic"),
+        F.count("*").alias("n"), share(F.signum(score) == F.signum(target)).alias("accuracy"), safe_corr("score", "target").alias("ic"),
         (mean_if(F.col("decile") == 9, target) - mean_if(F.col("decile") == 0, target)).alias("decile_gap"),
     )
     t = row_numbers(df, keys, order, "_n", blocks).where(((F.col("_n") - 1) % hold == 0) & (F.abs(score) >= least))

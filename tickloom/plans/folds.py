@@ -129,7 +129,7 @@ def linear_score(v):
     s = fd.linear_score(z, fd.ols_fit(z, ["z1", "z2"], "y"), ["z1", "z2"], "f").where("y IS NOT NULL")
     e = F.col("y") - F.col("f")
     return s.groupBy("blk").agg(
-        F.count("*").alias("n"), F.avg("f").alias("mean_score"), F.corr("f", "y").alias("ic"), (1 - F.sum(e * e) / (F.var_pop("y") * F.count("*"))).alias("r2"),
+        F.count("*").alias("n"), F.avg("f").alias("mean_score"), st.safe_corr("f", "y").alias("ic"), (1 - F.sum(e * e) / F.nullif(F.var_pop("y") * F.count("*"), F.lit(0.0))).alias("r2"),
         F.avg(F.abs(e)).alias("mae"), F.avg((F.signum("f") == F.signum("y")).cast("int")).alias("direction_accuracy"),
     )
 

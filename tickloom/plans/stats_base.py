@@ -168,7 +168,7 @@ def hac_slope(v):
 def univariate_report(v):
     cut = v.cut(v.marks, "events", 10)
     d = st.rank_pairs(v.marks, [], "sig", "m6", cut).agg(
-        F.count("*").alias("pairs"), F.avg("sig").alias("mean"), F.stddev_pop("sig").alias("std"), F.corr("sig", "m6").alias("pearson"), F.corr("_rx", "_ry").alias("spearman")
+        F.count("*").alias("pairs"), F.avg("sig").alias("mean"), F.stddev_pop("sig").alias("std"), st.safe_corr("sig", "m6").alias("pearson"), st.safe_corr("_rx", "_ry").alias("spearman")
     )
     return d.crossJoin(F.broadcast(hac_slope(v).drop("n")))
 
