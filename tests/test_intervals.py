@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import intervals as iv
 from tickloom.operators import joins as jn
+from tickloom.operators import queue as qu
 from tickloom.operators import selection as sel
 from tickloom.operators.ordered import ONE_BLOCK, Blocks
 
@@ -110,18 +111,22 @@ def brute_queue(q, prints, deltas, window, lots, alpha, beta):
     return None, None
 
 
-def test_queue_grid_fills(spark):
+def queue_market(n=240, span=600):
     rng = np.random.default_rng(3)
-    n = 240
-    stamps = rng.permutation(600)[:n]
-    prints = pd.DataFrame({"seg": 0, "ts_us": stamps[:120], "ord": np.arange(120), "side": rng.choice(["bid", "ask"], 120), "px": rng.choice([99, 100, 100, 101], 120), "qty": rng.integers(1, 5, 120)})
-    deltas = pd.DataFrame({"seg": 0, "side": rng.choice(["bid", "ask"], 120), "px": rng.choice([100, 101], 120), "ts_us": stamps[120:], "delta": rng.integers(-6, 5, 120)})
-    quotes = pd.DataFrame({"seg": 0, "at_us": rng.integers(0, 600, 40), "side": rng.choice(["bid", "ask"], 40), "px": rng.choice([100, 101], 40), "displayed": rng.integers(0, 12, 40)}).drop_duplicates(["at_us", "side"])
-    cells = (0, 50, 100)
-    got = jn.queue_grid_fills(
-        spark.createDataFrame(quotes), spark.createDataFrame(prints), spark.createDataFrame(deltas), ["seg"], ["seg", "at_us", "side"], 150, 4, cells, cells
-    ).toPandas().set_index(["at_us", "side", "alpha", "beta"])
-    assert len(got) == len(quotes) * 9
+    stamps, half = rng.permutation(span)[:n], n // 2
+    prints = pd.DataFrame({"seg": 0, "ts_us": stamps[:half], "ord": np.arange(half), "side": rng.choice(["bid", "ask"], half), "px": rng.choice([99, 100, 100, 101], half), "qty": rng.integers(1, 5, half)})
+    deltas = pd.DataFrame({"seg": 0, "side": rng.choice(["bid", "ask"], half), "px": rng.choice([100, 101], half), "ts_us": stamps[half:], "ord": np.arange(half), "delta": rng.integers(-6, 5, half)})
+    quotes = pd.DataFrame({"seg": 0, "at_us": rng.integers(0, span, 40), "side": rng.choice(["bid", "ask"], 40), "px": rng.choice([100, 101, 104], 40), "displayed": rng.integers(0, 12, 40)}).drop_duplicates(["at_us", "side"])
+    return prints, deltas, quotes
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_queue_grid_fills(spark, many):
+    prints, deltas, quotes = queue_market()
+    cells = (0, 30, 50, 100)
+    frames = [spark.createDataFrame(d) for d in (quotes, prints, deltas)]
+    got = qu.queue_grid_fills(*frames, ["seg"], ["seg", "at_us", "side"], 150, 4, cells, cells, cuts(many, 600)).toPandas().set_index(["at_us", "side", "alpha", "beta"])
+    assert len(got) == len(quotes) * 16
     for q in quotes.itertuples():
         for a in cells:
             for b in cells:
@@ -130,6 +135,40 @@ def test_queue_grid_fills(spark):
                 assert have == brute_queue(q, prints, deltas, 150, 4, a, b), (q, a, b)
 
 
+def test_queue_plan_has_no_order_event_rows(spark):
+    prints, deltas, quotes = queue_market()
+    frames = [spark.createDataFrame(d) for d in (quotes, prints, deltas)]
+    plan = qu.queue_grid_fills(*frames, ["seg"], ["seg", "at_us", "side"], 150, 4, (0, 50), (0, 50))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 2  # the two lookups by order id
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(-9, 9)), max_size=60), st.integers(0, 12), st.integers(0, 60), st.integers(1, 60), st.integers(1, 6))
+def test_level_fills_equal_event_by_event(events, displayed, at, width, lots):
+    ev = [(i + 1, 0, 100, abs(x) + 1) if p else (i + 1, 1, 100, x) for i, (p, x) in enumerate(events) if p or x]
+    prints = pd.DataFrame([(t, 0, "bid", px, x) for t, k, px, x in ev if k == 0], columns=["ts_us", "seg", "side", "px", "qty"])
+    deltas = pd.DataFrame([(t, 0, "bid", px, x) for t, k, px, x in ev if k == 1], columns=["ts_us", "seg", "side", "px", "delta"])
+    q = pd.Series({"seg": 0, "at_us": at, "side": "bid", "px": 100, "displayed": displayed})
+    alphas, betas = (0, 35, 100), (0, 35, 100)
+    level = qu.Level(*(np.array([e[i] for e in ev], dtype="int64") for i in (0,)), np.array([e[1] == 0 for e in ev], dtype=bool), np.array([e[3] for e in ev], dtype="int64"))
+    got = level.fills(np.array([at]), np.array([at + width]), np.array([displayed]), lots, alphas, betas)[0]
+    want = [[brute_queue(q, prints, deltas, width, lots, a, b)[0] for b in betas] for a in alphas]
+    assert [[None if x < 0 else x for x in row] for row in got.tolist()] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(SMALL)
+def test_path_sums(values):
+    v = np.array(values)
+    step = qu.greater_next(v)
+    w = np.arange(1, len(v) + 1)
+    for i, total in enumerate(qu.path_sums(v, w)):
+        want, at = 0, i
+        while at < len(v):
+            want, at = want + w[at], step[at]
+        assert total == want
+
+
 @pytest.mark.parametrize("limit,many", [(1000, False), (3, False), (3, True)])
 def test_spaced(spark, limit, many):
     rng = np.random.default_rng(2)

@@ -18,20 +18,41 @@ from tickloom.operators.ordered import BLOCK, ONE_BLOCK, Blocks
 
 
 def first_index_beyond(values: np.ndarray, start: np.ndarray, limit: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """First i in [start, limit) with values[i] > bound, else limit; power-of-two maxima, all queries at once."""
+    """First i in [start, limit) with values[i] > bound, else limit; all queries at once on a tree of maxima.
+
+    The tree has two numbers a value. Each query climbs over stretches that hold nothing beyond its bound and, where
+    one does, goes down to its first such value: as many steps as the tree has levels, twice.
+    """
     n = len(values)
-    tables = [values]
-    while 2 ** len(tables) <= n:
-        half = 2 ** (len(tables) - 1)
-        last = tables[-1]
-        tables.append(np.maximum(last[: len(last) - half], last[half:]))
-    at = start.copy()
-    for k in range(len(tables) - 1, -1, -1):
-        width = 2**k
-        fits = at + width <= limit
-        top = tables[k][np.minimum(at, len(tables[k]) - 1)]
-        at = np.where(fits & (top <= bound), at + width, at)
-    return np.minimum(at, limit)
+    out = limit.copy()
+    open_ = np.flatnonzero(start < np.minimum(limit, n))
+    if not len(open_):
+        return out
+    low = np.iinfo(values.dtype).min if values.dtype.kind in "iu" else -np.inf
+    levels = [values]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        if len(last) % 2:
+            last = levels[-1] = np.append(last, np.array(low, dtype=values.dtype))
+        levels.append(np.maximum(last[::2], last[1::2]))
+    at, want, top = start[open_], bound[open_], limit[open_]
+    found: list[list[np.ndarray]] = []
+    for k, tree in enumerate(levels):
+        node = at >> k
+        look = (node & 1 == 1) | (k == len(levels) - 1)
+        hit = np.zeros(len(at), dtype=bool)
+        hit[look] = tree[node[look]] > want[look]
+        found.append([open_[hit], node[hit], want[hit]])
+        at = np.where(look, (node + 1) << k, at)
+        stay = ~hit & (at < top) & (at >> k < len(tree))
+        open_, at, want, top = open_[stay], at[stay], want[stay], top[stay]
+    who, node, want = found[-1]
+    for k in range(len(levels) - 2, -1, -1):
+        node = node << 1
+        node = node + (levels[k][node] <= want)
+        who, node, want = (np.concatenate(x) for x in zip((who, node, want), found[k]))
+    out[who] = np.minimum(node, limit[who])
+    return out
 
 
 def split_sums(values: np.ndarray, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:

@@ -59,6 +59,14 @@ class Blocks:
         cuts = np.quantile([r["_axis"] for r in sample], np.arange(1, n) / n, method="lower") if sample else []
         return cls(tuple(sorted({float(c) for c in cuts})), rows)
 
+    def at_least(self, width: float) -> Blocks:
+        """Fewer splits, each at least ``width`` after the one before."""
+        kept: list[float] = []
+        for x in self.splits:
+            if not kept or x - kept[-1] >= width:
+                kept.append(x)
+        return Blocks(tuple(kept), self.rows)
+
     def assign(self, df: DataFrame, at: str | Column, out: str = BLOCK) -> DataFrame:
         if self.single:
             return df.withColumn(out, F.lit(0))

@@ -8,6 +8,7 @@ from tickloom.operators import joins as j
 from tickloom.operators.intervals import first_beyond
 from tickloom.operators.labels import path_markouts
 from tickloom.operators.ordered import asof, running
+from tickloom.operators.queue import queue_grid_fills
 from tickloom.plans.labels import NEAR, TQ, near_prints, quoted_sides, seg_ends, side_prints, touch_quotes
 from tickloom.plans.registry import query
 from tickloom.plans.state import book
@@ -121,12 +122,39 @@ def fill_lifetimes(v):
 ALPHAS = (0, 25, 50, 75, 100)
 
 
-@query("queue_assumption_grid")
+QUEUE = f"""
+    WITH RECURSIVE q AS (SELECT *, row_number() OVER (ORDER BY seg, at_us, side) AS qid FROM ({TQ}) t),
+    p AS ({NEAR}), c AS (SELECT s.seg, s.side, s.px, s.ts_us, s.ord, s.qty - coalesce(lag(s.qty) OVER (PARTITION BY s.seg, s.side, s.px ORDER BY s.ts_us, s.ord), 0) AS delta FROM levels s),
+    e AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ts_us, k, ord) AS n, ts_us, k, x FROM (
+          SELECT q.qid, p.ts_us, 0 AS k, p.ord, p.qty AS x FROM q JOIN p ON p.seg = q.seg AND p.side = q.side AND p.px = q.quote_px AND p.ts_us > q.at_us AND p.ts_us < q.at_us + {6 * HOUR}
+          UNION ALL
+          SELECT q.qid, c.ts_us, 1, c.ord, c.delta FROM q JOIN c ON c.seg = q.seg AND c.side = q.side AND c.px = q.quote_px AND c.ts_us > q.at_us AND c.ts_us < q.at_us + {6 * HOUR} WHERE c.delta <> 0)),
+    th AS (SELECT q.qid, min(p.ts_us) AS thru FROM q JOIN p ON p.seg = q.seg AND p.side = q.side AND p.ts_us > q.at_us AND p.ts_us < q.at_us + {6 * HOUR}
+           AND CASE q.side WHEN 'bid' THEN p.px < q.quote_px ELSE p.px > q.quote_px END GROUP BY 1),
+    s(qid, alpha, beta, n, ahead, behind, pool, got, hit) AS (
+      SELECT qid, a.x, b.x, 0::BIGINT, (quote_qty * a.x // 100)::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM q, (SELECT unnest({list(ALPHAS)})::BIGINT AS x) a, (SELECT unnest({list(ALPHAS)})::BIGINT AS x) b
+      UNION ALL
+      SELECT qid, alpha, beta, n,
+        CASE WHEN k = 0 THEN greatest(ahead - x, 0) ELSE greatest(ahead - free * beta // 100, 0) END::BIGINT,
+        CASE WHEN k = 0 THEN behind WHEN x > 0 THEN behind + x ELSE behind - drawn END::BIGINT,
+        CASE WHEN k = 0 THEN pool + x WHEN x > 0 THEN pool ELSE pool - greatest(least(pool, -x - drawn), 0) END::BIGINT,
+        (got + CASE WHEN k = 0 THEN greatest(x - ahead, 0) ELSE 0 END)::BIGINT,
+        CASE WHEN k = 0 AND x > ahead AND got + x - ahead >= 5 THEN ts_us END
+      FROM (SELECT s.qid, s.alpha, s.beta, e.n, e.k, e.x, e.ts_us, s.ahead, s.behind, s.pool, s.got, least(s.behind, greatest(-e.x, 0)) AS drawn,
+                   greatest(greatest(-e.x, 0) - least(s.behind, greatest(-e.x, 0)) - s.pool, 0) AS free
+            FROM s JOIN e ON e.qid = s.qid AND e.n = s.n + 1 WHERE s.hit IS NULL)),
+    f AS (SELECT qid, alpha, beta, max(hit) AS hit FROM s GROUP BY 1, 2, 3)
+    SELECT q.seg, q.at_us, q.side, q.quote_px AS px, q.quote_qty AS displayed, f.alpha, f.beta, least(thru, hit) AS fill_us,
+           CASE WHEN thru IS NOT NULL AND (hit IS NULL OR thru < hit) THEN 'through' WHEN hit IS NOT NULL THEN 'at_quote' END AS mechanism
+    FROM q JOIN f USING (qid) LEFT JOIN th USING (qid)"""
+
+
+@query("queue_assumption_grid", QUEUE)
 def queue_assumption_grid(v):
     b, q = touch_quotes(v)
-    deltas = b.select("seg", "side", "px", "ts_us", (F.col("qty") - F.col("old_qty")).alias("delta"))
+    deltas = b.select("seg", "side", "px", "ts_us", "ord", (F.col("qty") - F.col("old_qty")).alias("delta"))
     quotes = q.select("seg", "at_us", "side", F.col("quote_px").alias("px"), F.col("quote_qty").alias("displayed"))
-    return j.queue_grid_fills(quotes, near_prints(v), deltas, ["seg"], ["seg", "at_us", "side"], 6 * HOUR, 5, ALPHAS, ALPHAS, v.time)
+    return queue_grid_fills(quotes, near_prints(v), deltas, ["seg"], ["seg", "at_us", "side"], 6 * HOUR, 5, ALPHAS, ALPHAS, v.time)
 
 
 @query("next_boundary", "SELECT o.oid, s.ts_us AS boundary_us FROM orders_p o ASOF LEFT JOIN (SELECT * FROM levels WHERE ord % 100 = 0) s ON s.seg = o.seg AND o.place_us < s.ts_us")
