@@ -163,31 +163,64 @@ def trade_buckets(prints: DataFrame, grid: DataFrame, keys: Sequence[str], ts: s
     return out.na.fill(0, sums)
 
 
-def _sweep_side(rank_best: np.ndarray, px: np.ndarray, qty: np.ndarray, mine: np.ndarray) -> dict[str, np.ndarray]:
-    """Touch, ten-level depth and pre-update rank of one side after every row, price by price."""
-    n = len(px)
-    steps = np.arange(n)
-    best = np.zeros(n, dtype="int64")
-    best_qty = np.zeros(n, dtype="int64")
-    depth = np.zeros(n, dtype="int64")
-    live = np.zeros(n, dtype="int64")
-    before_count = np.zeros(n, dtype="int64")
-    rank = np.full(n, -1, dtype="int64")
-    old = np.zeros(n, dtype="int64")
-    for price in rank_best:
-        rows = np.flatnonzero(mine & (px == price))
-        at = np.searchsorted(rows, steps, side="right") - 1
-        after = np.where(at >= 0, qty[rows[np.maximum(at, 0)]], 0)
-        before = np.concatenate(([0], after[:-1]))
-        rank[rows] = before_count[rows]
-        old[rows] = before[rows]
-        on = after > 0
-        first = on & (live == 0)
-        best[first], best_qty[first] = price, after[first]
-        depth += np.where(live < 10, after, 0)
-        live += on
-        before_count += before > 0
-    return {"best": best, "qty": best_qty, "depth": depth, "live": live, "rank": rank, "old": old}
+def ranked_levels(rank: np.ndarray, live: np.ndarray, size: np.ndarray, depth: int) -> dict[str, np.ndarray]:
+    """Best rank, its size, the size of the best ``depth`` ranks and the live ranks before its own, after each update.
+
+    Updates are in order; ``live`` and ``size`` are what each changes at its rank. The ranks are split bit by bit as in
+    a binary tree, all updates at once: whoever looks for the k-th live rank at its moment goes left if so many of the
+    left half live then, else goes right for the rest. Time grows with updates times the bits of a rank.
+    """
+    n = len(rank)
+    bits = max(1, int(rank.max(initial=0)).bit_length())
+    total = np.cumsum(live)
+    now = np.arange(1, n + 1)
+    at, of = rank, np.arange(n)
+    zero_ = np.zeros(n, dtype="int64")
+    # Two seekers (first and last of the best ranks) and one that follows each update's own rank as it was before.
+    seek = [{"k": k, "lo": zero_, "hi": now, "rank": zero_, "sum": zero_} for k in (np.minimum(total, 1), np.minimum(total, depth))]
+    own = {"lo": zero_, "hi": now - 1, "count": zero_}
+    start = lambda x: np.concatenate(([0], np.cumsum(x)))
+    for b in range(bits - 1, -1, -1):
+        left = (at >> b) & 1 == 0
+        lefts, lives, sizes = start(left), start(np.where(left, live[of], 0)), start(np.where(left, size[of], 0))
+
+        def move(lo: np.ndarray, hi: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return tuple(np.where(right, lefts[-1] + x - lefts[x], lefts[x]) for x in (lo, hi))
+
+        for s in seek:
+            count = lives[s["hi"]] - lives[s["lo"]]
+            right = count < s["k"]
+            s["sum"] = s["sum"] + np.where(right, sizes[s["hi"]] - sizes[s["lo"]], 0)
+            s["k"] = s["k"] - np.where(right, count, 0)
+            s["rank"] = s["rank"] | (right.astype("int64") << b)
+            s["lo"], s["hi"] = move(s["lo"], s["hi"], right)
+        right = (rank >> b) & 1 == 1
+        own["count"] = own["count"] + np.where(right, lives[own["hi"]] - lives[own["lo"]], 0)
+        own["lo"], own["hi"] = move(own["lo"], own["hi"], right)
+        order = np.concatenate((np.flatnonzero(left), np.flatnonzero(~left)))
+        at, of = at[order], of[order]
+    sizes = start(size[of])
+    first, last = (sizes[s["hi"]] - sizes[s["lo"]] for s in seek)
+    some = total > 0
+    return {
+        "best": seek[0]["rank"],
+        "qty": np.where(some, first, 0),
+        "depth": np.where(some, seek[1]["sum"] + last, 0),
+        "live": total,
+        "rank": own["count"],
+    }
+
+
+def _sweep_side(px: np.ndarray, qty: np.ndarray, best_is: int) -> dict[str, np.ndarray]:
+    """Touch, ten-level depth, and rank and size before each of one side's updates (``best_is`` -1: the highest)."""
+    prices, rank = np.unique(px * best_is, return_inverse=True)
+    order = np.argsort(rank, kind="stable")
+    old = np.zeros(len(px), dtype="int64")
+    same = rank[order][1:] == rank[order][:-1]
+    old[order[1:]] = np.where(same, qty[order][:-1], 0)
+    got = ranked_levels(rank, (qty > 0).astype("int64") - (old > 0), qty - old, 10)
+    best = prices[got["best"]] * best_is if len(px) else px
+    return {**got, "best": best, "old": old}
 
 
 SWEPT = (
@@ -226,18 +259,19 @@ def book_after_updates(
         pdf = pdf.sort_values(["_carry", ts, ord_], ascending=[False, True, True], kind="stable")
         px, qty = pdf["px"].to_numpy(), pdf["qty"].to_numpy()
         is_bid = (pdf["side"] == "bid").to_numpy()
-        bid = _sweep_side(np.unique(px[is_bid])[::-1], px, qty, is_bid)
-        ask = _sweep_side(np.unique(px[~is_bid]), px, qty, ~is_bid)
         out = pdf[cols].copy()
-        for side, got in (("bid", bid), ("ask", ask)):
-            some = got["live"] > 0
-            out[f"best_{side}"] = pd.array(got["best"], dtype="Int64")
-            out.loc[~some, f"best_{side}"] = pd.NA
-            out[f"{side}_qty"] = got["qty"]
-            out[f"{side}_depth"] = got["depth"]
-            out[f"{side}_levels"] = got["live"]
-        out["rank"] = np.where(is_bid, bid["rank"], ask["rank"])
-        out["old_qty"] = np.where(is_bid, bid["old"], ask["old"])
+        out["rank"], out["old_qty"] = np.int64(0), np.int64(0)
+        for side, mine, best_is in (("bid", is_bid, -1), ("ask", ~is_bid, 1)):
+            got = _sweep_side(px[mine], qty[mine], best_is)
+            # A side is as its own last update left it; before the first one it is empty.
+            last = np.cumsum(mine)
+            state = {c: np.concatenate(([0], got[c]))[last] for c in ("best", "qty", "depth", "live")}
+            out[f"best_{side}"] = pd.array(state["best"], dtype="Int64")
+            out.loc[state["live"] == 0, f"best_{side}"] = pd.NA
+            for c, name in (("qty", "qty"), ("depth", "depth"), ("live", "levels")):
+                out[f"{side}_{name}"] = state[c]
+            for c, name in (("rank", "rank"), ("old", "old_qty")):
+                out.loc[mine, name] = got[c]
         return out[~pdf["_carry"].to_numpy()]
 
     return d.groupBy(*keys, BLOCK).applyInPandas(sweep, schema)
