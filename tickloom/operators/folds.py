@@ -1,22 +1,17 @@
-"""Chronological folds with purging, train-only preprocessing, and Spark ML models per fold."""
+"""Chronological folds with purging, train-only preprocessing, linear fits and what folds say about them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import ONE_BLOCK, exact_quantiles
 from tickloom.operators.signals import classification_scores
 from tickloom.operators.stats import attach, long_columns, safe_corr
-from tickloom.sources.typed import scratch_dir
 
 
 def block_edges(df: DataFrame, ts: str, n: int) -> DataFrame:
@@ -137,48 +132,6 @@ def linear_score(df: DataFrame, coefficients: DataFrame, features: Sequence[str]
     return d.withColumn(out, score).drop(*[f"_c_{n}" for n in names])
 
 
-def out_of_fold(
-    rows: DataFrame, folds: DataFrame, ids: Sequence[str], features: Sequence[str], label: str, classes: bool = True, threads: int = 4
-) -> DataFrame:
-    """Predictions of a naive, a linear and a boosted model for every validation row of every fold.
-
-    ``rows`` comes from ``fold_rows``, ``folds`` from ``fold_dimension`` (a few rows). For classes: the base
-    rate, logistic regression and boosted trees give probabilities; otherwise the mean, ridge regression
-    and boosted trees give values. The rows are written once to the shared folder and read by every fit;
-    fits of several folds run side by side. A fold without training rows has no predictions.
-    """
-    spark = rows.sparkSession
-    base = rows.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double")).select(*ids, "fold", "role", label, "_y", *features)
-    path = scratch_dir(spark, "fold-rows")
-    base.write.partitionBy("fold").parquet(path)
-    # A text-typed partition column would not compare with the fold numbers.
-    saved = spark.read.schema(base.schema).parquet(path)
-    x = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(saved)
-    common = {"featuresCol": "_x", "labelCol": "_y"}
-    if classes:
-        models = {"logistic": LogisticRegression(maxIter=200, regParam=0.001, **common), "boosted": GBTClassifier(seed=7, **common)}
-    else:
-        models = {"ridge": LinearRegression(solver="normal", regParam=1.0, standardization=True, **common), "boosted": GBTRegressor(seed=7, **common)}
-    p = vector_to_array("probability")[1] if classes else F.col("prediction")
-
-    def fit(fold: int) -> list[DataFrame]:
-        part = x.where(F.col("fold") == fold)
-        train, val = part.where("role = 'train'"), part.where("role = 'val'")
-        if train.limit(1).count() == 0:
-            return []
-        naive = train.agg(F.avg("_y").alias("prediction"))
-        parts = [val.crossJoin(F.broadcast(naive)).select(*ids, "fold", label, F.lit("naive").alias("model"), "prediction")]
-        for name, model in models.items():
-            scored = model.fit(train).transform(val)
-            parts.append(scored.select(*ids, "fold", label, F.lit(name).alias("model"), p.alias("prediction")))
-        return parts
-
-    with ThreadPoolExecutor(threads) as pool:
-        parts = [d for found in pool.map(fit, sorted(r["fold"] for r in folds.select("fold").collect())) for d in found]
-    none = base.limit(0).select(*ids, "fold", label, F.lit("").alias("model"), F.lit(0.0).alias("prediction"))
-    return reduce(DataFrame.unionByName, parts, none)
-
-
 def coefficient_summary(coefficients: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Over folds: mean, median, range, share positive; and each feature's share of mean |value|."""
     c = F.col("value")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import folds as fd
+from tickloom.operators import oof
 from tickloom.operators import signals as sg
 from tickloom.operators import stats as st
 from tickloom.plans.registry import query
+from tickloom.plans.stats_base import rank_sql
 from tickloom.plans.stats_signal import PRED, class_sql, predictions
 from tickloom.plans.views import HOUR
 
@@ -136,20 +138,48 @@ def linear_score(v):
 
 def oof_rows(v):
     d = v.marks.where("sig IS NOT NULL AND m6 IS NOT NULL").withColumn("up", (F.col("m6") > 0).cast("int"))
-    ten = fd.fold_dimension(v.marks, "g_us", N, 2, PURGE)
-    return fd.fold_rows(d, ten, "g_us"), ten
+    return d, fd.fold_dimension(v.marks, "g_us", N, 2, PURGE)
 
 
-@query("oof_models")
-def oof_models(v):
-    oof = fd.out_of_fold(*oof_rows(v), ["seg", "g_us"], ["sig", "mid_x2"], "up")
-    return sg.classification_scores(oof, ["model", "fold"], "up", "prediction")
+#: The boosting schedule is the whole one but for its rounds, so that eight folds take minutes.
+FEW_ROUNDS = {"maxIter": 20}
 
 
-@query("oof_regressions")
+@query("oof_models")
+def oof_models(v):
+    d, ten = oof_rows(v)
+    p = oof.out_of_fold(d, ten, "g_us", ["seg", "g_us"], ["sig", "mid_x2"], "up", boosted=FEW_ROUNDS)
+    return sg.classification_scores(p, ["model", "fold"], "up", "prediction")
+
+
+RIDGE = f"""
+    WITH f AS (SELECT b - 2 AS fold, edges[b + 1] - {PURGE} AS train_end, edges[b + 1] AS val_start, edges[b + 2] AS val_end FROM ({EDGES}), range(2, {N}) t(b)),
+    d AS (SELECT * FROM marks WHERE sig IS NOT NULL AND m6 IS NOT NULL),
+    m AS (SELECT fold, count(*) AS n, quantile_cont(m6, 0.5) AS mid, avg(sig) AS a1, avg(mid_x2) AS a2, avg(m6) AS ay, stddev_pop(sig) AS s1, stddev_pop(mid_x2) AS s2,
+                 count(*) * covar_pop(sig, m6) / stddev_pop(sig) AS b1, count(*) * covar_pop(mid_x2, m6) / stddev_pop(mid_x2) AS b2, count(*) * covar_pop(sig, mid_x2) / (stddev_pop(sig) * stddev_pop(mid_x2)) AS r
+          FROM d JOIN f ON d.g_us <= f.train_end GROUP BY 1 HAVING count(*) >= 1000),
+    w AS (SELECT *, (b1 * (n + 1) - b2 * r) / ((n + 1) * (n + 1) - r * r) AS w1, (b2 * (n + 1) - b1 * r) / ((n + 1) * (n + 1) - r * r) AS w2 FROM m),
+    p AS (SELECT fold, m6, mid AS naive, ay + w1 * (sig - a1) / s1 + w2 * (mid_x2 - a2) / s2 AS ridge FROM d JOIN f ON d.g_us >= f.val_start AND d.g_us < f.val_end JOIN w USING (fold)),
+    l AS (SELECT fold, 'naive' AS model, m6 AS y, round(naive, 4) AS f FROM p UNION ALL SELECT fold, 'ridge', m6, round(ridge, 4) FROM p)
+    SELECT model, fold, count(*) AS n, avg(abs(f - y)) AS mae, sqrt(avg((f - y) * (f - y))) AS rmse, CASE WHEN max(f) > min(f) THEN corr(rf, ry) END AS spearman, avg(((f > 0) = (y > 0))::INT) AS sign_accuracy,
+           1 - sum((f - y) * (f - y)) / nullif(var_pop(y) * count(*), 0) AS r2, quantile_cont(abs(f - y), 0.5) AS median_ae
+    FROM (SELECT *, {rank_sql('f', 'model, fold')} AS rf, {rank_sql('y', 'model, fold')} AS ry FROM l) GROUP BY 1, 2"""
+
+
+@query("oof_regressions", RIDGE, dbl="mae rmse spearman sign_accuracy r2 median_ae")
 def oof_regressions(v):
-    oof = fd.out_of_fold(*oof_rows(v), ["seg", "g_us"], ["sig", "mid_x2"], "m6", classes=False)
-    return sg.regression_scores(oof, ["model", "fold"], "m6", "prediction")
+    """Naive and ridge, in closed form from one pass; rounded so that equal predictions tie in every engine."""
+    d, ten = oof_rows(v)
+    values = v.value_blocks(d, "m6", "events")
+    p = oof.out_of_fold(d, ten, "g_us", ["seg", "g_us"], ["sig", "mid_x2"], "m6", ("naive", "ridge"), blocks=values)
+    return sg.regression_scores(p.withColumn("prediction", F.round("prediction", 4)), ["model", "fold"], "m6", "prediction")
+
+
+@query("oof_boosted")
+def oof_boosted(v):
+    d, ten = oof_rows(v)
+    p = oof.out_of_fold(d, ten, "g_us", ["seg", "g_us"], ["sig", "mid_x2"], "m6", ("naive", "ridge", "boosted"), boosted=FEW_ROUNDS)
+    return sg.regression_scores(p, ["model", "fold"], "m6", "prediction")
 
 
 @query(
