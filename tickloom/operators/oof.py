@@ -138,16 +138,15 @@ def out_of_fold(
     do one row of sums a stage. Folds with fewer than ``least`` labelled training rows have no predictions.
 
     Rows without a label or a feature train no model but naive; a missing feature counts as its training mean when a
-    row is predicted. Iterative models read one saved table and mask it by stage.
+    row is predicted. All passes read one saved table; iterative models mask it by stage.
     """
     plan = sorted(folds.collect(), key=lambda f: f["train_end"])
     classes = "logistic" in models or "boosted_classes" in models
     base = staged(df, plan, ts).withColumn("_y", F.col(label).cast("double")).select(*ids, "fold", "_stage", label, "_y", *features)
     iterative = [m for m in models if m not in ("naive", "ridge")]
-    if iterative:
-        path = scratch_dir(df.sparkSession, "fold-rows")
-        base.where(F.col("fold").isNotNull() | (F.col("_stage") < len(plan))).write.parquet(path)
-        base = df.sparkSession.read.schema(base.schema).parquet(path)
+    path = scratch_dir(df.sparkSession, "fold-rows")
+    base.where(F.col("fold").isNotNull() | (F.col("_stage") < len(plan))).write.parquet(path)
+    base = df.sparkSession.read.schema(base.schema).parquet(path)
     labelled = expanding(stage_moments(base, ["_y"]), len(plan), 1)
     whole = expanding(stage_moments(base, [*features, "_y"]), len(plan), len(features) + 1)
     ready = [k for k in range(len(plan)) if labelled[k].n >= least and whole[k].n > 0]
