@@ -169,20 +169,44 @@ def test_path_sums(values):
         assert total == want
 
 
-@pytest.mark.parametrize("limit,many", [(1000, False), (3, False), (3, True)])
-def test_spaced(spark, limit, many):
+@pytest.mark.parametrize("hold", [1, 7, 45, 2000])
+@pytest.mark.parametrize("many", [False, True])
+def test_spaced(spark, hold, many):
     rng = np.random.default_rng(2)
-    rows = sorted({(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400))})
-    df = spark.createDataFrame([(k, t, k * 10_000 + t) for k, t in rows], "k bigint, t bigint, id bigint")
-    got = {(r.k, r.t) for r in sel.spaced(df, ["k"], "t", 7, cuts(many, 900), fold_limit=limit).collect()}
+    rows = sorted({(int(k), int(t)) for k, t in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400))} | {(5, t) for t in range(0, 900, 3)})
+    df = spark.createDataFrame([(k, t, k * 10_000 + t) for k, t in rows] + [(0, None, -1)], "k bigint, t bigint, id bigint")
+    got = {(r.k, r.t) for r in sel.spaced(df, ["k"], "t", hold, cuts(many, 900)).collect()}
     want, free = set(), {}
     for k, t in rows:
         if t >= free.get(k, -1):
             want.add((k, t))
-            free[k] = t + 7
+            free[k] = t + hold
     assert got == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=40, unique=True), st.integers(1, 30), st.lists(st.integers(1, 60), max_size=5))
+def test_block_maps_compose(stamps, hold, splits):
+    stamps, edges = sorted(stamps), [0, *sorted(set(splits)), 99]
+    blocks = [[t for t in stamps if a <= t < b] for a, b in zip(edges, edges[1:])]
+    maps = [(i, *sel._free_map(pd.DataFrame({"t": b}), "t", hold)) for i, b in enumerate(blocks) if b]
+    free = sel._free_from(pd.DataFrame(maps, columns=[sel.BLOCK, "_upto", "_out"])).set_index(sel.BLOCK)["_free"]
+    got = [t for i, b in enumerate(blocks) if b for t in sel._keep(pd.DataFrame({"t": b}), "t", hold, None if pd.isna(free[i]) else int(free[i]))["t"]]
+    want = []
+    for t in stamps:
+        if not want or t >= want[-1] + hold:
+            want.append(t)
+    assert got == want
+
+
+def test_spacing_needs_no_job_and_one_exchange_of_stamps(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS t")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    d = sel.spaced(df, ["k"], "t", 5, cuts(True, 900))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert d.count() == 501
+
+
 def test_window_volume(spark, market):
     prints, orders = market
     q = spark.createDataFrame(orders[["oid", "seg", "side", "place_us", "px"]])

@@ -31,33 +31,55 @@ def rows_per_block(spark: SparkSession) -> int:
 
 @dataclass(frozen=True)
 class Blocks:
-    """Split points of a numeric ordering axis; a block covers ``[split_i, split_i+1)``."""
+    """Split points of a numeric ordering axis; a block covers ``[split_i, split_i+1)``.
+
+    With ``tie``, a numeric column that orders equal values, one value may fill several blocks: ``fine`` splits the
+    combined axis of (value, tie). It counts the split values up to a row's value and, where the value is one of
+    them, adds the tie's place among all ties; both grow with the order of rows, so blocks stay contiguous.
+    """
 
     splits: tuple[float, ...] = ()
     rows: int = DEFAULT_ROWS
+    tie: str | None = None
+    tie_span: tuple[float, float] = (0.0, 1.0)
+    fine: tuple[float, ...] = ()
 
     @property
     def single(self) -> bool:
         return not self.splits
 
     @classmethod
-    def fit(cls, df: DataFrame, col: str, bound: int | None = None) -> Blocks:
+    def fit(cls, df: DataFrame, col: str, bound: int | None = None, tie: str | None = None) -> Blocks:
         """Quantile split points with at most about ``rows_per_block`` rows between two of them.
 
-        ``bound`` is a proven upper bound of the row count; when it already fits one block no job runs.
+        ``bound`` is a proven upper bound of the row count; when it already fits one block no job runs. ``tie``
+        names the column by which equal values are ordered, and split when there are too many of them.
         """
         rows = rows_per_block(df.sparkSession)
         if bound is not None and bound <= rows:
             return cls(rows=rows)
-        axis = df.select(F.col(col).cast("double").alias("_axis")).where("_axis IS NOT NULL AND NOT isnan(_axis)")
+        second = F.lit(0.0) if tie is None else F.col(tie).cast("double")
+        axis = df.select(F.col(col).cast("double").alias("_axis"), second.alias("_tie")).where("_axis IS NOT NULL AND NOT isnan(_axis)")
         count = axis.count()
         n = math.ceil(count / rows)
         if n <= 1:
             return cls(rows=rows)
         # A sample of fixed size places the cuts, so the driver's share doesn't grow with the table.
         sample = axis.sample(min(1.0, SPLIT_SAMPLE / count), seed=7).collect()
-        cuts = np.quantile([r["_axis"] for r in sample], np.arange(1, n) / n, method="lower") if sample else []
-        return cls(tuple(sorted({float(c) for c in cuts})), rows)
+        pairs = sorted((r["_axis"], -math.inf if r["_tie"] is None else r["_tie"]) for r in sample)
+        cuts = sorted({pairs[i * len(pairs) // n] for i in range(1, n)}) if pairs else []
+        splits = sorted({v for v, _ in cuts})
+        if tie is None:
+            return cls(tuple(splits), rows)
+        ties = [t for _, t in pairs if math.isfinite(t)] or [0.0]
+        low, width = min(ties), max(max(ties) - min(ties), 1e-300)
+        place = {v: i + 1 for i, v in enumerate(splits)}
+        fine = [place[v] + cls._tie_place(t, low, width) for v, t in cuts]
+        return cls(tuple(splits), rows, tie, (low, width), tuple(sorted(set(fine))))
+
+    @staticmethod
+    def _tie_place(tie: float, low: float, width: float) -> float:
+        return 0.5 * min(max((tie - low) / width, 0.0), 0.999)
 
     def at_least(self, width: float) -> Blocks:
         """Fewer splits, each at least ``width`` after the one before."""
@@ -67,20 +89,27 @@ class Blocks:
                 kept.append(x)
         return Blocks(tuple(kept), self.rows)
 
-    def assign(self, df: DataFrame, at: str | Column, out: str = BLOCK) -> DataFrame:
+    def assign(self, df: DataFrame, at: str | Column, out: str = BLOCK, ties: Sequence[str] = ()) -> DataFrame:
+        """``df`` with the block of ``at``; rows ordered by ``ties`` too can be split inside one value."""
         if self.single:
             return df.withColumn(out, F.lit(0))
         at = F.col(at) if isinstance(at, str) else at
-        cut = Bucketizer(
-            splits=[-math.inf, *self.splits, math.inf],
-            inputCol="_axis",
-            outputCol="_cut",
-            handleInvalid="keep",
-        )
-        cast = df.withColumn("_axis", at.cast("double"))
+        d = self._bucketed(df.withColumn("_axis", at.cast("double")), self.splits)
+        if self.fine and ties and ties[0] == self.tie:
+            low, width = self.tie_span
+            place = F.least(F.greatest((F.col(self.tie).cast("double") - low) / width, F.lit(0.0)), F.lit(0.999))
+            split = F.get(F.array(*[F.lit(x) for x in self.splits]), F.col("_cut").cast("int") - 1)
+            inside = F.when(F.col("_axis") == split, F.coalesce(place, F.lit(0.0)) * 0.5).otherwise(0.5)
+            fine = F.when(F.isnan("_axis"), float("nan")).when(F.col("_axis").isNotNull(), F.col("_cut") + inside)
+            d = self._bucketed(d.withColumn("_axis", fine).drop("_cut"), self.fine)
         # NULLs sort first in every window here, so their block is the first one.
         block = F.when(F.col("_axis").isNull(), -1).otherwise(F.col("_cut").cast("int"))
-        return cut.transform(cast).withColumn(out, block).drop("_axis", "_cut")
+        return d.withColumn(out, block).drop("_axis", "_cut")
+
+    @staticmethod
+    def _bucketed(df: DataFrame, splits: Sequence[float]) -> DataFrame:
+        points = [-math.inf, *splits, math.inf]
+        return Bucketizer(splits=points, inputCol="_axis", outputCol="_cut", handleInvalid="keep").transform(df)
 
 
 ONE_BLOCK = Blocks()
@@ -145,7 +174,7 @@ def running(
     if blocks.single:
         w = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, edge)
         return df.withColumns({o: _windowed(how, v, w) for o, (how, v) in outs.items()})
-    df = blocks.assign(df, order)
+    df = blocks.assign(df, order, ties=ties)
     stamp = F.struct(order, *ties)
     totals = df.groupBy(*keys, BLOCK).agg(
         *[_block_total(how, v, stamp, reverse).alias(f"_t_{o}") for o, (how, v) in outs.items()]

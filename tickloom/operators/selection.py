@@ -2,83 +2,97 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import ONE_BLOCK, Blocks, asof, exact_quantiles, island_ids, row_numbers
+from tickloom.operators.ordered import BLOCK, ONE_BLOCK, Blocks, exact_quantiles, row_numbers
 from tickloom.operators.stats import attach
 
-FOLD_LIMIT = 1_000
-
-
-def _fold(islands: DataFrame, keys: Sequence[str], ts: str, hold: int) -> DataFrame:
-    """Greedy pass over one short island: a sorted array of at most FOLD_LIMIT stamps."""
-    start = F.struct(F.lit(None).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, t: Column) -> Column:
-        take = acc["free"].isNull() | (t >= acc["free"])
-        return F.when(take, F.struct((t + hold).alias("free"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-
-    kept = F.aggregate("_stamps", start, step)["kept"]
-    return islands.select(*keys, F.explode(kept).alias(ts))
-
-
-def _chase(rows: DataFrame, keys: Sequence[str], ts: str, hold: int, span: int, blocks: Blocks) -> DataFrame:
-    """Greedy pass over long islands by pointer doubling: every row points at the first row at least
-    ``hold`` later; the chain from each island head is marked in log2(span / hold) joins."""
-    ids = [*keys, "_isle"]
-    q = rows.withColumn("_want", F.col(ts) + hold)
-    jump = asof(q, rows, ids, "_want", ts, {ts: "_to"}, blocks, forward=True).select(*ids, ts, "_to")
-    jumps = [jump.where("_to IS NOT NULL").checkpoint()]
-    for _ in range(max(0, math.ceil(math.log2(span / hold + 2)) - 1)):
-        a = jumps[-1]
-        b = a.select(*ids, F.col(ts).alias("_to"), F.col("_to").alias("_to2"))
-        jumps.append(a.join(b, [*ids, "_to"]).select(*ids, ts, F.col("_to2").alias("_to")).checkpoint())
-    marked = rows.groupBy(*ids).agg(F.min(ts).alias(ts))
-    for j in reversed(jumps):
-        more = marked.join(j, [*ids, ts]).select(*ids, F.col("_to").alias(ts))
-        marked = marked.unionByName(more).distinct().checkpoint()
-    return marked.select(*keys, ts)
-
-
-def spaced(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    hold: int,
-    blocks: Blocks = ONE_BLOCK,
-    ties: Sequence[str] = (),
-    fold_limit: int = FOLD_LIMIT,
-) -> DataFrame:
+def _starts(stamps: np.ndarray, hold: int) -> np.ndarray:
+    """Index of the next stamp that may be kept after each kept one."""
+    return np.searchsorted(stamps, stamps + hold, side="left")
+
+
+def _ends(step: np.ndarray) -> np.ndarray:
+    """Last index of the chain from each index; every round doubles how far the chains have gone."""
+    n = len(step)
+    last = np.where(step < n, step, np.arange(n))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return last
+        last = further
+
+
+def _free_map(pdf: pd.DataFrame, ts: str, hold: int) -> tuple[list[int], list[int]]:
+    """A block as a map: entered free from ``upto[i]`` at the latest, it is left free from ``free[i]``.
+
+    Whoever is free after the last stamp passes through. An earlier block's last kept stamp lies before this block's
+    first, so only the first ``hold`` of a block can be entered, and entries with one exit are one step of the map.
+    """
+    stamps = np.sort(pdf[ts].to_numpy())
+    enter = stamps[: np.searchsorted(stamps, stamps[0] + hold, side="left") + 1]
+    out = stamps[_ends(_starts(stamps, hold))][: len(enter)] + hold
+    step = np.append(out[1:] != out[:-1], True)
+    return enter[step].tolist(), out[step].tolist()
+
+
+def _free_from(maps: pd.DataFrame) -> pd.DataFrame:
+    """The time from which each block of a key is free: its blocks' maps applied in turn."""
+    maps = maps.sort_values(BLOCK)
+    free, entered = None, []
+    for upto, out in zip(maps["_upto"], maps["_out"]):
+        entered.append(free)
+        i = 0 if free is None else np.searchsorted(upto, free, side="left")
+        free = out[i] if i < len(upto) else free
+    return maps.drop(columns=["_upto", "_out"]).assign(_free=pd.array(entered, dtype="Int64"))
+
+
+def _keep(pdf: pd.DataFrame, ts: str, hold: int, free: int | None) -> pd.DataFrame:
+    pdf = pdf.sort_values(ts)
+    stamps = pdf[ts].to_numpy()
+    step = _starts(stamps, hold).tolist()
+    at = 0 if free is None else int(np.searchsorted(stamps, free, side="left"))
+    kept = []
+    while at < len(step):
+        kept.append(at)
+        at = step[at]
+    return pdf.iloc[kept]
+
+
+def spaced(df: DataFrame, keys: Sequence[str], ts: str, hold: int, blocks: Blocks = ONE_BLOCK, ties: Sequence[str] = ()) -> DataFrame:
     """Greedy non-overlap: keep a row when it is at least ``hold`` after the last kept one.
 
-    A gap of ``hold`` or more resets the rule, so runs without such a gap are independent. Short
-    runs are folded as small arrays; longer ones are chased by joins, whatever their length. Of rows
-    with the same stamp only the first by ``ties`` can stay.
+    A (key, block) answers for every time from which it may be entered free, and what it answers is a short map of
+    steps. The maps of a key are applied in the order of its blocks, one small row each; then every block knows
+    where it starts and is walked once. Two passes over the stamps with one exchange, no job while the query is
+    built, and one plan however long a run without gaps is. Of rows with the same stamp only the first by ``ties``
+    can stay; without ties all of them do.
     """
-    from tickloom.sources.typed import scratch_dir
-
-    stamps = df.select(*keys, ts).distinct()
-    isle = island_ids(stamps, keys, ts, lambda prev: F.col(ts) - prev(ts) >= hold, [ts], "_isle", blocks)
-    ids = [*keys, "_isle"]
-    sizes = isle.groupBy(*ids).agg(F.count("*").alias("_n"), (F.max(ts) - F.min(ts)).alias("_span"))
-    long = sizes.where(F.col("_n") > fold_limit)
-    widest = long.agg(F.max("_span").alias("s")).first()["s"]
-    if widest is None:
-        arrays = isle.groupBy(*ids).agg(F.array_sort(F.collect_list(ts)).alias("_stamps"))
-        kept = _fold(arrays, keys, ts, hold)
+    stamps = blocks.assign(df.where(F.col(ts).isNotNull()).select(*keys, ts).distinct(), ts)
+    by = [*keys, BLOCK]
+    types = dict(stamps.dtypes)
+    head = ", ".join(f"`{k}` {types[k]}" for k in by)
+    if blocks.single:
+        kept = stamps.groupBy(*by).applyInPandas(lambda pdf: _keep(pdf, ts, hold, None), stamps.schema)
     else:
-        spark = df.sparkSession
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(scratch_dir(spark, "chase"))
-        tagged = isle.join(sizes, ids).checkpoint()
-        short = tagged.where(F.col("_n") <= fold_limit)
-        arrays = short.groupBy(*ids).agg(F.array_sort(F.collect_list(ts)).alias("_stamps"))
-        far = tagged.where(F.col("_n") > fold_limit).select(*ids, ts)
-        kept = _fold(arrays, keys, ts, hold).unionByName(_chase(far, keys, ts, hold, widest, blocks))
+
+        def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+            upto, out = _free_map(pdf, ts, hold)
+            return pdf[by].head(1).assign(_upto=[upto], _out=[out])
+
+        def walk(pdf: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+            known = free["_free"].dropna()
+            return _keep(pdf, ts, hold, int(known.iloc[0]) if len(known) else None)
+
+        maps = stamps.groupBy(*by).applyInPandas(enter, f"{head}, _upto array<bigint>, _out array<bigint>")
+        free = maps.groupBy(*keys).applyInPandas(_free_from, f"{head}, _free bigint")
+        kept = stamps.groupBy(*by).cogroup(free.groupBy(*by)).applyInPandas(walk, stamps.schema)
+    kept = kept.drop(BLOCK)
     if not ties:
         return df.join(kept, [*keys, ts], "left_semi")
     first = df.groupBy(*keys, ts).agg(F.min(F.struct(*ties)).alias("_first"))

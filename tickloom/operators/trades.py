@@ -96,10 +96,11 @@ def cost_layers(trades: DataFrame, fee_bps: float, penalty: float) -> DataFrame:
 def tape_metrics(trades: DataFrame, keys: Sequence[str], order: str, tie: str, day: str, gross: str, costs: Sequence[float], blocks: Blocks = ONE_BLOCK) -> DataFrame:
     """Edge, hit rate, Sharpe, concentration in the best day and best 5 % of trades, per cost."""
     ks = [*keys, "cost"]
-    d = trades.withColumn("cost", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
+    # A cost is the same for every trade, so trades rank alike before and after it.
+    d = attach(trades, trades.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    d = row_numbers(d, keys, gross, "_r", blocks, [tie], reverse=True)
+    d = d.withColumn("cost", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
     d = d.withColumn("_net", F.col(gross) - 2 * F.col("cost"))
-    d = attach(d, d.groupBy(*ks).agg(F.count("*").alias("_n")), ks)
-    d = row_numbers(d, ks, "_net", "_r", blocks, [tie], reverse=True)
     best = F.col("_r") <= F.greatest(F.ceil(F.col("_n") * F.lit(0.05)), F.lit(1))
     by_day = d.groupBy(*ks, day).agg(F.sum("_net").alias("_d")).groupBy(*ks).agg(
         F.max("_d").alias("_best_day"), F.count_if(F.col("_d") > 0).alias("positive_days"), F.count("*").alias("days")

@@ -318,7 +318,7 @@ def worst(s):
 )
 def tail_contribution(v):
     f = marked_fills(v).where("alpha = 50")
-    return st.tail_share(f, ["side"], "m1", "oid", (0.01, 0.05, 0.1), 100, fills_cut(v, f)("m1"))
+    return st.tail_share(f, ["side"], "m1", "oid", (0.01, 0.05, 0.1), 100, v.blocks(f, "m1", "events", 5, tie="oid"))
 
 
 CLASS = f"CASE WHEN fill_us IS NULL THEN 'unfilled' WHEN mechanism = 'at_quote' THEN 'queue' WHEN fill_us - place_us <= {HOUR} THEN 'fast_sweep' ELSE 'slow_sweep' END"

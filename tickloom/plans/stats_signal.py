@@ -16,6 +16,9 @@ from tickloom.plans.stats_base import qcut, rank_sql
 from tickloom.plans.views import DAY, HOUR
 
 
+STUDY_ID = f"(g_us div {HOUR}) * 10 + seg"
+
+
 def study(v):
     """Signal rows per horizon with rank decile, daily demeaned outcome and anchor flag."""
     d = row_numbers(v.marks, ["seg", "sid"], "g_us", "pos", v.time)
@@ -23,11 +26,11 @@ def study(v):
     d = d.select("seg", "sid", "g_us", "sig", "m1", "mid_x2", "pos", F.inline(hs)).where("sig IS NOT NULL AND y IS NOT NULL")
     d = d.withColumns(
         {
-            "day": F.expr(f"g_us div {DAY}"), "uid": F.expr(f"(g_us div {HOUR}) * 10 + seg"), "anchor": (F.col("pos") - 1) % F.col("horizon") == 0,
+            "day": F.expr(f"g_us div {DAY}"), "uid": F.expr(STUDY_ID), "anchor": (F.col("pos") - 1) % F.col("horizon") == 0,
             "inc": F.col("y") - F.col("m1"),
         }
     )
-    cut = v.blocks(v.marks, "sig", "events", 20)
+    cut = v.blocks(v.marks.withColumn("uid", F.expr(STUDY_ID)), "sig", "events", 20, tie="uid")
     d = w.rank_deciles(d, ["horizon"], "sig", "uid", "decile", 10, cut)
     return w.demean(d, ["horizon", "day"], {"y": "y_d", "inc": "inc_d"}, cut)
 

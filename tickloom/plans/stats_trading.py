@@ -140,7 +140,7 @@ def tape(v):
 )
 def trade_tape_metrics(v):
     d = tape(v)
-    return tr.tape_metrics(d, [], "g_us", "uid", "day", "gross", [0, 1, 5], v.blocks(d, "gross", "events", 10))
+    return tr.tape_metrics(d, [], "g_us", "uid", "day", "gross", [0, 1, 5], v.blocks(d, "gross", "events", 10, tie="uid"))
 
 
 OFF = "1000 + mid_x2 // 8"
@@ -285,7 +285,7 @@ def bar_strategy_metrics(v):
     d = shifted(v.bars, ["market"], "day", {"_in": (F.col("open"), -1), "_out": (F.col("close"), -6), "_c5": (F.col("close"), 5)}, days)
     d = d.withColumns({"target": F.log(F.col("_out") / F.col("_in")), "score": F.col("close") / F.col("_c5") - 1})
     d = d.where("target IS NOT NULL AND score IS NOT NULL").select("market", "day", "target", "score")
-    d = rank_deciles(d, ["market"], "score", "day", "decile", 10, v.blocks(d, "score", "orders"))
+    d = rank_deciles(d, ["market"], "score", "day", "decile", 10, v.blocks(d, "score", "orders", tie="day"))
     return tr.bar_metrics(d, ["market"], "day", 6, 0.05, 0.001, days)
 
 

@@ -267,9 +267,9 @@ class Views(Tables):
             *[(F.col(f"_f{n}") - m).alias(f"m{n}") for n in (1, 6, 24)],
         )
 
-    def value_blocks(self, df: DataFrame, col: str, table: str = "lineitem", per_row: float = 1.0) -> Blocks:
+    def value_blocks(self, df: DataFrame, col: str, table: str = "lineitem", per_row: float = 1.0, tie: str | None = None) -> Blocks:
         """Blocks of a value axis, for ranks and quantiles; sampled only when the source is large."""
-        return self.blocks(df, col, table, per_row)
+        return self.blocks(df, col, table, per_row, tie=tie)
 
     def cut(self, df: DataFrame, table: str, per_row: float = 1.0):
         """Column -> Blocks of its values in ``df``, whose rows are bounded by a source table."""

@@ -155,7 +155,7 @@ def anchor_rows(v):
     "SELECT id, CASE WHEN y IS NOT NULL THEN floor((row_number() OVER (PARTITION BY y IS NULL ORDER BY y, id) - 1) * 10 / count(*) OVER (PARTITION BY y IS NULL))::BIGINT END AS decile FROM wide",
 )
 def rank_deciles(v):
-    return w.rank_deciles(v.wide, [], "y", "id", "decile", 10, v.value_blocks(v.wide, "y")).select("id", "decile")
+    return w.rank_deciles(v.wide, [], "y", "id", "decile", 10, v.value_blocks(v.wide, "y", tie="id")).select("id", "decile")
 
 
 QS = "[" + ", ".join(f"{i / 10}" for i in range(11)) + "]"

@@ -27,16 +27,16 @@ class Tables:
             _SIZES[key] = self.read(name).count()
         return _SIZES[key]
 
-    def blocks(self, df: DataFrame, col: str, table: str, per_row: float = 1.0, tag: str = "") -> Blocks:
+    def blocks(self, df: DataFrame, col: str, table: str, per_row: float = 1.0, tag: str = "", tie: str | None = None) -> Blocks:
         """Blocks of ``df.col``, a frame with at most ``per_row`` rows per row of ``table``.
 
-        ``tag`` names an axis that several queries share, so that it is sampled once.
+        ``tag`` names an axis that several queries share, so that it is sampled once. ``tie`` orders equal values.
         """
         spark_rows = rows_per_block(self.spark)
         key = (self.root, table, tag or "", spark_rows)
         if tag and key in _BLOCKS:
             return _BLOCKS[key]
-        got = Blocks.fit(df, col, bound=int(self.rows(table) * per_row))
+        got = Blocks.fit(df, col, bound=int(self.rows(table) * per_row), tie=tie)
         if tag:
             _BLOCKS[key] = got
         return got
