@@ -106,46 +106,46 @@ def first_beyond(
     ``sign`` +1 looks for value > bound, -1 for value < bound; ``closed`` includes ``until``.
     Adds ``out`` (stamp, NULL when none) and, with ``ord_``, ``out_ord`` (first ordinal of ties).
     """
+    names = {c: f"_q{i}" for i, c in enumerate(qid)}
+    types = dict(queries.dtypes)
     q = queries.select(
         *keys,
-        F.struct(*qid).alias("_id"),
+        *[F.col(c).alias(n) for c, n in names.items()],
         F.col(after).alias("_after"),
         (until + (1 if closed else 0)).alias("_until"),
         (bound * sign).cast("bigint").alias("_bound"),
         sign.cast("int").alias("_sign"),
     ).where("_bound IS NOT NULL AND _until > _after")
     q = _to_blocks(q, F.col("_after"), F.col("_until"), blocks)
-    q = q.withColumn("_id", F.to_json("_id"))
     order = F.col(ord_) if ord_ else F.lit(0)
     s = series.where(F.col(value).isNotNull()).select(
         *keys, F.col(ts).alias("_ts"), F.col(value).cast("bigint").alias("_v"), order.cast("bigint").alias("_ord")
     )
     s = blocks.assign(s, "_ts")
+    ids = list(names.values())
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values(["_ts", "_ord"])
         stamps, ords, raw = (right[c].to_numpy() for c in ("_ts", "_ord", "_v"))
-        ids, at_ts, at_ord = [np.array([], dtype=object)], [np.array([], dtype="int64")], [np.array([], dtype="int64")]
+        found = [left[ids].iloc[:0].assign(_ts=np.array([], dtype="int64"), _ord=np.array([], dtype="int64"))]
         if len(raw):
             for sgn, part in left.groupby("_sign"):
                 lo = np.searchsorted(stamps, part["_after"].to_numpy(), side="right")
                 hi = np.maximum(lo, np.searchsorted(stamps, part["_until"].to_numpy(), side="left"))
                 at = first_index_beyond(raw * sgn, lo, hi, part["_bound"].to_numpy())
                 hit = at < hi
-                ids.append(part["_id"].to_numpy(dtype=object)[hit])
-                at_ts.append(stamps[at[hit]])
-                at_ord.append(ords[at[hit]])
-        return pd.DataFrame({"_id": np.concatenate(ids), "_ts": np.concatenate(at_ts), "_ord": np.concatenate(at_ord)})
-
-    hits = (
-        q.groupBy(*keys, BLOCK)
-        .cogroup(s.groupBy(*keys, BLOCK))
-        .applyInPandas(find, "_id string, _ts bigint, _ord bigint")
-    )
-    best = hits.groupBy("_id").agg(F.min(F.struct("_ts", "_ord")).alias("_h"))
-    d = queries.withColumn("_id", F.to_json(F.struct(*qid))).join(best, "_id", "left")
+                found.append(part[ids][hit].assign(_ts=stamps[at[hit]], _ord=ords[at[hit]]))
+        return pd.concat(found, ignore_index=True)
+
+    schema = ", ".join([*[f"{n} {types[c]}" for c, n in names.items()], "_ts bigint", "_ord bigint"])
+    hits = q.groupBy(*keys, BLOCK).cogroup(s.groupBy(*keys, BLOCK)).applyInPandas(find, schema)
+    stamp = F.struct("_ts", "_ord")
+    # On one block every query was asked once, so its answer needs no merging.
+    best = hits.select(*ids, stamp.alias("_h")) if blocks.single else hits.groupBy(*ids).agg(F.min(stamp).alias("_h"))
+    on = [queries[c].eqNullSafe(best[n]) for c, n in names.items()]
+    d = queries.join(best, on, "left")
     cols = [F.col("_h._ts").alias(out)] + ([F.col("_h._ord").alias(f"{out}_ord")] if ord_ else [])
-    return d.select(*queries.columns, *cols)
+    return d.select(*[queries[c] for c in queries.columns], *cols)
 
 
 def window_volume(

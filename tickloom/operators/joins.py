@@ -30,7 +30,8 @@ def first_event_per_span(
 
 
 def threshold_fills(
-    orders: DataFrame, prints: DataFrame, keys: Sequence[str], oid: Sequence[str], blocks: Blocks = ONE_BLOCK
+    orders: DataFrame, prints: DataFrame, keys: Sequence[str], oid: Sequence[str], blocks: Blocks = ONE_BLOCK,
+    queues: Column | None = None, ends: Column | None = None,
 ) -> DataFrame:
     """When resting orders fill against prints in the open window (place_us, end_us).
 
@@ -39,21 +40,43 @@ def threshold_fills(
     price level, at the first print whose V reaches V(placement) + ahead + 1 or + qty. That is an
     as-of lookup on the volume axis, so orders are never paired with prints. Ties go to the earlier
     ordinal. ``prints`` carries the book side it hits. Adds first_us, full_us, filled, mechanism, state.
+
+    An order may stand for several: ``queues`` is an array of structs with ``ahead`` and the names of its
+    assumption, ``ends`` one with ``end_us`` and what describes the window; the result has every pair of them. V at
+    placement and the first print beyond the price are looked up once an order, up to its last end, the volume
+    marks once a queue, V at the end once a window. Only then are they put together, and stamps cut by the end.
     """
     both = [*keys, "side"]
     level = [*both, "px"]
     cum = running(prints, level, "ts_us", {"cum": ("sum", F.col("qty"))}, blocks, ["ord"])
     volume = ONE_BLOCK if blocks.single else Blocks.fit(cum, "cum")
     d = asof(orders, cum, level, "place_us", "ts_us", {"cum": "_base"}, blocks, ["ord"])
-    d = asof(d, cum, level, "end_us", "ts_us", {"cum": "_upto"}, blocks, ["ord"], strict=True)
-    need = F.coalesce(F.col("_base"), F.lit(0)) + F.col("ahead")
-    d = d.withColumns({"_want_first": need + 1, "_want_full": need + F.col("qty")})
-    for c in ("_first", "_full"):
-        d = asof(d, cum, level, f"_want{c}", "cum", {"ts_us": c, "ord": f"{c}_ord"}, volume, forward=True)
-        d = d.withColumn(c, F.when(F.col(c) < F.col("end_us"), F.col(c)))
-    d = first_beyond(
-        d, prints, both, oid, "place_us", F.col("end_us"), F.col("px"), -direction(), "ts_us", "px", "_thru", blocks, "ord"
-    )
+    d = d.withColumn("_base", F.coalesce("_base", F.lit(0)))
+    if queues is not None:
+        d = d.withColumn("_queues", queues).drop("ahead")
+    if ends is not None:
+        d = d.withColumn("_ends", ends).drop("end_us")
+    last = F.col("end_us") if ends is None else F.array_max(F.transform("_ends", lambda x: x["end_us"]))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"_want_first": F.col("_base") + F.col("ahead") + 1, "_want_full": F.col("_base") + F.col("ahead") + F.col("qty")})
+        for c in ("_first", "_full"):
+            rows = asof(rows, cum, level, f"_want{c}", "cum", {"ts_us": c, "ord": f"{c}_ord"}, volume, forward=True)
+        return rows
+
+    def ended(rows: DataFrame) -> DataFrame:
+        return asof(rows, cum, level, "end_us", "ts_us", {"cum": "_upto"}, blocks, ["ord"], strict=True)
+
+    whole = d
+    d = ended(marked(d) if queues is None else d) if ends is None else marked(d) if queues is None else d
+    d = first_beyond(d, prints, both, oid, "place_us", last, F.col("px"), -direction(), "ts_us", "px", "_thru", blocks, "ord")
+    if queues is not None:
+        one = marked(whole.select(*dict.fromkeys([*oid, *level]), "qty", "_base", F.inline("_queues")))
+        d = d.drop("_queues").join(one.drop(*[c for c in (*level, "qty", "_base") if c not in oid]), list(oid))
+    if ends is not None:
+        one = ended(whole.select(*dict.fromkeys([*oid, *level]), F.inline("_ends")))
+        d = d.drop("_ends").join(one.drop(*[c for c in level if c not in oid]), list(oid))
+    d = d.withColumns({c: F.when(F.col(c) < F.col("end_us"), F.col(c)) for c in ("_first", "_full", "_thru")})
 
     def stamp(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("t"), F.col(f"{c}_ord").alias("o")))
@@ -78,23 +101,24 @@ def threshold_fills(
 def lifetime_grid(
     orders: DataFrame, snapshots: DataFrame, keys: Sequence[str], lifetimes: Sequence[int], day: int, ts: str,
     blocks: Blocks = ONE_BLOCK,
-) -> DataFrame:
-    """Orders x lifetimes x queue model; the window ends at expiry, next snapshot or day end."""
+) -> tuple[DataFrame, Column, Column]:
+    """Orders with their next snapshot, and the ``queues`` and ``ends`` of ``threshold_fills`` for lifetimes x queue
+    model; a window ends at expiry, next snapshot or day end."""
     d = asof(orders, snapshots, keys, "place_us", ts, {ts: "_snap"}, blocks, forward=True, strict=True)
-    life = F.explode(F.array(*[F.lit(x).cast("bigint") for x in lifetimes]))
-    d = d.withColumn("lifetime", life).withColumn("queue", F.explode(F.array(F.lit("full"), F.lit("none"))))
-    expiry = F.col("place_us") + F.col("lifetime")
-    day_end = (F.floor(F.col("place_us") / F.lit(day)) + 1) * F.lit(day)
-    d = d.withColumns({"_expiry": expiry, "_day": day_end.cast("bigint")})
-    cut = F.least(F.col("_expiry"), F.coalesce("_snap", "_expiry"), F.col("_day"))
-    return d.withColumns(
-        {
-            "snap_cut": F.coalesce(F.col("_snap") < F.col("_expiry"), F.lit(False)),
-            "day_cut": F.col("_day") < F.col("_expiry"),
-            "end_us": cut,
-            "ahead": F.when(F.col("queue") == "full", F.col("ahead")).otherwise(F.lit(0)),
-        }
-    ).drop("_snap", "_expiry", "_day")
+    day_end = ((F.floor(F.col("place_us") / F.lit(day)) + 1) * F.lit(day)).cast("bigint")
+
+    def window(life: int) -> Column:
+        expiry = F.col("place_us") + life
+        return F.struct(
+            F.lit(life).cast("bigint").alias("lifetime"),
+            F.coalesce(F.col("_snap") < expiry, F.lit(False)).alias("snap_cut"),
+            (day_end < expiry).alias("day_cut"),
+            F.least(expiry, F.coalesce("_snap", expiry), day_end).alias("end_us"),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    queues = F.array(*[F.struct(F.lit(n).alias("queue"), a.cast("bigint").alias("ahead")) for n, a in (("full", F.col("ahead")), ("none", zero))])
+    return d, queues, F.array(*[window(x) for x in lifetimes])
 
 
 def cut_status(state: Column, snap_cut: Column, day_cut: Column) -> Column:

@@ -103,8 +103,8 @@ GRIDO = f"""
 
 def lifetimes(v):
     snaps = v.levels.where("ord % 40 = 0").select("seg", "ts_us")
-    o = j.lifetime_grid(fill_orders(v), snaps, ["seg"], LIVES, DAY, "ts_us", v.time)
-    d = j.threshold_fills(o, fill_prints(v), ["seg"], ["oid", "lifetime", "queue"], v.time)
+    o, queues, ends = j.lifetime_grid(fill_orders(v), snaps, ["seg"], LIVES, DAY, "ts_us", v.time)
+    d = j.threshold_fills(o, fill_prints(v), ["seg"], ["oid"], v.time, queues, ends).drop("_snap")
     return d.withColumn("status", j.cut_status(F.col("state"), F.col("snap_cut"), F.col("day_cut")))
 
 
@@ -333,11 +333,10 @@ def wide_oof_merge(v):
     return a.join(b, "id", "full_outer").join(c, "id", "full_outer")
 
 
-def marked_fills(v):
-    """Fills of coarse orders under five queue shares, with markouts at the fill price."""
-    o = fill_orders(v).withColumn("alpha", F.explode(F.array(*[F.lit(a).cast("bigint") for a in ALPHAS])))
-    o = o.withColumn("ahead", F.expr("ahead * alpha div 100"))
-    d = j.threshold_fills(o, fill_prints(v), ["seg"], ["oid", "alpha"], v.time).join(seg_ends(v), "seg")
+def marked_fills(v, alphas=ALPHAS):
+    """Fills of coarse orders under some queue shares, with markouts at the fill price."""
+    shares = F.array(*[F.struct(F.lit(a).cast("bigint").alias("alpha"), F.expr(f"ahead * {a}L div 100").alias("ahead")) for a in alphas])
+    d = j.threshold_fills(fill_orders(v), fill_prints(v), ["seg"], ["oid"], v.time, shares).join(seg_ends(v), "seg")
     d = d.withColumns({"fill_us": F.col("full_us"), "price": F.col("px") * 25})
     m = path_markouts(d, v.mid_path, ["seg"], "fill_us", "last_us", {"m1": HOUR, "m6": 6 * HOUR}, "ts_us", "mid_x2", "price", v.time)
     return m.withColumns({"sid": F.expr(f"place_us div {SPAN}"), "filled": F.col("fill_us").isNotNull()})
@@ -356,7 +355,7 @@ CANCEL = f"""
 
 
 def cancelled(v):
-    f = marked_fills(v).where("alpha = 50")
+    f = marked_fills(v, (50,))
     return j.cancel_outcomes(timeline(v, f), [0, HOUR], "fill_us", "m1")
 
 

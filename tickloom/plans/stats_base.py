@@ -65,7 +65,7 @@ def population_stats(v):
     dbl="mean_m1 favourable",
 )
 def multi_grain(v):
-    f = marked_fills(v).where("alpha = 50 AND filled").select("side", "mechanism", "sid", "seg", "m1")
+    f = marked_fills(v, (50,)).where("filled").select("side", "mechanism", "sid", "seg", "m1")
     aggs = {"fills": F.count("*"), "mean_m1": F.avg("m1"), "favourable": st.share(F.col("m1") > 0)}
     d = st.multi_grain(f, [["side", "mechanism", "sid", "seg"], [], ["side"], ["mechanism"], ["sid"], ["seg", "sid"]], aggs)
     return d.where("grain > 0").select("side", "mechanism", "sid", "seg", "grain", *aggs)
@@ -317,7 +317,7 @@ def worst(s):
     dbl=" ".join(f"worst_{n}_{s}" for n in (1, 5, 10) for s in ("mean", "share")) + " best_90_mean",
 )
 def tail_contribution(v):
-    f = marked_fills(v).where("alpha = 50")
+    f = marked_fills(v, (50,))
     return st.tail_share(f, ["side"], "m1", "oid", (0.01, 0.05, 0.1), 100, v.blocks(f, "m1", "events", 5, tie="oid"))
 
 
@@ -326,7 +326,7 @@ CLASS = f"CASE WHEN fill_us IS NULL THEN 'unfilled' WHEN mechanism = 'at_quote'
 
 @query("lifecycle_class", f"SELECT {CLASS} AS cls, count(*) AS n, {TAIL} FROM fills WHERE alpha = 100 GROUP BY 1", dbl=TAILD)
 def lifecycle_class(v):
-    f = marked_fills(v).where("alpha = 100").withColumn("cls", F.expr(CLASS))
+    f = marked_fills(v, (100,)).withColumn("cls", F.expr(CLASS))
     n = f.groupBy("cls").agg(F.count("*").alias("n"))
     return st.tail_distribution(f, ["cls"], "m1", [100, 200], fills_cut(v, f)).join(n, "cls")
 

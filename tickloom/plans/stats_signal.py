@@ -31,7 +31,7 @@ def study(v):
         }
     )
     cut = v.blocks(v.marks.withColumn("uid", F.expr(STUDY_ID)), "sig", "events", 20, tie="uid")
-    d = w.rank_deciles(d, ["horizon"], "sig", "uid", "decile", 10, cut)
+    d = v.settled(w.rank_deciles(d, ["horizon"], "sig", "uid", "decile", 10, cut), "study", cut)
     return w.demean(d, ["horizon", "day"], {"y": "y_d", "inc": "inc_d"}, cut)
 
 

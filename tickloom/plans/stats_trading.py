@@ -60,7 +60,7 @@ POLICY_DAYS = (
 
 
 def policy_days(v):
-    d = eligible_policies(marked_fills(v).where("alpha = 100"), {n: F.expr(c) for n, c in POL.items()}).withColumn("day", F.expr(f"place_us div {DAY}"))
+    d = eligible_policies(marked_fills(v, (100,)), {n: F.expr(c) for n, c in POL.items()}).withColumn("day", F.expr(f"place_us div {DAY}"))
     m = F.col("m1")
     aggs = {
         "candidates": F.count("*"), "fills": F.count_if("filled"), "labelled": F.count(m), "markout_sum": F.coalesce(F.sum(m), F.lit(0)), "mean": F.avg(m), "negative_share": st.share(m < 0),
@@ -125,7 +125,8 @@ def selected(v):
 
 
 def tape(v):
-    return spaced(selected(v), ["seg"], "g_us", 7 * HOUR, v.time)
+    chosen = v.settled(selected(v), "selected", v.time)
+    return v.settled(spaced(chosen, ["seg"], "g_us", 7 * HOUR, v.time), "tape", v.time)
 
 
 @query(

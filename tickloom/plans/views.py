@@ -96,7 +96,7 @@ class Views(Tables):
         )
         steps = aligned_grid(ends, "start_us", "end_us", HOUR, "g_us").select("seg", "g_us")
         g = asof(steps, self.mids, ["seg"], "g_us", "ts_us", {"mid_x2": "mid_x2"}, self.time)
-        return g.select("seg", "g_us", F.expr(f"g_us div {SPAN}").alias("sid"), "mid_x2")
+        return self.settled(g.select("seg", "g_us", F.expr(f"g_us div {SPAN}").alias("sid"), "mid_x2"), "grid", self.time)
 
     @cached_property
     def conn(self) -> DataFrame:
@@ -157,7 +157,7 @@ class Views(Tables):
     def mid_path(self) -> DataFrame:
         from tickloom.operators.state import mid_change_path
 
-        return mid_change_path(self.mids, ["seg"], "ts_us", "mid_x2", self.time)
+        return self.settled(mid_change_path(self.mids, ["seg"], "ts_us", "mid_x2", self.time), "mid-path", self.time)
 
     @cached_property
     def episodes(self) -> DataFrame:
@@ -258,7 +258,7 @@ class Views(Tables):
             {"_b3": (m, 3), "_f1": (m, -1), "_f6": (m, -6), "_f24": (m, -24)},
             self.time,
         )
-        return d.select(
+        d = d.select(
             "seg",
             "sid",
             "g_us",
@@ -266,6 +266,7 @@ class Views(Tables):
             (m - F.col("_b3")).alias("sig"),
             *[(F.col(f"_f{n}") - m).alias(f"m{n}") for n in (1, 6, 24)],
         )
+        return self.settled(d, "marks", self.time)
 
     def value_blocks(self, df: DataFrame, col: str, table: str = "lineitem", per_row: float = 1.0, tie: str | None = None) -> Blocks:
         """Blocks of a value axis, for ranks and quantiles; sampled only when the source is large."""
