@@ -74,3 +74,25 @@ def test_cost_does_not_grow_with_prices():
         s._sweep_side(px, qty, 1)
         seconds.append(time.perf_counter() - start)
     assert seconds[1] < 8 * seconds[0] + 1
+
+
+@pytest.mark.parametrize("splits", [(), (40.0, 90.0, 91.0, 250.0)])
+def test_books_at(spark, splits):
+    rng = np.random.default_rng(9)
+    n = 500
+    df = pd.DataFrame({"seg": 0, "ts_us": np.sort(rng.integers(20, 300, n)), "ord": np.arange(n), "side": rng.choice(["bid", "ask", "ask"], n), "px": rng.integers(900, 930, n), "qty": rng.integers(0, 4, n)})
+    df = pd.concat([df, pd.DataFrame({"seg": [1, 1], "ts_us": [30, 200], "ord": [0, 1], "side": "bid", "px": 910, "qty": [2, 0]})])
+    grid = pd.DataFrame([(seg, t) for seg in (0, 1, 2) for t in range(0, 320, 7)], columns=["seg", "at"])
+    blocks = Blocks(splits, rows=100) if splits else ONE_BLOCK
+    got = s.books_at(spark.createDataFrame(df), spark.createDataFrame(grid), ["seg"], "ts_us", "ord", "at", 3, blocks).collect()
+    want = []
+    for seg, t in grid.itertuples(index=False):
+        book = {"bid": {}, "ask": {}}
+        for r in df[(df.seg == seg) & (df.ts_us <= t)].sort_values(["ts_us", "ord"]).itertuples():
+            book[r.side].pop(r.px, None)
+            if r.qty:
+                book[r.side][r.px] = r.qty
+        best = [sorted(book[x].items(), reverse=x == "bid")[:3] for x in ("bid", "ask")]
+        if any(best):
+            want.append((seg, t, *[[v[i] for v in b] for b in best for i in (0, 1)]))
+    assert sorted(tuple(r) for r in got) == want

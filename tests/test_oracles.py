@@ -15,10 +15,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = (
     "scan_pruned_filtered parse_json_payload sequence_audit rows_to_messages segment_sessions top_n_levels explained_removal obi_depth book_walk_vwap trailing_time_sum "
     "quantile_bucket grid_markout first_passage asof_backward threshold_fill policy_cross hac_slope decile_report decile_spread classification_metrics trade_tape_metrics "
-    "carry_trades non_overlapping set_intersect_except purged_folds ols_fit stream_trade_buckets"
+    "carry_trades non_overlapping set_intersect_except purged_folds ols_fit stream_trade_buckets fill_lifetimes level_episodes oof_regressions bbo_mid_spread "
+    "decay_classification"
 ).split()
 KEYS = sorted(entry.queries()) if os.environ.get("TICKLOOM_ALL") else SOME
-BLOCKED = "asof_backward threshold_fill trailing_time_sum sequence_audit rank_deciles pearson_spearman_ic".split()
+BLOCKED = "asof_backward threshold_fill trailing_time_sum sequence_audit rank_deciles pearson_spearman_ic decision_cooldown top_n_levels l1_ofi".split()
 
 
 @pytest.fixture(scope="module")

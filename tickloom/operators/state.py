@@ -94,43 +94,6 @@ def book_on_grid(
     return d.select(*keys, out, "side", "px", "qty")
 
 
-def top_levels(state: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Best ``n`` levels of each side per instant as arrays ordered from the touch outward."""
-    best_first = F.when(F.col("side") == "bid", -F.col("px")).otherwise(F.col("px"))
-    w = Window.partitionBy(*keys, "side").orderBy(best_first)
-    d = state.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
-
-    def arr(side: str, c: str) -> Column:
-        got = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("_rank", c))))
-        return F.transform(got, lambda x: x[c])
-
-    return d.groupBy(*keys).agg(
-        *[arr(s, c).alias(f"{s}_{c}") for s in ("bid", "ask") for c in ("px", "qty")]
-    )
-
-
-def bbo(state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best prices and sizes, spread, doubled mid and validity per instant."""
-    bid = F.col("side") == "bid"
-    b, a = F.when(bid, F.col("px")), F.when(~bid, F.col("px"))
-    d = state.where("qty > 0").groupBy(*keys).agg(
-        F.max(b).alias("best_bid"),
-        F.max_by(F.col("qty"), b).alias("bid_qty"),
-        F.min(a).alias("best_ask"),
-        F.min_by(F.col("qty"), a).alias("ask_qty"),
-    )
-    both = F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull()
-    d = d.withColumns(
-        {
-            "bid_qty": F.when(F.col("best_bid").isNotNull(), F.col("bid_qty")),
-            "ask_qty": F.when(F.col("best_ask").isNotNull(), F.col("ask_qty")),
-            "spread_ticks": F.when(both, F.col("best_ask") - F.col("best_bid")),
-            "mid_x2": F.when(both, F.col("best_ask") + F.col("best_bid")),
-        }
-    )
-    return d.withColumn("validity", book_validity(F.col("best_bid"), F.col("best_ask")))
-
-
 def book_validity(bid: Column, ask: Column) -> Column:
     return (
         F.when(bid.isNull() & ask.isNull(), "empty")
@@ -163,29 +126,29 @@ def trade_buckets(prints: DataFrame, grid: DataFrame, keys: Sequence[str], ts: s
     return out.na.fill(0, sums)
 
 
-def ranked_levels(rank: np.ndarray, live: np.ndarray, size: np.ndarray, depth: int) -> dict[str, np.ndarray]:
-    """Best rank, its size, the size of the best ``depth`` ranks and the live ranks before its own, after each update.
+def _descend(rank: np.ndarray, live: np.ndarray, size: np.ndarray, seek: list[dict], own: dict | None = None) -> None:
+    """Find live ranks after a number of updates, all searches at once.
 
-    Updates are in order; ``live`` and ``size`` are what each changes at its rank. The ranks are split bit by bit as in
-    a binary tree, all updates at once: whoever looks for the k-th live rank at its moment goes left if so many of the
-    left half live then, else goes right for the rest. Time grows with updates times the bits of a rank.
+    Updates are in order; ``live`` and ``size`` are what each changes at its rank. A search in ``seek`` has arrays ``hi``
+    (updates seen) and ``k``: it ends at the k-th live ``rank``, with the ``sum`` of sizes before it and its own
+    ``last``. ``own`` follows each update's rank as it was before it and counts the live ranks ahead. The ranks are
+    split bit by bit as in a binary tree: whoever looks for the k-th live rank goes left if so many of the left half
+    live at its moment, else right for the rest. Time grows with updates and searches times the bits of a rank.
     """
-    n = len(rank)
-    bits = max(1, int(rank.max(initial=0)).bit_length())
-    total = np.cumsum(live)
-    now = np.arange(1, n + 1)
+    n, bits = len(rank), max(1, int(rank.max(initial=0)).bit_length())
     at, of = rank, np.arange(n)
-    zero_ = np.zeros(n, dtype="int64")
-    # Two seekers (first and last of the best ranks) and one that follows each update's own rank as it was before.
-    seek = [{"k": k, "lo": zero_, "hi": now, "rank": zero_, "sum": zero_} for k in (np.minimum(total, 1), np.minimum(total, depth))]
-    own = {"lo": zero_, "hi": now - 1, "count": zero_}
     start = lambda x: np.concatenate(([0], np.cumsum(x)))
+    for s in seek:
+        s["lo"] = s["rank"] = s["sum"] = np.zeros(len(s["hi"]), dtype="int64")
+    if own is not None:
+        own["lo"] = own["count"] = np.zeros(n, dtype="int64")
+        own["hi"] = np.arange(n)
     for b in range(bits - 1, -1, -1):
         left = (at >> b) & 1 == 0
         lefts, lives, sizes = start(left), start(np.where(left, live[of], 0)), start(np.where(left, size[of], 0))
 
-        def move(lo: np.ndarray, hi: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return tuple(np.where(right, lefts[-1] + x - lefts[x], lefts[x]) for x in (lo, hi))
+        def move(s: dict, right: np.ndarray) -> None:
+            s["lo"], s["hi"] = (np.where(right, lefts[-1] + x - lefts[x], lefts[x]) for x in (s["lo"], s["hi"]))
 
         for s in seek:
             count = lives[s["hi"]] - lives[s["lo"]]
@@ -193,50 +156,74 @@ def ranked_levels(rank: np.ndarray, live: np.ndarray, size: np.ndarray, depth: i
             s["sum"] = s["sum"] + np.where(right, sizes[s["hi"]] - sizes[s["lo"]], 0)
             s["k"] = s["k"] - np.where(right, count, 0)
             s["rank"] = s["rank"] | (right.astype("int64") << b)
-            s["lo"], s["hi"] = move(s["lo"], s["hi"], right)
-        right = (rank >> b) & 1 == 1
-        own["count"] = own["count"] + np.where(right, lives[own["hi"]] - lives[own["lo"]], 0)
-        own["lo"], own["hi"] = move(own["lo"], own["hi"], right)
+            move(s, right)
+        if own is not None:
+            right = (rank >> b) & 1 == 1
+            own["count"] = own["count"] + np.where(right, lives[own["hi"]] - lives[own["lo"]], 0)
+            move(own, right)
         order = np.concatenate((np.flatnonzero(left), np.flatnonzero(~left)))
         at, of = at[order], of[order]
     sizes = start(size[of])
-    first, last = (sizes[s["hi"]] - sizes[s["lo"]] for s in seek)
+    for s in seek:
+        s["last"] = sizes[s["hi"]] - sizes[s["lo"]]
+
+
+def ranked_levels(rank: np.ndarray, live: np.ndarray, size: np.ndarray, depth: int) -> dict[str, np.ndarray]:
+    """Best rank, its size, the size of the best ``depth`` ranks and the live ranks before its own, after each update."""
+    total = np.cumsum(live)
+    now = np.arange(1, len(rank) + 1)
+    first, deep = ({"hi": now, "k": np.minimum(total, k)} for k in (1, depth))
+    own: dict = {}
+    _descend(rank, live, size, [first, deep], own)
     some = total > 0
     return {
-        "best": seek[0]["rank"],
-        "qty": np.where(some, first, 0),
-        "depth": np.where(some, seek[1]["sum"] + last, 0),
+        "best": first["rank"],
+        "qty": np.where(some, first["last"], 0),
+        "depth": np.where(some, deep["sum"] + deep["last"], 0),
         "live": total,
         "rank": own["count"],
     }
 
 
-def _sweep_side(px: np.ndarray, qty: np.ndarray, best_is: int) -> dict[str, np.ndarray]:
-    """Touch, ten-level depth, and rank and size before each of one side's updates (``best_is`` -1: the highest)."""
+def _changes(px: np.ndarray, qty: np.ndarray, best_is: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prices from the best one on, the rank of each update's price, and the quantity that it replaces."""
     prices, rank = np.unique(px * best_is, return_inverse=True)
     order = np.argsort(rank, kind="stable")
     old = np.zeros(len(px), dtype="int64")
     same = rank[order][1:] == rank[order][:-1]
     old[order[1:]] = np.where(same, qty[order][:-1], 0)
+    return prices * best_is, rank, old
+
+
+def _sweep_side(px: np.ndarray, qty: np.ndarray, best_is: int) -> dict[str, np.ndarray]:
+    """Touch, ten-level depth, and rank and size before each of one side's updates (``best_is`` -1: the highest)."""
+    prices, rank, old = _changes(px, qty, best_is)
     got = ranked_levels(rank, (qty > 0).astype("int64") - (old > 0), qty - old, 10)
-    best = prices[got["best"]] * best_is if len(px) else px
+    best = prices[got["best"]] if len(px) else px
     return {**got, "best": best, "old": old}
 
 
+def _best_at(px: np.ndarray, qty: np.ndarray, best_is: int, seen: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Prices and sizes of one side's best ``n`` levels after ``seen`` of its updates, from the touch outward."""
+    prices, rank, old = _changes(px, qty, best_is)
+    live = (qty > 0).astype("int64") - (old > 0)
+    total = np.concatenate(([0], np.cumsum(live)))[seen]
+    seek = [{"hi": seen, "k": np.minimum(total, k)} for k in range(1, n + 1)]
+    if not len(px):
+        return ([np.zeros(0, dtype="int64")] * len(seen),) * 2
+    _descend(rank, live, qty - old, seek)
+    price, size = (np.stack(x, axis=1) for x in ([prices[s["rank"]] for s in seek], [s["last"] for s in seek]))
+    return tuple([row[:k] for row, k in zip(x, np.minimum(total, n))] for x in (price, size))
+
+
 SWEPT = (
     "best_bid bigint, bid_qty bigint, bid_depth bigint, bid_levels bigint, "
     "best_ask bigint, ask_qty bigint, ask_depth bigint, ask_levels bigint, rank bigint, old_qty bigint"
 )
 
 
-def book_after_updates(
-    levels: DataFrame, keys: Sequence[str], ts: str, ord_: str, blocks: Blocks = ONE_BLOCK
-) -> DataFrame:
-    """Every level update with the book right after it and its price's rank right before it.
-
-    Work is split by (key, block); a block starts from the last quantity of each live level of the
-    earlier blocks, which is one row per level, and is swept with numpy.
-    """
+def carried_levels(levels: DataFrame, keys: Sequence[str], ts: str, ord_: str, blocks: Blocks = ONE_BLOCK) -> DataFrame:
+    """Level updates with their block, and ``_carry`` rows: what earlier blocks left of each live level."""
     cols = [*keys, ts, ord_, "side", "px", "qty"]
     d = blocks.assign(levels.select(*cols), ts).withColumn("_carry", F.lit(False))
     if not blocks.single:
@@ -253,6 +240,19 @@ def book_after_updates(
             .select(*cols, BLOCK, F.lit(True).alias("_carry"))
         )
         d = d.unionByName(carried)
+    return d
+
+
+def book_after_updates(
+    levels: DataFrame, keys: Sequence[str], ts: str, ord_: str, blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
+    """Every level update with the book right after it and its price's rank right before it.
+
+    Work is split by (key, block); a block starts from the last quantity of each live level of the
+    earlier blocks, which is one row per level, and is swept with numpy.
+    """
+    cols = [*keys, ts, ord_, "side", "px", "qty"]
+    d = carried_levels(levels, keys, ts, ord_, blocks)
     schema = ", ".join(f"{c} {t}" for c, t in levels.select(*cols).dtypes) + ", " + SWEPT
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -277,6 +277,52 @@ def book_after_updates(
     return d.groupBy(*keys, BLOCK).applyInPandas(sweep, schema)
 
 
+def books_at(
+    levels: DataFrame, instants: DataFrame, keys: Sequence[str], ts: str, ord_: str, at: str, n: int, blocks: Blocks = ONE_BLOCK
+) -> DataFrame:
+    """Best ``n`` levels of each side at every instant, all updates up to it included, as arrays from the touch outward.
+
+    A block starts from the levels that earlier blocks left and answers its instants from its own updates, so no
+    row per level and instant exists and no level's interval is listed out. Instants without a live level have no row.
+    """
+    d = carried_levels(levels, keys, ts, ord_, blocks)
+    grid = blocks.assign(instants.select(*keys, at), at)
+    types = dict(instants.dtypes)
+    arrays = [f"{side}_{c}" for side in ("bid", "ask") for c in ("px", "qty")]
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in (*keys, at)], *[f"{c} array<bigint>" for c in arrays]])
+
+    def answer(asked: pd.DataFrame, updates: pd.DataFrame) -> pd.DataFrame:
+        updates = updates.sort_values(["_carry", ts, ord_], ascending=[False, True, True], kind="stable")
+        carried = int(updates["_carry"].sum())
+        stamps = updates[ts].to_numpy()[carried:]
+        seen = carried + np.searchsorted(stamps, asked[at].to_numpy(), side="right")
+        px, qty = updates["px"].to_numpy(), updates["qty"].to_numpy()
+        is_bid = (updates["side"] == "bid").to_numpy()
+        out = asked[[*keys, at]].copy()
+        for side, mine, best_is in (("bid", is_bid, -1), ("ask", ~is_bid, 1)):
+            so_far = np.concatenate(([0], np.cumsum(mine)))[seen]
+            out[f"{side}_px"], out[f"{side}_qty"] = (pd.Series(x, index=out.index, dtype=object) for x in _best_at(px[mine], qty[mine], best_is, so_far, n))
+        return out[[len(b) + len(a) > 0 for b, a in zip(out["bid_px"], out["ask_px"])]]
+
+    return grid.groupBy(*keys, BLOCK).cogroup(d.groupBy(*keys, BLOCK)).applyInPandas(answer, schema)
+
+
+def touch_of(books: DataFrame) -> DataFrame:
+    """Best prices and sizes, spread, doubled mid and validity of ``books_at`` rows, instead of their arrays."""
+    bid, ask = (F.get(f"{s}_px", F.lit(0)) for s in ("bid", "ask"))
+    keep = [c for c in books.columns if c not in ("bid_px", "bid_qty", "ask_px", "ask_qty")]
+    return books.select(
+        *keep,
+        bid.alias("best_bid"),
+        F.get("bid_qty", F.lit(0)).alias("bid_qty"),
+        ask.alias("best_ask"),
+        F.get("ask_qty", F.lit(0)).alias("ask_qty"),
+        (ask - bid).alias("spread_ticks"),
+        (ask + bid).alias("mid_x2"),
+        book_validity(bid, ask).alias("validity"),
+    )
+
+
 def touch_path(book: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """One row per update and side: touch price and size (NULL price when the side is empty)."""
     sides = F.array(

@@ -15,9 +15,14 @@ def ends(v):
     return v.levels.groupBy("seg").agg(F.max("ts_us").alias("end_us"))
 
 
-def state_on_grid(v, crossing=False):
-    lv = v.levels_x if crossing else v.levels
-    return s.book_on_grid(s.level_intervals(lv, ["seg"], "ts_us", v.time), ends(v), ["seg"], HOUR)
+def books_on_grid(v, levels, n):
+    spans = levels.groupBy("seg").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    instants = s.aligned_grid(spans, "start_us", "end_us", HOUR, "g_us").select("seg", "g_us")
+    return s.books_at(levels, instants, ["seg"], "ts_us", "ord", "g_us", n, v.time)
+
+
+def state_on_grid(v):
+    return s.book_on_grid(s.level_intervals(v.levels, ["seg"], "ts_us", v.time), ends(v), ["seg"], HOUR)
 
 
 def book(v):
@@ -122,7 +127,7 @@ def book_state_at(v):
         FROM j GROUP BY 1, 2""",
 )
 def top_n_levels(v):
-    t = s.top_levels(state_on_grid(v), ["seg", "g_us"], 5)
+    t = books_on_grid(v, v.levels, 5)
     return t.select("seg", "g_us", *[F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("bid_px", "bid_qty", "ask_px", "ask_qty")])
 
 
@@ -137,7 +142,7 @@ def bbo_sql(lv):
     f"SELECT *, best_ask - best_bid AS spread_ticks, best_ask + best_bid AS mid_x2 FROM ({bbo_sql('levels')})",
 )
 def bbo_mid_spread(v):
-    return s.bbo(state_on_grid(v), ["seg", "g_us"]).drop("validity")
+    return s.touch_of(books_on_grid(v, v.levels, 1)).drop("validity")
 
 
 @query(
@@ -147,7 +152,7 @@ def bbo_mid_spread(v):
         FROM ({bbo_sql('levels_x')}) GROUP BY 1, 2""",
 )
 def book_validity(v):
-    return s.bbo(state_on_grid(v, True), ["seg", "g_us"]).groupBy("seg", "validity").agg(F.count("*").alias("n"))
+    return s.touch_of(books_on_grid(v, v.levels_x, 1)).groupBy("seg", "validity").agg(F.count("*").alias("n"))
 
 
 @query("mid_change_path", "SELECT * FROM mid_path")
