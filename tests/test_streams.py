@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import ROWS_CONF
 from tickloom.plans.views import Views
 from tickloom.streaming import streams as ss
 
@@ -47,17 +48,40 @@ def test_dedupe_across_batches(spark, parts):
     assert got == Views(spark, DIR).ev.select("seg", "event_type").distinct().count()
 
 
-def test_sequence_status_carries_ids_across_batches(spark, parts):
-    e = source(spark, parts).select(
+def sequence(stream):
+    return stream.select(
         F.when(F.col("ord") % 4 > 0, F.col("ord") % 4).alias("seg"), "ts_us", "ord", (F.col("ord") - F.col("ord") % 7 * 3).alias("last_u"), F.when(F.col("ord") % 5 == 0, -1).otherwise(F.col("ord") - 2).alias("prev_u")
     )
-    got = ss.sequence_status(e, ["seg"], ["ts_us", "ord"]).collect()
-    rows = sorted(Views(spark, DIR).ev.select("ts_us", "ord").collect())
+
+
+def plain_status(spark):
     tops, want = {}, []
-    for _, o in rows:
+    for _, o in sorted(Views(spark, DIR).ev.select("ts_us", "ord").collect()):
         seg, last, prev = (o % 4 or None), o - o % 7 * 3, -1 if o % 5 == 0 else o - 2
         top = tops.get(seg)
         want.append((o, "first" if top is None else "stale" if last <= top else "gap" if prev > top else "overlap" if prev < top else "contiguous"))
         tops[seg] = last if top is None else max(top, last)
-    assert sorted((r.ord, r.status) for r in got) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("rows", [None, "40"])
+def test_sequence_status_carries_ids_across_batches(spark, parts, rows):
+    if rows:
+        spark.conf.set(ROWS_CONF, rows)  # every symbol of every batch is split into blocks
+    try:
+        got = ss.sequence_status(sequence(source(spark, parts)), ["seg"], ["ts_us", "ord"]).collect()
+    finally:
+        spark.conf.unset(ROWS_CONF)
+    want = plain_status(spark)
+    assert sorted((r.ord, r.status) for r in got) == want
     assert {s for _, s in want} >= {"first", "stale", "gap", "overlap"}
+
+
+def test_sequence_status_goes_on_after_a_restart(spark, tmp_path):
+    e = spark.read.parquet(f"{DIR}/events.parquet").orderBy("ts").toPandas()
+    root, folder = str(tmp_path / "in"), str(tmp_path / "job")
+    for i in range(3):
+        spark.createDataFrame(e.iloc[i * 334 : (i + 1) * 334], ss.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(root)
+        got = ss.sequence_status(sequence(source(spark, root)), ["seg"], ["ts_us", "ord"], folder)
+        assert got.count() == min(334 * (i + 1), 1000)
+    assert sorted((r.ord, r.status) for r in got.collect()) == plain_status(spark)

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import join_keys
+from tickloom.operators.ordered import Blocks, join_keys, running
 from tickloom.sources.typed import scratch_dir
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -60,34 +60,37 @@ def first_sightings(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys))
 
 
-def sequence_status(updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def sequence_status(updates: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str | None = None) -> DataFrame:
     """``updates(..., last_u, prev_u)`` with ``status``: how each follows the largest id of its key so far.
 
     ``first`` (nothing before), ``stale`` (brings nothing new), ``gap`` (its predecessor was never seen),
-    ``overlap`` (starts inside what is known) or ``contiguous``. A micro-batch is ranked by one window
-    over its rows and the keys' largest ids of the batches before, a table of one row per key. Batch
-    folders are overwritten on a retry, so each batch counts once.
+    ``overlap`` (starts inside what is known) or ``contiguous``. A micro-batch is ranked by a running maximum in
+    blocks of its own rows, so that a symbol with most of them is split, and compared with the keys' largest ids of
+    the batches before, a table of one row per key. Batch folders are overwritten on a retry, so each batch counts
+    once. A later call with the same ``folder`` goes on after the last batch with the ids carried so far.
     """
     spark = updates.sparkSession
-    out, state = scratch_dir(spark, "sequence"), scratch_dir(spark, "sequence-state")
-    top = F.greatest("_carried", F.max("last_u").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
-    known = F.col("_top")
+    root = folder or scratch_dir(spark, "sequence")
+    at, *ties = order
+    top = F.greatest("_carried", "_seen")
     status = (
-        F.when(known.isNull(), "first").when(F.col("last_u") <= known, "stale").when(F.col("prev_u") > known, "gap")
-        .when(F.col("prev_u") < known, "overlap").otherwise("contiguous")
+        F.when(top.isNull(), "first").when(F.col("last_u") <= top, "stale").when(F.col("prev_u") > top, "gap")
+        .when(F.col("prev_u") < top, "overlap").otherwise("contiguous")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         now = batch.groupBy(*keys).agg(F.max("last_u").alias("_carried"))
-        before = batch.sparkSession.read.schema(now.schema).parquet(f"{out}/tops/{batch_id - 1}") if batch_id else now.limit(0)
-        rows = join_keys(batch, before, keys).withColumn("_top", top).withColumn("status", status)
-        rows.drop("_carried", "_top").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        before = batch.sparkSession.read.schema(now.schema).parquet(f"{root}/tops/{batch_id - 1}") if batch_id else now.limit(0)
+        blocks = Blocks.fit(batch, at, tie=ties[0] if ties else None)
+        rows = running(batch, keys, at, {"_seen": ("max", F.col("last_u"))}, blocks, ties, exclusive=True)
+        rows = join_keys(rows, before, keys).withColumn("status", status)
+        rows.drop("_carried", "_seen").write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
         both = before.unionByName(now).groupBy(*keys).agg(F.max("_carried").alias("_carried"))
-        both.write.mode("overwrite").parquet(f"{out}/tops/{batch_id}")
+        both.write.mode("overwrite").parquet(f"{root}/tops/{batch_id}")
 
-    w = updates.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True)
+    w = updates.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     w.start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    return spark.read.parquet(f"{root}/rows").drop("batch")
 
 
 def run_to_table(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
