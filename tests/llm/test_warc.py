@@ -31,7 +31,7 @@ def test_round_trip(spark, monkeypatch):
     assert next(r.url for r in got if r.page_id == 3) == "http://a/%0D%0A%C3%A9"
     for r in listed:
         store, path = warc.open_store(r.path)
-        with store.open_input_stream(path) as f:
+        with store.open_input_stream(path, compression=None) as f:
             data = f.read()
         assert gzip.decompress(data).count(b"WARC/1.1\r\n") == r.records == len(list(warc.members(warc.pyarrow.BufferReader(data).read)))
 
@@ -53,6 +53,24 @@ def test_damage_is_found():
         list(warc.members(warc.pyarrow.BufferReader(data[:-9]).read))
 
 
+def test_damaged_records_are_errors_unless_asked_for(spark, tmp_path):
+    good = warc.record(1, "u", b"payload", None, False)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(gzip.compress(good) + gzip.compress(good.replace(b"payload", b"pAyload")))
+    archives = spark.createDataFrame([(f"file://{path}",)], "path string")
+    with pytest.raises(Exception, match="fails its digests"):
+        warc.read(archives).collect()
+    assert sorted(r.verified for r in warc.read(archives, strict=False).collect()) == [False, True]
+
+
+def test_every_archive_has_a_task(spark):
+    pages = spark.createDataFrame([(i, "u", f"{i} " + "x" * (i % 50) * 40) for i in range(600)], "page_id long, url string, html string")
+    archives = warc.write(pages, archive_bytes=6_000)
+    parts = [len(p) for p in warc.read(archives).select("page_id").rdd.glom().collect()]
+    n = archives.count()
+    assert n > 8 and sum(parts) == 600 and sum(p > 0 for p in parts) == n
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(pages)).collect() == []

@@ -102,7 +102,7 @@ def write(
                 if out is None:
                     store.create_dir(top, recursive=True)
                     path, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{top}/{path}")
+                    out = store.open_output_stream(f"{top}/{path}", compression=None)  # else the suffix would gzip it twice
                 out.write(data)
                 size, count = size + len(data), count + 1
         if out is not None:
@@ -161,12 +161,13 @@ def unpack(member: bytes) -> tuple:
     )
 
 
-def read(archives: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
+def read(archives: DataFrame, id_type: T.DataType | None = None, strict: bool = True) -> DataFrame:
     """The records of the archives in ``archives.path``, one row each.
 
-    Each archive is read front to back in small blocks by one task; one record is held at a time.
-    ``verified`` says whether the digests of block and payload agree with the bytes; broken framing or
-    compression raises an error. A revisit's payload is null; its size and digest are the full payload's.
+    Each archive is read front to back in small blocks by one task, as many tasks as there are archives;
+    one record is held at a time. ``verified`` says whether the digests of block and payload agree with
+    the bytes; a record that they don't verify is an error unless ``strict`` is false, as broken framing or
+    compression always is. A revisit's payload is null; its size and digest are the full payload's.
     """
     kind = (id_type or T.LongType()).simpleString()
     names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "verified"]
@@ -178,9 +179,12 @@ def read(archives: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, at = open_store(path)
                 held, size = [], 0
-                with store.open_input_stream(at) as stream:
+                with store.open_input_stream(at, compression=None) as stream:
                     for member in members(stream.read):
-                        held.append(unpack(member))
+                        record_ = unpack(member)
+                        if strict and not record_[-1]:
+                            raise ValueError(f"record {record_[0]} of {path} fails its digests")
+                        held.append(record_)
                         size += len(member)
                         if size > 8 << 20 or len(held) >= 1_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], schema=schema)
@@ -188,7 +192,8 @@ def read(archives: DataFrame, id_type: T.DataType | None = None) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], schema=schema)
 
-    rows = archives.select("path").repartition(F.col("path")).mapInArrow(
+    # A count of its own keeps adaptive planning from putting the short list of paths into one task.
+    rows = archives.select("path").repartitionByRange(max(archives.count(), 1), "path").mapInArrow(
         run,
         "page_id string, url string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string, verified boolean",
     )
