@@ -1,28 +1,38 @@
 """Removal of repeated passages through content-defined chunks of lines; built-in functions only.
 
-A *line* here is what ends at a line break or at a sentence end (``.``, ``!`` or ``?`` and one blank), so
-that a passage inside a long paragraph has several lines. Lines are hashed, a rolling hash runs over
-two line hashes, and a chunk ends at a line whose rolling hash is the smaller one of two
-neighbours, or at a line break. The choice depends on nearby lines only: text put in front shifts no
-later boundary. Two successive chunks form the unit of comparison, so a repeated passage of seven
-lines or more always holds at least one, whatever surrounds it.
+A *line* ends at a line break or at a sentence end (``.``, ``!`` or ``?`` and one blank); one of more than
+``LONG_LINE`` characters is cut further, after words with certain last letters, so that a passage without
+sentence ends has lines too. Lines are hashed and a rolling hash runs over two line hashes, across line
+breaks. A chunk is a line of ``OWN_WORDS`` words or more; of shorter lines, one joins the next where its
+rolling hash is the largest of three. The choice depends on nearby lines only: text put in front shifts no
+later boundary.
+
+A *unit* is the first of 1, 2, 4, 8 or 16 successive chunks, from any boundary on, that has ``UNIT_WORDS``
+words. Inside a repeated run of lines at most four short lines at its start and two at its end lie
+outside the boundaries that both places share, so a run of 51 words holds a unit. Places of equal units are
+compared byte by byte and grown line by line as long as the lines around them are equal too; what is left
+of that with ``MIN_WORDS`` words or more is removed. So a repeated run of whole lines goes whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
 
-from tickloom.llm.shared import empty_if_null, free_name, save
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Words that a repeated unit must have; shorter ones (headers, notices, single remarks) stay.
-MIN_WORDS = 12
-#: Words from which a single chunk is a unit too: a passage without sentence ends is one line.
-LONG_WORDS = 50
-#: Documents with repeats, and their line ranges (about 100 bytes each in memory), that are broadcast at
-#: most; above either number both sides are shuffled.
-BROADCAST_ROWS = 100_000
-BROADCAST_RANGES = 1_000_000
+from tickloom.llm.shared import empty_if_null, free_name, release, save, scratch
+
+#: Words that a removed passage must have; shorter ones (headers, notices, single remarks) stay.
+MIN_WORDS = 24
+UNIT_WORDS = 12
+OWN_WORDS = 5
+#: Lines around a unit that it can grow by on either side.
+AROUND = 12
+LONG_LINE = 100
+#: Bytes of text in one bucket of the laid out table.
+BUCKET_BYTES = 64 << 20
 LINE_END = "(?<=[.!?] |\n)"
+WORD_END = "(?<=[aeln] |[。、])"
 MARK = "\u0001"
 
 
@@ -31,19 +41,25 @@ def _lines(text: Column) -> Column:
     marked = text
     for end in (". ", "! ", "? ", "\n"):
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
+    lines = F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
+    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, WORD_END)).otherwise(F.array(x))))
+
+
+def _words(line: Column) -> Column:
+    """Words by blanks, or one per twelve characters where that is more (scripts without blanks)."""
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" ")))
+    return F.greatest(blanks + F.when(line.endswith(" "), 0).otherwise(1), F.floor(F.length(line) / 12).cast("int"))
 
 
 def _pairs(first: Column, second: Column, make) -> Column:
     return F.zip_with(first, second, lambda x, y: make(x, y))
 
 
-def line_units(rows: DataFrame, min_words: int, long_words: int) -> DataFrame:
+def line_units(rows: DataFrame) -> DataFrame:
     """``rows(id, content, text)`` as ``(id, content, units)``; a unit is ``(begin, end, key)``.
 
-    Units are pairs of successive chunks with at least ``min_words`` words, and single chunks with at
-    least ``long_words`` (a document of one chunk is one unit). ``begin`` and ``end`` are line numbers
-    (end exclusive); ``key`` hashes the unit's line hashes. Every step is an array function of its row.
+    ``begin`` and ``end`` are line numbers (end exclusive); ``key`` hashes the unit's line hashes. Every
+    step is an array function of its row.
     """
     split = rows.select("id", "content", _lines(F.col("text")).alias("lines"))
     hashed = split.select(
@@ -51,101 +67,174 @@ def line_units(rows: DataFrame, min_words: int, long_words: int) -> DataFrame:
         "content",
         F.size("lines").alias("n"),
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words"),
-        F.transform("lines", lambda x: x.endswith("\n")).alias("broken"),
+        F.transform("lines", _words).alias("words"),
     )
     zero = F.array(F.lit(0).cast("long"))
-    # The hash of the line before, unless a line break parts the two.
-    before = _pairs(F.slice("h", 1, F.col("n") - 1), F.slice("broken", 1, F.col("n") - 1), lambda h, b: F.when(b, F.lit(0).cast("long")).otherwise(h))
-    rolled = hashed.select("*", _pairs(F.concat(zero, before), F.col("h"), lambda a, b: F.xxhash64(a, b)).alias("r"))
+    rolled = hashed.select("*", _pairs(F.concat(zero, F.slice("h", 1, F.col("n") - 1)), F.col("h"), lambda a, b: F.xxhash64(a, b)).alias("r"))
     around = F.arrays_zip(
         F.concat(zero, F.slice("r", 1, F.col("n") - 1)).alias("a"),
         F.col("r").alias("b"),
         F.concat(F.slice("r", 2, F.col("n")), zero).alias("c"),
-        F.col("broken").alias("d"),
         F.col("words").alias("w"),
         F.concat(F.slice("words", 2, F.col("n")), F.array(F.lit(0))).alias("v"),
         F.sequence(F.lit(1), F.col("n")).alias("i"),
     )
-    # A line shares its chunk with the next one only where its rolling hash is the largest of three; a line
-    # break ends a chunk, and a line of ``long_words`` is a chunk of its own.
-    is_long = lambda z: F.greatest(z["w"], z["v"]) >= long_words
-    ends = F.filter(around, lambda z: (z["a"] >= z["b"]) | (z["b"] < z["c"]) | z["d"] | is_long(z) | (z["i"] == F.col("n")))
+    ends = F.filter(around, lambda z: (z["w"] >= OWN_WORDS) | (z["v"] >= OWN_WORDS) | (z["a"] >= z["b"]) | (z["b"] < z["c"]) | (z["i"] == F.col("n")))
     cut = rolled.select("id", "content", "h", "words", F.concat(F.array(F.lit(0)), F.transform(ends, lambda z: z["i"])).alias("cuts"))
     of = lambda column, b, e: F.slice(column, b + 1, e - b)
-    total = lambda b, e: F.aggregate(of("words", b, e), F.lit(0), lambda s, w: s + w)
-    chunks = _pairs(
-        F.slice("cuts", 1, F.size("cuts") - 1),
-        F.slice("cuts", 2, F.size("cuts")),
-        lambda b, e: F.struct(b.alias("begin"), e.alias("end"), total(b, e).alias("words")),
-    )
-    counted = cut.select("id", "content", "h", chunks.alias("chunks"))
-    pairs = _pairs(
-        F.slice("chunks", 1, F.size("chunks") - 1),
-        F.slice("chunks", 2, F.size("chunks")),
-        lambda x, y: F.struct(x["begin"].alias("begin"), y["end"].alias("end"), (x["words"] + y["words"]).alias("words")),
-    )
-    alone = F.when(F.size("chunks") == 1, min_words).otherwise(long_words)
-    picked = F.concat(F.filter(pairs, lambda z: z["words"] >= min_words), F.filter("chunks", lambda z: z["words"] >= alone))
-    keyed = F.transform(picked, lambda z: F.struct(z["begin"].alias("begin"), z["end"].alias("end"), F.xxhash64(of("h", z["begin"], z["end"])).alias("key")))
-    return counted.select("id", "content", keyed.alias("units"))
+    total = lambda b, e: F.when(e - b == 1, F.get("words", b)).otherwise(F.aggregate(of("words", b, e), F.lit(0), lambda s, w: s + w))
+    table = cut.select("id", "content", "h", "cuts", _pairs(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), total).alias("t1"))
+    for m in (1, 2, 4, 8):
+        # Words of twice as many chunks; null where the text ends before.
+        table = table.withColumn(f"t{2 * m}", _pairs(F.col(f"t{m}"), F.slice(f"t{m}", m + 1, F.size(f"t{m}")), lambda x, y: x + y))
+
+    def taken(z: Column) -> Column:
+        choice = None
+        for m in (1, 2, 4, 8, 16):
+            choice = (F if choice is None else choice).when(z[f"t{m}"] >= UNIT_WORDS, m)
+        return choice
+
+    counts = F.transform(F.arrays_zip("t1", "t2", "t4", "t8", "t16"), taken)
+    chosen = table.select("id", "content", "h", "cuts", counts.alias("counts"))
+    spans = F.transform("counts", lambda m, i: F.struct(F.get("cuts", i).alias("begin"), F.get("cuts", i + m).alias("end")))
+    full = F.filter(spans, lambda z: z["end"].isNotNull())
+    keyed = F.transform(full, lambda z: F.struct(z["begin"].alias("begin"), z["end"].alias("end"), F.xxhash64(of("h", z["begin"], z["end"])).alias("key")))
+    return chosen.select("id", "content", keyed.alias("units"))
+
+
+def lay_out(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` as a table bucketed by a hash of id and text, and that column's name.
+
+    All later joins with the texts follow its layout, so whole texts are shuffled once. Buckets are as many
+    as the text bytes ask for, never fewer than the session's shuffle partitions.
+    """
+    spark = docs.sparkSession
+    place = free_name(docs, "place")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    name = f"laid_{uuid.uuid4().hex}"
+    laid = docs.withColumn(place, F.xxhash64(F.col(id_col), empty_if_null(F.col(text_col))))
+    laid.repartition(buckets, place).write.bucketBy(buckets, place).option("path", scratch(spark, "line-texts")).saveAsTable(name)
+    return spark.table(name), place
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, content, spans)``: the line ranges of each document that repeat an earlier place.
+def _source(laid: DataFrame, place: str, id_col: str, text_col: str) -> DataFrame:
+    text = empty_if_null(F.col(text_col))
+    return laid.select(F.col(place).alias("place"), F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
+
+
+def _same_document(left: DataFrame, right: DataFrame) -> Column:
+    return (left["place"] == right["place"]) & left["id"].eqNullSafe(right["id"]) & (left["content"] == right["content"])
 
-    ``content`` is the text's XXH64; documents equal in id and text are one document. A place is earlier
-    if its (id with nulls last, content, line) is smaller. Only the first place of a unit stays.
 
-    Counting shuffles one hash per unit, pre-aggregated, so a unit that a third of all documents share
-    is no hot group. The bytes of candidates are then compared with those of the first place; on a
-    collision of keys both stay.
+def repeated_units(source: DataFrame) -> DataFrame:
+    """``(place, id, content, units)`` of documents with units that occur more than once.
+
+    A unit is ``(begin, end, key, is_first, left, right)``; ``left`` and ``right`` tell where lines around it
+    must be looked at: on both sides of first places and at the ends of copied runs of units.
+
+    Counting shuffles one number per unit, pre-aggregated, so a unit that a third of all documents share
+    is no hot group.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(empty_if_null(F.col(text_col))).alias("content"), empty_if_null(F.col(text_col)).alias("text"))
-    found = save(line_units(source, min_words, long_words), "line-units").select("id", "content", F.inline("units"))
-    place = F.struct(F.col("id").isNull(), "id", "content", "begin", "end")
-    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    again = found.join(firsts, "key").select("id", "content", F.struct("begin", "end", "key", (place == F.col("first")).alias("is_first")).alias("unit"))
-    by_document = save(again.groupBy("id", "content").agg(F.collect_set("unit").alias("units")), "line-candidates")
-    texts = with_size_checked(source, by_document, ["id", "content"], "units", "inner")
-    read = lambda lines, u: F.array_join(F.slice(lines, u["begin"] + 1, u["end"] - u["begin"]), "").alias("bytes")
-    whole = lambda lines: F.transform("units", lambda u: F.struct(*[u[c].alias(c) for c in ("begin", "end", "key", "is_first")], read(lines, u)))
-    # A one-element array binds the lines, else each unit would split the text anew.
-    with_bytes = F.transform(F.array(_lines(F.col("text"))), whole)[0]
-    bytes_of = save(texts.select("id", "content", with_bytes.alias("units")), "line-bytes").select("id", "content", F.inline("units"))
-    kept = bytes_of.where("is_first").groupBy("key").agg(F.min("bytes").alias("same"))
-    same = bytes_of.where("not is_first").join(kept, "key").where("bytes = same")
-    return save(same.groupBy("id", "content").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "line-repeats")
+    saved = save(line_units(source.select(F.struct("place", "id").alias("id"), "content", "text")), "line-units")
+    found = saved.select("id.*", "content", F.inline("units"))
+    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = save(found.join(often, "key"), "line-again")
+    release(saved)
+    order = F.struct(F.col("id").isNull(), "id", "content", "begin")
+    firsts = again.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("key", "first")
+    marked = again.join(firsts, "key").withColumn("is_first", order == F.col("first"))
+    # Units of a document that touch and have their first places in one other, as far apart, are one copied run.
+    run = ["place", "id", "content", "first.id", "first.content", F.col("begin") - F.col("first.begin")]
+    line = Window.partitionBy(*run).orderBy("begin", "end")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("begin").over(line.rowsBetween(1, Window.unboundedFollowing))
+    edged = marked.select(
+        "*",
+        (F.col("is_first") | before.isNull() | (before < F.col("begin"))).alias("left"),
+        (F.col("is_first") | after.isNull() | (after > F.col("end"))).alias("right"),
+    )
+    unit = F.struct("begin", "end", "key", "is_first", "left", "right")
+    return save(edged.groupBy("place", "id", "content").agg(F.collect_set(unit).alias("units")), "line-candidates")
+
+
+def _shared(x: Column, y: Column) -> Column:
+    """The number of equal leading lines."""
+    equal = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return (F.array_position(F.concat(equal, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
 
 
-def with_size_checked(rows: DataFrame, found: DataFrame, keys: list[str], ranges: str, how: str) -> DataFrame:
-    """Null-safe join with a saved table: a broadcast if its rows and their ``ranges`` are few, else a shuffle."""
-    other = found.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in found.columns if c not in keys])
-    rows_found, ranges_found = found.agg(F.count("*"), F.sum(F.size(ranges))).first()
-    if rows_found <= BROADCAST_ROWS and (ranges_found or 0) <= BROADCAST_RANGES:
-        other = F.broadcast(other)
-    on = [rows[k].eqNullSafe(other[f"{k}__"]) for k in keys]
-    return rows.join(other, on, how).drop(*[f"{k}__" for k in keys])
+def repeats(source: DataFrame) -> DataFrame:
+    """``(place, id, content, spans)``: the line ranges of each document that repeat an earlier place.
+
+    ``content`` is the text's XXH64; documents equal in id and text are one document. A place is earlier
+    if its (id with nulls last, content, line) is smaller. Only the first place of a unit stays. On a
+    collision of keys both stay. Ranges that touch are one.
+    """
+    candidates = repeated_units(source)
+    texts = source.join(candidates, _same_document(source, candidates)).select(source["*"], candidates["units"])
+
+    def read(lines: Column, u: Column) -> Column:
+        none = F.array().cast("array<string>")
+        left = F.reverse(F.slice(lines, F.greatest(u["begin"] - AROUND, F.lit(0)) + 1, F.least(u["begin"], F.lit(AROUND))))
+        return F.struct(
+            u["begin"].alias("begin"),
+            u["end"].alias("end"),
+            u["key"].alias("key"),
+            u["is_first"].alias("is_first"),
+            F.array_join(F.slice(lines, u["begin"] + 1, u["end"] - u["begin"]), "").alias("bytes"),
+            F.when(u["left"], left).otherwise(none).alias("left"),
+            F.when(u["right"], F.slice(lines, u["end"] + 1, AROUND)).otherwise(none).alias("right"),
+        )
+
+    # A one-element array binds the lines, else each unit would split the text anew.
+    with_bytes = F.transform(F.array(_lines(F.col("text"))), lambda lines: F.transform("units", lambda u: read(lines, u)))[0]
+    saved = save(texts.select("place", "id", "content", with_bytes.alias("units")), "line-bytes")
+    release(candidates)
+    units = saved.select("place", "id", "content", F.inline("units"))
+    kept = units.where("is_first").groupBy("key").agg(F.min(F.struct("bytes", "left", "right")).alias("same"))
+    same = units.where("not is_first").join(kept, "key").where("bytes = same.bytes")
+    grown = same.select(
+        "place",
+        "id",
+        "content",
+        (F.col("begin") - _shared(F.col("left"), F.col("same.left"))).alias("begin"),
+        (F.col("end") + _shared(F.col("right"), F.col("same.right"))).alias("end"),
+    )
+    document = Window.partitionBy("place", "id", "content").orderBy("begin", "end")
+    reach = F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    opened = grown.withColumn("opens", (reach.isNull() | (reach < F.col("begin"))).cast("int"))
+    numbered = opened.withColumn("run", F.sum("opens").over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("place", "id", "content", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = save(runs.groupBy("place", "id", "content").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "line-repeats")
+    release(saved)
+    return spans
 
 
-def remove(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated passages, and ``removed``: the number of lines taken out of each text.
 
     All rows stay; a text of which nothing is left becomes empty. Null and empty texts come out as they
-    were, with zero removed. Other columns, whatever their names, come out unchanged.
+    were, with zero removed, and so do texts of any length without a repeat. Other columns, whatever their
+    names, come out unchanged.
     """
-    id_, content, spans, removed = (free_name(docs, c) for c in ("id", "content", "spans", "removed"))
-    found = repeats(docs, min_words, long_words, id_col, text_col)
-    own = docs.select("*", F.col(id_col).alias(id_), F.xxhash64(empty_if_null(F.col(text_col))).alias(content))
-    joined = with_size_checked(own, found.select(F.col("id").alias(id_), F.col("content").alias(content), F.col("spans").alias(spans)), [id_, content], spans, "left")
-    gone = F.flatten(F.transform(spans, lambda z: F.sequence(z["begin"], z["end"] - 1)))
-    lines = _lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    parts = joined.select(
-        *docs.columns, spans, F.when(F.col(spans).isNotNull(), F.struct(lines.alias("lines"), stay.alias("stay"))).alias(content)
-    )
-    left = F.array_join(F.transform(F.col(content)["stay"], lambda i: F.get(F.col(content)["lines"], i)), "")
+    laid, place = lay_out(docs, id_col, text_col)
+    found = repeats(_source(laid, place, id_col, text_col))
+    spans, lines = (free_name(laid, c) for c in ("spans", "lines"))
+    other = found.select(F.col("place").alias("place__"), F.col("id").alias("id__"), F.col("content").alias("content__"), F.col("spans").alias(spans))
+    on = (laid[place] == other["place__"]) & laid[id_col].eqNullSafe(other["id__"]) & (F.xxhash64(empty_if_null(laid[text_col])) == other["content__"])
+    joined = laid.join(other, on, "left").drop("place__", "id__", "content__")
+
+    def work(all_lines: Column) -> Column:
+        words = lambda z: F.aggregate(F.slice(all_lines, z["begin"] + 1, z["end"] - z["begin"]), F.lit(0), lambda s, x: s + _words(x))
+        long = F.filter(spans, lambda z: words(z) >= min_words)
+        gone = F.flatten(F.transform(long, lambda z: F.sequence(z["begin"], z["end"] - 1)))
+        return F.struct(all_lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone).alias("stay"))
+
+    cut = F.when(F.col(spans).isNotNull(), F.transform(F.array(_lines(F.col(text_col))), work)[0])
+    parts = joined.select(*[F.col(c) for c in docs.columns], cut.alias(lines))
+    left = F.array_join(F.transform(F.col(lines)["stay"], lambda i: F.get(F.col(lines)["lines"], i)), "")
     return parts.select(
-        *[F.when(F.col(spans).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(spans).isNull(), 0).otherwise(F.size(F.col(content)["lines"]) - F.size(F.col(content)["stay"])).alias(removed),
+        *[F.when(F.col(lines).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        F.when(F.col(lines).isNull(), 0).otherwise(F.size(F.col(lines)["lines"]) - F.size(F.col(lines)["stay"])).alias(free_name(docs, "removed")),
     )
