@@ -7,8 +7,6 @@ import xxhash
 
 from tickloom.llm import linededup
 
-MASK = (1 << 64) - 1
-
 
 def signed(v):
     return v - (1 << 64) if v >> 63 else v
@@ -25,10 +23,15 @@ def chain(values):
     return signed(seed)
 
 
+def place_of(doc_id, text):
+    seed = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    return signed(xxhash.xxh64_intdigest(text.encode(), seed))
+
+
 def lines_of(text):
     out = []
     for line in re.split("(?<=[.!?] )|(?<=\n)", text):
-        out += re.split("(?<=[aeln] )|(?<=[。、])", line) if len(line) > linededup.LONG_LINE else [line]
+        out += re.split("(?<=[,;:dosy] )|(?<=[。、])", line) if len(line) > linededup.LONG_LINE else [line]
     return out
 
 
@@ -62,7 +65,7 @@ def plain(rows, min_words=linededup.MIN_WORDS):
         lines, units = units_of(text)
         cut[doc_id, text] = lines
         for b, e in units:
-            places[tuple(lines[b:e])].add((doc_id is None, doc_id or 0, of_text(text), b, e, doc_id, text))
+            places[tuple(lines[b:e])].add((doc_id is None, doc_id or 0, place_of(doc_id, text), b, e, doc_id, text))
     gone = defaultdict(set)
     for found in places.values():
         first, *others = sorted(found, key=lambda f: f[:5])

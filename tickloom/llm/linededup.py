@@ -1,7 +1,7 @@
 """Removal of repeated passages through content-defined chunks of lines; built-in functions only.
 
 A *line* ends at a line break or at a sentence end (``.``, ``!`` or ``?`` and one blank); one of more than
-``LONG_LINE`` characters is cut further, after words with certain last letters, so that a passage without
+``LONG_LINE`` characters is cut further, after clauses and words with certain last letters, so that a passage without
 sentence ends has lines too. Lines are hashed and a rolling hash runs over two line hashes, across line
 breaks. A chunk is a line of ``OWN_WORDS`` words or more; of shorter lines, one joins the next where its
 rolling hash is the largest of three. The choice depends on nearby lines only: text put in front shifts no
@@ -32,7 +32,7 @@ LONG_LINE = 100
 #: Bytes of text in one bucket of the laid out table.
 BUCKET_BYTES = 64 << 20
 LINE_END = "(?<=[.!?] |\n)"
-WORD_END = "(?<=[aeln] |[。、])"
+WORD_END = "(?<=[,;:dosy] |[。、])"
 MARK = "\u0001"
 
 
@@ -56,15 +56,15 @@ def _pairs(first: Column, second: Column, make) -> Column:
 
 
 def line_units(rows: DataFrame) -> DataFrame:
-    """``rows(id, content, text)`` as ``(id, content, units)``; a unit is ``(begin, end, key)``.
+    """``rows(place, id, text)`` as ``(place, id, units)``; a unit is ``(begin, end, key)``.
 
     ``begin`` and ``end`` are line numbers (end exclusive); ``key`` hashes the unit's line hashes. Every
     step is an array function of its row.
     """
-    split = rows.select("id", "content", _lines(F.col("text")).alias("lines"))
+    split = rows.select("place", "id", _lines(F.col("text")).alias("lines"))
     hashed = split.select(
+        "place",
         "id",
-        "content",
         F.size("lines").alias("n"),
         F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
         F.transform("lines", _words).alias("words"),
@@ -80,10 +80,10 @@ def line_units(rows: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.col("n")).alias("i"),
     )
     ends = F.filter(around, lambda z: (z["w"] >= OWN_WORDS) | (z["v"] >= OWN_WORDS) | (z["a"] >= z["b"]) | (z["b"] < z["c"]) | (z["i"] == F.col("n")))
-    cut = rolled.select("id", "content", "h", "words", F.concat(F.array(F.lit(0)), F.transform(ends, lambda z: z["i"])).alias("cuts"))
+    cut = rolled.select("place", "id", "h", "words", F.concat(F.array(F.lit(0)), F.transform(ends, lambda z: z["i"])).alias("cuts"))
     of = lambda column, b, e: F.slice(column, b + 1, e - b)
     total = lambda b, e: F.when(e - b == 1, F.get("words", b)).otherwise(F.aggregate(of("words", b, e), F.lit(0), lambda s, w: s + w))
-    table = cut.select("id", "content", "h", "cuts", _pairs(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), total).alias("t1"))
+    table = cut.select("place", "id", "h", "cuts", _pairs(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), total).alias("t1"))
     for m in (1, 2, 4, 8):
         # Words of twice as many chunks; null where the text ends before.
         table = table.withColumn(f"t{2 * m}", _pairs(F.col(f"t{m}"), F.slice(f"t{m}", m + 1, F.size(f"t{m}")), lambda x, y: x + y))
@@ -95,11 +95,11 @@ def line_units(rows: DataFrame) -> DataFrame:
         return choice
 
     counts = F.transform(F.arrays_zip("t1", "t2", "t4", "t8", "t16"), taken)
-    chosen = table.select("id", "content", "h", "cuts", counts.alias("counts"))
+    chosen = table.select("place", "id", "h", "cuts", counts.alias("counts"))
     spans = F.transform("counts", lambda m, i: F.struct(F.get("cuts", i).alias("begin"), F.get("cuts", i + m).alias("end")))
     full = F.filter(spans, lambda z: z["end"].isNotNull())
     keyed = F.transform(full, lambda z: F.struct(z["begin"].alias("begin"), z["end"].alias("end"), F.xxhash64(of("h", z["begin"], z["end"])).alias("key")))
-    return chosen.select("id", "content", keyed.alias("units"))
+    return chosen.select("place", "id", keyed.alias("units"))
 
 
 def lay_out(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -119,43 +119,45 @@ def lay_out(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str
 
 
 def _source(laid: DataFrame, place: str, id_col: str, text_col: str) -> DataFrame:
-    text = empty_if_null(F.col(text_col))
-    return laid.select(F.col(place).alias("place"), F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
+    return laid.select(F.col(place).alias("place"), F.col(id_col).alias("id"), empty_if_null(F.col(text_col)).alias("text"))
 
 
 def _same_document(left: DataFrame, right: DataFrame) -> Column:
-    return (left["place"] == right["place"]) & left["id"].eqNullSafe(right["id"]) & (left["content"] == right["content"])
+    return (left["place"] == right["place"]) & left["id"].eqNullSafe(right["id"])
 
 
 def repeated_units(source: DataFrame) -> DataFrame:
-    """``(place, id, content, units)`` of documents with units that occur more than once.
+    """``(place, id, units)`` of documents with units that occur more than once.
 
     A unit is ``(begin, end, key, is_first, left, right)``; ``left`` and ``right`` tell where lines around it
-    must be looked at: on both sides of first places and at the ends of copied runs of units.
+    must be looked at: at the ends of copied runs of units, and at the first places of these.
 
     Counting shuffles one number per unit, pre-aggregated, so a unit that a third of all documents share
     is no hot group.
     """
-    saved = save(line_units(source.select(F.struct("place", "id").alias("id"), "content", "text")), "line-units")
-    found = saved.select("id.*", "content", F.inline("units"))
+    saved = save(line_units(source), "line-units")
+    found = saved.select("place", "id", F.inline("units"))
     often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     again = save(found.join(often, "key"), "line-again")
     release(saved)
-    order = F.struct(F.col("id").isNull(), "id", "content", "begin")
+    order = F.struct(F.col("id").isNull(), "id", "place", "begin")
     firsts = again.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("key", "first")
     marked = again.join(firsts, "key").withColumn("is_first", order == F.col("first"))
     # Units of a document that touch and have their first places in one other, as far apart, are one copied run.
-    run = ["place", "id", "content", "first.id", "first.content", F.col("begin") - F.col("first.begin")]
+    run = ["place", "id", "first.id", "first.place", F.col("begin") - F.col("first.begin")]
     line = Window.partitionBy(*run).orderBy("begin", "end")
     before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min("begin").over(line.rowsBetween(1, Window.unboundedFollowing))
-    edged = marked.select(
-        "*",
-        (F.col("is_first") | before.isNull() | (before < F.col("begin"))).alias("left"),
-        (F.col("is_first") | after.isNull() | (after > F.col("end"))).alias("right"),
-    )
+    left, right = before.isNull() | (before < F.col("begin")), after.isNull() | (after > F.col("end"))
+    edged = save(marked.select("place", "id", "begin", "end", "key", "is_first", left.alias("left"), right.alias("right")), "line-edges")
+    release(again)
+    others = edged.where("not is_first")
+    asked = others.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    all_units = others.unionByName(edged.where("is_first").drop("left", "right").join(asked, "key"))
     unit = F.struct("begin", "end", "key", "is_first", "left", "right")
-    return save(edged.groupBy("place", "id", "content").agg(F.collect_set(unit).alias("units")), "line-candidates")
+    candidates = save(all_units.groupBy("place", "id").agg(F.collect_set(unit).alias("units")), "line-candidates")
+    release(edged)
+    return candidates
 
 
 def _shared(x: Column, y: Column) -> Column:
@@ -165,11 +167,11 @@ def _shared(x: Column, y: Column) -> Column:
 
 
 def repeats(source: DataFrame) -> DataFrame:
-    """``(place, id, content, spans)``: the line ranges of each document that repeat an earlier place.
+    """``(place, id, spans)``: the line ranges of each document that repeat an earlier place.
 
-    ``content`` is the text's XXH64; documents equal in id and text are one document. A place is earlier
-    if its (id with nulls last, content, line) is smaller. Only the first place of a unit stays. On a
-    collision of keys both stay. Ranges that touch are one.
+    ``place`` hashes id and text; documents equal in both are one document. A place in a text is earlier if
+    its (id with nulls last, ``place``, line) is smaller. Only the first place of a unit stays. On a collision
+    of keys both stay. Ranges that touch are one.
     """
     candidates = repeated_units(source)
     texts = source.join(candidates, _same_document(source, candidates)).select(source["*"], candidates["units"])
@@ -189,24 +191,23 @@ def repeats(source: DataFrame) -> DataFrame:
 
     # A one-element array binds the lines, else each unit would split the text anew.
     with_bytes = F.transform(F.array(_lines(F.col("text"))), lambda lines: F.transform("units", lambda u: read(lines, u)))[0]
-    saved = save(texts.select("place", "id", "content", with_bytes.alias("units")), "line-bytes")
+    saved = save(texts.select("place", "id", with_bytes.alias("units")), "line-bytes")
     release(candidates)
-    units = saved.select("place", "id", "content", F.inline("units"))
+    units = saved.select("place", "id", F.inline("units"))
     kept = units.where("is_first").groupBy("key").agg(F.min(F.struct("bytes", "left", "right")).alias("same"))
     same = units.where("not is_first").join(kept, "key").where("bytes = same.bytes")
     grown = same.select(
         "place",
         "id",
-        "content",
         (F.col("begin") - _shared(F.col("left"), F.col("same.left"))).alias("begin"),
         (F.col("end") + _shared(F.col("right"), F.col("same.right"))).alias("end"),
     )
-    document = Window.partitionBy("place", "id", "content").orderBy("begin", "end")
+    document = Window.partitionBy("place", "id").orderBy("begin", "end")
     reach = F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1))
     opened = grown.withColumn("opens", (reach.isNull() | (reach < F.col("begin"))).cast("int"))
     numbered = opened.withColumn("run", F.sum("opens").over(document.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("place", "id", "content", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    spans = save(runs.groupBy("place", "id", "content").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "line-repeats")
+    runs = numbered.groupBy("place", "id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    spans = save(runs.groupBy("place", "id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "line-repeats")
     release(saved)
     return spans
 
@@ -221,9 +222,9 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     laid, place = lay_out(docs, id_col, text_col)
     found = repeats(_source(laid, place, id_col, text_col))
     spans, lines = (free_name(laid, c) for c in ("spans", "lines"))
-    other = found.select(F.col("place").alias("place__"), F.col("id").alias("id__"), F.col("content").alias("content__"), F.col("spans").alias(spans))
-    on = (laid[place] == other["place__"]) & laid[id_col].eqNullSafe(other["id__"]) & (F.xxhash64(empty_if_null(laid[text_col])) == other["content__"])
-    joined = laid.join(other, on, "left").drop("place__", "id__", "content__")
+    other = found.select(F.col("place").alias("place__"), F.col("id").alias("id__"), F.col("spans").alias(spans))
+    on = (laid[place] == other["place__"]) & laid[id_col].eqNullSafe(other["id__"])
+    joined = laid.join(other, on, "left").drop("place__", "id__")
 
     def work(all_lines: Column) -> Column:
         words = lambda z: F.aggregate(F.slice(all_lines, z["begin"] + 1, z["end"] - z["begin"]), F.lit(0), lambda s, x: s + _words(x))
