@@ -28,7 +28,7 @@ UNIT_WORDS = 12
 OWN_WORDS = 5
 #: Lines around a unit that it can grow by on either side.
 AROUND = 12
-LONG_LINE = 100
+LONG_LINE = 300
 #: Bytes of text in one bucket of the laid out table.
 BUCKET_BYTES = 64 << 20
 LINE_END = "(?<=[.!?] |\n)"
