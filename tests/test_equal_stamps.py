@@ -28,3 +28,9 @@ def test_drawdown_takes_equal_stamps_together(spark, cut):
     d = frame(spark, [(0, 1, 0, 4), (0, 2, 1, -3), (0, 2, 2, 5), (0, 3, 3, -2)], "x long")
     got = w.drawdown_curve(d, ["k"], "t", "x", cut(d, "t"))
     assert by_ord(got, "cum", "peak") == [(4, 4), (6, 6), (6, 6), (4, 6)]
+
+
+def test_age_sees_rows_of_the_same_stamp(spark, cut):
+    d = frame(spark, [(0, 1, 0, "a"), (0, 5, 1, "b"), (0, 5, 2, "a"), (0, 6, 3, "b")], "e string")
+    got = w.time_since_last(d, ["k"], "t", {"since": F.col("e") == "a"}, cut(d, "t"))
+    assert by_ord(got, "since") == [(0,), (0,), (0,), (1,)]
