@@ -34,3 +34,11 @@ def test_age_sees_rows_of_the_same_stamp(spark, cut):
     d = frame(spark, [(0, 1, 0, "a"), (0, 5, 1, "b"), (0, 5, 2, "a"), (0, 6, 3, "b")], "e string")
     got = w.time_since_last(d, ["k"], "t", {"since": F.col("e") == "a"}, cut(d, "t"))
     assert by_ord(got, "since") == [(0,), (0,), (0,), (1,)]
+
+
+def test_messages_number_equal_stamps_together(spark, cut):
+    rows = [(0, 1, 0, "bid", 9, 1, False), (0, 2, 1, "bid", 8, 9, True), (0, 2, 2, "bid", 7, 1, False), (0, 2, 3, "bid", 6, 9, True)]
+    d = frame(spark, rows, "side string, px long, qty long, big boolean")
+    got = h.rows_to_messages(d, ["k"], "t", ["big"], cut(d, "t"), ["ord"])
+    got = [(r.msg, r.big, [x.px for x in r.bids]) for r in got.orderBy("msg", "big").collect()]
+    assert got == [(1, False, [9]), (4, False, [7]), (4, True, [8, 6])]

@@ -40,7 +40,7 @@ def to_ticks(v):
        FROM i GROUP BY 1, 2, 3""",
 )
 def rows_to_messages(v):
-    m = h.rows_to_messages(v.levels.withColumn("big", F.col("qty") >= 50), ["seg"], "ts_us", ["big"], v.time)
+    m = h.rows_to_messages(v.levels.withColumn("big", F.col("qty") >= 50), ["seg"], "ts_us", ["big"], v.time, ["ord"])
 
     def text(c):
         return F.array_join(F.transform(c, lambda x: F.concat_ws("x", x.px, x.qty)), ",")
