@@ -42,3 +42,9 @@ def test_messages_number_equal_stamps_together(spark, cut):
     got = h.rows_to_messages(d, ["k"], "t", ["big"], cut(d, "t"), ["ord"])
     got = [(r.msg, r.big, [x.px for x in r.bids]) for r in got.orderBy("msg", "big").collect()]
     assert got == [(1, False, [9]), (4, False, [7]), (4, True, [8, 6])]
+
+
+def test_streaks_number_equal_stamps_together(spark, cut):
+    d = frame(spark, [(0, 1, 0, True), (0, 2, 1, False), (0, 2, 2, True), (0, 3, 3, True)], "up boolean")
+    got = w.signed_streak(d, ["k"], "t", F.col("up"), "s", cut(d, "t"), ["ord"])
+    assert by_ord(got, "s") == [(1,), (-1,), (2,), (3,)]
