@@ -48,3 +48,17 @@ def test_streaks_number_equal_stamps_together(spark, cut):
     d = frame(spark, [(0, 1, 0, True), (0, 2, 1, False), (0, 2, 2, True), (0, 3, 3, True)], "up boolean")
     got = w.signed_streak(d, ["k"], "t", F.col("up"), "s", cut(d, "t"), ["ord"])
     assert by_ord(got, "s") == [(1,), (-1,), (2,), (3,)]
+
+
+def test_copies_and_rows_of_one_position_go_by_ord(spark, tmp_path):
+    """The copy of row 53 has the position of row 253, which comes after it."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 10::BIGINT AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{"k": 1}}' AS props
+        FROM (VALUES (53), (153), (253)) v(i)) TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in entry.queries()["order_regressions"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(entry.oracle_sql()["order_regressions"]).fetchall() == [(0, 4, 1, 1)]

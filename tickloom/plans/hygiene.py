@@ -174,9 +174,9 @@ def drop_stale(v):
              WINDOW w AS (PARTITION BY seg ORDER BY pos, ord)) GROUP BY 1""",
 )
 def order_regressions(v):
-    d = v.updates.selectExpr("seg", "ts_us", "last_u AS u", "(ord * 2 + dup * 400) * 4 + dup AS pos")
+    d = v.updates.selectExpr("seg", "ts_us", "last_u AS u", "ord * 2 + dup * 400 AS pos", "ord")
     pos = v.blocks(d, "pos", "events", 1.1, tag="pos")
-    return h.order_regressions(d, ["seg"], "pos", ["ts_us", "u"], pos)
+    return h.order_regressions(d, ["seg"], "pos", ["ts_us", "u"], pos, ["ord"])
 
 
 @query(
