@@ -62,3 +62,9 @@ def test_copies_and_rows_of_one_position_go_by_ord(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got = [tuple(r) for r in entry.queries()["order_regressions"](spark, str(tmp_path)).collect()]
     assert got == con.execute(entry.oracle_sql()["order_regressions"]).fetchall() == [(0, 4, 1, 1)]
+
+
+def test_next_row_of_equal_stamps_is_the_first_by_ord(spark, cut):
+    d = frame(spark, [(0, 1, 0, 0)] + [(0, 2, i, i) for i in (5, 3, 9, 4)], "x long")
+    got = o.asof(d.where("t = 1"), d, ["k"], "t", "t", {"x": "nx"}, cut(d, "t"), ["ord"], forward=True, strict=True)
+    assert by_ord(got, "nx") == [(3,)]
