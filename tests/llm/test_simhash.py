@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
 from tickloom.llm import simhash
@@ -142,5 +143,28 @@ def test_keep_one_similar_decides_by_jaccard(spark, monkeypatch):
         assert all((r.row, r.sign) == ("x", "y") for r in got)
 
 
+def test_keep_one_similar_searches_fingerprints(spark, monkeypatch):
+    """Fingerprints of the sets find the pairs: without reach only texts with equal ones meet, whatever bands they share."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.random()}" for _ in range(rng.randint(100, 300))]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    fps = [simhash.majority(x) for x in sets]
+
+    def bits(a, b):
+        return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+    expect = sorted((max(i, j), min(i, j)) for i, j in combinations(range(60), 2) if bits(fps[i], fps[j]) <= simhash.REACH)
+    assert sorted(simhash._within_reach(np.array(fps), simhash.REACH)) == expect
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one_similar(docs).count() == 30
+    for rows in (128, 2):
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(simhash, "REACH", 0)
+        assert simhash.keep_one_similar(docs).count() == len(set(fps)) > 30
+
+
 def test_keep_one_similar_of_nothing(spark):
     assert simhash.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []

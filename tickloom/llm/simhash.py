@@ -37,7 +37,12 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     n = len(words) - width + 1
     spans = zip((end - size)[:n].tolist(), end[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), "<u8", n)
+    return majority(np.fromiter((digest(joined[a:b], 42) for a, b in spans), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have, as a signed number; zero without any."""
+    n = len(hashes)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -253,6 +258,9 @@ BANDS = 20
 BAND_ROWS = 5
 #: Texts of one bucket that are compared at once, with as many others.
 BUCKET_ROWS = 128
+#: Bits by which fingerprints of two sets at similarity 0.8 may differ; more with probability 0.000013 at most (4 of 5
+#: shingles common; 0.0000002 for long texts, 9.7 bits on average). Two unrelated ones are as near with probability 0.08.
+REACH = 26
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -281,14 +289,27 @@ def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(one) + len(two) - both)
 
 
+def _within_reach(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Pairs i > j of ``fps`` within ``radius`` bits, from one BK-tree of the distinct values."""
+    values, at = np.unique(fps.astype("<i8").view("<u8"), return_inverse=True)
+    one_shard = np.zeros(len(values), np.int64)
+    near = np.zeros((len(values), len(values)), bool)
+    for query, node in Forest(one_shard, values).within(one_shard, values, radius):
+        near[query, node] = True
+    return zip(*np.nonzero(np.tril(near[at][:, at], -1)), strict=True)
+
+
 def similar_groups(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """``(node, root)`` of the texts of ``texts(node, text, bands)`` whose shingle sets are linked at ``similarity``.
+    """``(node, root)`` of the texts of ``texts(node, text, fp, bands)`` whose shingle sets are linked at ``similarity``.
 
-    Texts of a bucket are compared with its first one; buckets that then still hold several groups are
-    compared in full, in pieces, so no verified link between groups of a bucket is left out.
+    A bucket of a band is a shard of fingerprints, with its first text as the root of its BK-tree. Children of the root
+    within ``REACH`` bits are verified by their sets. Shards that then still hold several groups get whole trees, in
+    pieces of which every two meet, and what lies within ``REACH`` bits there is verified unless linked before; so no
+    link between groups of a shard is left out.
     """
-    buckets = save(texts.select("node", F.explode("bands").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = save(texts.select("node", "fp", F.explode("bands").alias("bucket")), "buckets")
+    root = F.min(F.struct("node", "fp"))
+    shared = buckets.groupBy("bucket").agg(root.alias("first"), F.count("*").alias("n")).where("n > 1")
     held = save(buckets.join(shared, "bucket"), "shared-buckets")
     one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("src", "dst"))
 
@@ -296,17 +317,19 @@ def similar_groups(texts: DataFrame, similarity: float, width: int) -> DataFrame
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(shingle_set(x, width), shingle_set(y, width), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    pairs = held.where("first <> node").select(F.col("first").alias("src"), F.col("node").alias("dst")).distinct()
+    edge = F.bit_count(F.col("first.fp").bitwiseXOR(F.col("fp")))
+    children = held.where((F.col("first.node") != F.col("node")) & (edge <= REACH))
+    pairs = children.select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct()
     edges = save(pairs.join(one, "src").join(two, "dst").where(near("src_text", "dst_text")).select("src", "dst"), "similar")
     groups = save(components(edges), "groups")
-    rooted = held.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = held.join(groups, "node", "left").select("bucket", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     dealt = (
         rooted.join(mixed, "bucket")
         .withColumn("pieces", F.ceil(F.col("n") / BUCKET_ROWS).cast("int"))
         .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "node", "root")
+        .select("bucket", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "node", "fp", "root")
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -314,12 +337,11 @@ def similar_groups(texts: DataFrame, similarity: float, width: int) -> DataFrame
         src, dst = [], []
         if (label != label[0]).any():
             sets = [shingle_set(t, width) for t in frame["text"]]
-            for i in range(len(node)):
-                for j in range(i):
-                    if label[i] != label[j] and similar(sets[i], sets[j], similarity):
-                        src.append(node[i])
-                        dst.append(node[j])
-                        label[label == label[j]] = label[i]
+            for i, j in _within_reach(frame["fp"].to_numpy(), REACH):
+                if label[i] != label[j] and similar(sets[i], sets[j], similarity):
+                    src.append(node[i])
+                    dst.append(node[j])
+                    label[label == label[j]] = label[i]
         return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
 
     more = dealt.join(texts.select("node", "text"), "node").groupBy("bucket", "low", "high").applyInPandas(compare, "src long, dst long")
@@ -331,20 +353,23 @@ def keep_one_similar(
 ) -> DataFrame:
     """One row of ``docs`` for each group linked by the Jaccard similarity of word shingles; rows as in ``keep_one``.
 
-    MinHash bands give candidates (a pair at 0.8 is missed with probability 0.0004, less above), and a pair
-    is linked only if its shingle sets reach ``similarity``. Rows with equal sets are one group.
+    Fingerprints of the shingle sets are searched by BK-trees in shards. Agreement on some of 64 bits gives no shards for
+    pairs as far apart as 0.8, so a text's shards are its MinHash bands (a pair at 0.8 shares none with probability
+    0.0004, less above), and ``REACH`` is the radius in them. A pair is linked only if its shingle sets reach
+    ``similarity``. Rows with equal sets are one group.
     """
     sign, row = free_name(docs, "sign"), free_name(docs, "row")
 
-    @F.pandas_udf("bands array<long>, same binary")
+    @F.pandas_udf("bands array<long>, same binary, fp long")
     def signed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in texts]
-        return pd.DataFrame({"bands": [bands_of(x) for x in sets], "same": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]})
+        same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+        return pd.DataFrame({"bands": [bands_of(x) for x in sets], "same": same, "fp": np.array([majority(x) for x in sets], "int64")})
 
     table = save(docs.withColumn(sign, signed(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "documents")
     rows = table.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{sign}.same").alias("same"))
     classes = save(rows.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")), "shingle-classes")
-    texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text"), F.col(f"{sign}.bands").alias("bands"))
+    texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text"), F.col(f"{sign}.fp").alias("fp"), F.col(f"{sign}.bands").alias("bands"))
     groups = similar_groups(texts.join(classes.select("node"), "node", "left_semi"), similarity, width)
     kept = classes.join(groups, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     return table.join(kept.select(F.col("least.row").alias(row)), row, "left_semi").drop(sign, row)
