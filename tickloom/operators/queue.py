@@ -143,7 +143,7 @@ def queue_grid_fills(
     one before, and an order by one block.
     """
     level = [*keys, "side", "px"]
-    wide = blocks.at_least(window)
+    wide = blocks.for_python.at_least(window)
     ev = prints.select(*level, "ts_us", F.lit(0).alias("_k"), "ord", F.col("qty").cast("bigint").alias("_x")).unionByName(
         deltas.where("delta <> 0").select(*level, "ts_us", F.lit(1).alias("_k"), "ord", F.col("delta").cast("bigint").alias("_x"))
     )

@@ -26,7 +26,7 @@ def state_on_grid(v):
 
 
 def book(v):
-    return s.book_after_updates(v.levels, ["seg"], "ts_us", "ord", v.time)
+    return v.settled(s.book_after_updates(v.levels, ["seg"], "ts_us", "ord", v.time), "book", v.time)
 
 
 def flow_rows(v):

@@ -251,7 +251,7 @@ EPI = """SELECT seg, side, episode, max(coalesce(next_ts, ts_us)) - min(ts_us) A
 
 
 def episode_frame(v):
-    e = level_episodes(flow_rows(v), ["seg"], "ts_us")
+    e = v.settled(level_episodes(flow_rows(v), ["seg"], "ts_us"), "episodes", v.time)
     return e.withColumn("duration", F.col("end_us") - F.col("start_us"))
 
 
