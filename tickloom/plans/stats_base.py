@@ -53,7 +53,7 @@ MD = " ".join(f"{m}_{s}" for m in ("m1", "m6") for s in ("mean", "favourable", "
     dbl="fill_rate through_share fill_rate_1h median_wait " + MD,
 )
 def population_stats(v):
-    f = marked_fills(v).withColumn("wait", F.col("fill_us") - F.col("place_us"))
+    f = marked_fills(v, horizons=("m1", "m6")).withColumn("wait", F.col("fill_us") - F.col("place_us"))
     seen = F.col("last_us") - F.col("place_us")
     return st.population_stats(f, ["side", "alpha"], "wait", {"1h": HOUR}, ["m1", "m6"], seen, fills_cut(v, f))
 
@@ -90,7 +90,7 @@ def mechanism_decomposition(v):
     dbl="mean median p25 p75 favourable",
 )
 def markout_path(v):
-    long = st.long_columns(marked_fills(v).where("filled"), ["side"], ["m1", "m6"], "horizon", "y")
+    long = st.long_columns(marked_fills(v, horizons=("m1", "m6")).where("filled"), ["side"], ["m1", "m6"], "horizon", "y")
     y = F.col("y")
     return st.grouped(
         long, ["side", "horizon"], {"observed": F.count(y), "mean": F.avg(y), "favourable": st.share(y > 0)},
