@@ -122,8 +122,11 @@ def _source(laid: DataFrame, place: str, id_col: str, text_col: str) -> DataFram
     return laid.select(F.col(place).alias("place"), F.col(id_col).alias("id"), empty_if_null(F.col(text_col)).alias("text"))
 
 
-def _same_document(left: DataFrame, right: DataFrame) -> Column:
-    return (left["place"] == right["place"]) & left["id"].eqNullSafe(right["id"])
+def _same_document(place: Column, id_: Column, other_place: Column, other_id: Column) -> Column:
+    """Equal places and ids. The ids aren't compared by ``=``: as join keys they would have the laid out texts
+    shuffled anew, since their layout goes by ``place`` alone."""
+    same_id = F.coalesce((id_ <= other_id) & (id_ >= other_id), id_.isNull() & other_id.isNull())
+    return (place == other_place) & same_id
 
 
 def repeated_units(source: DataFrame) -> DataFrame:
@@ -174,7 +177,8 @@ def repeats(source: DataFrame) -> DataFrame:
     of keys both stay. Ranges that touch are one.
     """
     candidates = repeated_units(source)
-    texts = source.join(candidates, _same_document(source, candidates)).select(source["*"], candidates["units"])
+    same_document = _same_document(source["place"], source["id"], candidates["place"], candidates["id"])
+    texts = source.join(candidates, same_document).select(source["*"], candidates["units"])
 
     def read(lines: Column, u: Column) -> Column:
         none = F.array().cast("array<string>")
@@ -223,7 +227,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     found = repeats(_source(laid, place, id_col, text_col))
     spans, lines = (free_name(laid, c) for c in ("spans", "lines"))
     other = found.select(F.col("place").alias("place__"), F.col("id").alias("id__"), F.col("spans").alias(spans))
-    on = (laid[place] == other["place__"]) & laid[id_col].eqNullSafe(other["id__"])
+    on = _same_document(laid[place], laid[id_col], other["place__"], other["id__"])
     joined = laid.join(other, on, "left").drop("place__", "id__")
 
     def work(all_lines: Column) -> Column:
