@@ -1,7 +1,7 @@
 """Line dedup: texts are laid out once; neither join with them shuffles them again."""
 
 import pytest
-from pyspark.sql import DataFrameWriter
+from pyspark.sql import DataFrameWriter, functions as F
 
 from tickloom.llm import linededup
 
@@ -32,3 +32,21 @@ def test_laid_out_texts_are_not_shuffled(spark, no_broadcast, monkeypatch):
     assert passage in got[0] and all("word5" not in got[i] for i in range(3, 60, 3)) and got[1] == rows[1][1]
     none = [r.text for r in out.where("doc_id IS NULL").collect()]
     assert len(none) == 2 and None in none and all(t is None or t.startswith("None begins. ") and "word5 " not in t for t in none)
+
+
+def test_a_shared_passage_is_written_once(spark, no_broadcast, monkeypatch):
+    passage = "".join(f"Sentence {i} of the passage has some more words here. " for i in range(60))
+    rows = [(i, f"Text number {i} begins so with words of its own. {passage}It ends here {i}, again with its own.") for i in range(100)]
+    chars = {}
+    save = linededup.save
+
+    def counted(df, name):
+        out = save(df, name)
+        if "string" in df.schema.simpleString():
+            chars[name] = out.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+        return out
+
+    monkeypatch.setattr(linededup, "save", counted)
+    got = {r.doc_id: r.text for r in linededup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == rows[i][1].replace(passage, "") for i in range(1, 100))
+    assert 0 < sum(chars.values()) < 3 * len(passage)

@@ -31,136 +31,147 @@ AROUND = 12
 LONG_LINE = 300
 #: Bytes of text in one bucket of the laid out table.
 BUCKET_BYTES = 64 << 20
+#: Bits of a position that hold the line number; a text has fewer than 2 ** 31 bytes.
+LINE_BITS = 31
 LINE_END = "(?<=[.!?] |\n)"
 WORD_END = "(?<=[,;:dosy] |[。、])"
 MARK = "\u0001"
 
 
+def _bound(value: Column, make) -> Column:
+    """``make(value)`` with ``value`` computed once, however often ``make`` names it."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _lines(text: Column) -> Column:
     """The lines of a text; joined without a separator they are the text again."""
     marked = text
     for end in (". ", "! ", "? ", "\n"):
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
     lines = F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
-    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, WORD_END)).otherwise(F.array(x))))
+    # The number of bytes is at hand, that of characters is counted.
+    is_long = lambda x: (F.octet_length(x) > LONG_LINE) & (F.length(x) > LONG_LINE)
+    cut = lambda all_lines: F.flatten(F.transform(all_lines, lambda x: F.when(is_long(x), F.split(x, WORD_END)).otherwise(F.array(x))))
+    return _bound(lines, lambda all_lines: F.when(F.exists(all_lines, is_long), cut(all_lines)).otherwise(all_lines))
 
 
 def _words(line: Column) -> Column:
     """Words by blanks, or one per twelve characters where that is more (scripts without blanks)."""
-    blanks = F.length(line) - F.length(F.replace(line, F.lit(" ")))
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" ")))
     return F.greatest(blanks + F.when(line.endswith(" "), 0).otherwise(1), F.floor(F.length(line) / 12).cast("int"))
 
 
-def _pairs(first: Column, second: Column, make) -> Column:
-    return F.zip_with(first, second, lambda x, y: make(x, y))
-
-
 def line_units(rows: DataFrame) -> DataFrame:
-    """``rows(place, id, text)`` as ``(place, id, units)``; a unit is ``(begin, end, key)``.
+    """``rows(seq, text)`` as ``(seq, units)``; a unit is ``(begin, end, key)``.
 
     ``begin`` and ``end`` are line numbers (end exclusive); ``key`` hashes the unit's line hashes. Every
-    step is an array function of its row.
+    step is an array function of its row. Rolling hashes and words of longer runs of chunks are made only
+    where shorter ones don't settle a boundary or a unit.
     """
-    split = rows.select("place", "id", _lines(F.col("text")).alias("lines"))
-    hashed = split.select(
-        "place",
-        "id",
-        F.size("lines").alias("n"),
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("lines", _words).alias("words"),
-    )
-    zero = F.array(F.lit(0).cast("long"))
-    rolled = hashed.select("*", _pairs(F.concat(zero, F.slice("h", 1, F.col("n") - 1)), F.col("h"), lambda a, b: F.xxhash64(a, b)).alias("r"))
-    around = F.arrays_zip(
-        F.concat(zero, F.slice("r", 1, F.col("n") - 1)).alias("a"),
-        F.col("r").alias("b"),
-        F.concat(F.slice("r", 2, F.col("n")), zero).alias("c"),
-        F.col("words").alias("w"),
-        F.concat(F.slice("words", 2, F.col("n")), F.array(F.lit(0))).alias("v"),
-        F.sequence(F.lit(1), F.col("n")).alias("i"),
-    )
-    ends = F.filter(around, lambda z: (z["w"] >= OWN_WORDS) | (z["v"] >= OWN_WORDS) | (z["a"] >= z["b"]) | (z["b"] < z["c"]) | (z["i"] == F.col("n")))
-    cut = rolled.select("place", "id", "h", "words", F.concat(F.array(F.lit(0)), F.transform(ends, lambda z: z["i"])).alias("cuts"))
-    of = lambda column, b, e: F.slice(column, b + 1, e - b)
-    total = lambda b, e: F.when(e - b == 1, F.get("words", b)).otherwise(F.aggregate(of("words", b, e), F.lit(0), lambda s, w: s + w))
-    table = cut.select("place", "id", "h", "cuts", _pairs(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), total).alias("t1"))
-    for m in (1, 2, 4, 8):
-        # Words of twice as many chunks; null where the text ends before.
-        table = table.withColumn(f"t{2 * m}", _pairs(F.col(f"t{m}"), F.slice(f"t{m}", m + 1, F.size(f"t{m}")), lambda x, y: x + y))
-
-    def taken(z: Column) -> Column:
-        choice = None
-        for m in (1, 2, 4, 8, 16):
-            choice = (F if choice is None else choice).when(z[f"t{m}"] >= UNIT_WORDS, m)
+    split = rows.select("seq", _lines(F.col("text")).alias("lines"))
+    hashed = split.select("seq", F.size("lines").alias("n"), F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("words"))
+    rolled = lambda i: F.xxhash64(F.coalesce(F.get("h", i - 2), F.lit(0).cast("long")), F.get("h", i - 1))
+
+    def ends(i: Column) -> Column:
+        long = (i == F.col("n")) | (F.get("words", i - 1) >= OWN_WORDS) | (F.get("words", i) >= OWN_WORDS)
+        before = F.when(i == 1, F.lit(0).cast("long")).otherwise(rolled(i - 1))
+        return long | (before >= rolled(i)) | (rolled(i) < rolled(i + 1))
+
+    cut = hashed.select("seq", "n", "h", "words", F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.col("n")), ends)).alias("cuts"))
+    total = lambda b, e: F.aggregate(F.slice("words", b + 1, e - b), F.lit(0), lambda s, w: s + w)
+    totals = F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), total)
+    table = cut.select("seq", "h", "cuts", F.when(F.size("cuts") == F.col("n") + 1, F.col("words")).otherwise(totals).alias("chunks"))
+
+    def taken(words: Column, i: Column) -> Column:
+        choice, so_far, m = None, words, 1
+        while m <= 16:
+            choice = (F if choice is None else choice).when(so_far >= UNIT_WORDS, m)
+            # Words of twice as many chunks; null where the text ends before.
+            for k in range(m, 2 * m):
+                so_far = so_far + F.get("chunks", i + k)
+            m *= 2
         return choice
 
-    counts = F.transform(F.arrays_zip("t1", "t2", "t4", "t8", "t16"), taken)
-    chosen = table.select("place", "id", "h", "cuts", counts.alias("counts"))
+    chosen = table.select("seq", "h", "cuts", F.transform("chunks", taken).alias("counts"))
     spans = F.transform("counts", lambda m, i: F.struct(F.get("cuts", i).alias("begin"), F.get("cuts", i + m).alias("end")))
     full = F.filter(spans, lambda z: z["end"].isNotNull())
-    keyed = F.transform(full, lambda z: F.struct(z["begin"].alias("begin"), z["end"].alias("end"), F.xxhash64(of("h", z["begin"], z["end"])).alias("key")))
-    return chosen.select("place", "id", keyed.alias("units"))
 
+    def key(begin: Column, end: Column) -> Column:
+        one, two = F.get("h", begin), F.get("h", begin + 1)
+        return F.when(end - begin == 1, F.xxhash64(one)).when(end - begin == 2, F.xxhash64(one, two)).otherwise(F.xxhash64(F.slice("h", begin + 1, end - begin)))
 
-def lay_out(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """``docs`` as a table bucketed by a hash of id and text, and that column's name.
+    keyed = F.transform(full, lambda z: F.struct(z["begin"].alias("begin"), z["end"].alias("end"), key(z["begin"], z["end"]).alias("key")))
+    return chosen.select("seq", keyed.alias("units"))
+
+
+def number(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``(id, place, seq)`` of the different documents, and the bytes of all texts.
+
+    ``place`` hashes id and text; documents equal in both are one. ``seq`` counts from 0 by id (nulls last)
+    and place, so one number tells which of two documents comes first.
+    """
+    text = F.col(text_col)
+    ids = save(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), empty_if_null(text)).alias("place"), F.octet_length(text).alias("bytes")), "line-ids")
+    size = ids.agg(F.sum("bytes")).first()[0] or 0
+    ordered = ids.select("id", "place").distinct().orderBy(F.col("id").asc_nulls_last(), "place")
+    sorted_ = save(ordered.withColumn("at", F.monotonically_increasing_id()), "line-order")
+    release(ids)
+    # Above its lower 33 bits the number holds the partition; one row per partition tells what lies before it.
+    part = F.shiftright("at", 33)
+    counts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    seq = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+    numbered = save(sorted_.join(F.broadcast(before), part == F.col("part")).select("id", "place", seq.alias("seq")), "line-numbers")
+    release(sorted_)
+    return numbered, size
+
+
+def lay_out(docs: DataFrame, numbers: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """``docs`` as a table bucketed by ``place``, and the names of its columns ``place`` and ``seq``.
 
     All later joins with the texts follow its layout, so whole texts are shuffled once. Buckets are as many
     as the text bytes ask for, never fewer than the session's shuffle partitions.
     """
     spark = docs.sparkSession
-    place = free_name(docs, "place")
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    place, seq = free_name(docs, "place"), free_name(docs, "seq")
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"laid_{uuid.uuid4().hex}"
-    laid = docs.withColumn(place, F.xxhash64(F.col(id_col), empty_if_null(F.col(text_col))))
-    laid.repartition(buckets, place).write.bucketBy(buckets, place).option("path", scratch(spark, "line-texts")).saveAsTable(name)
-    return spark.table(name), place
-
-
-def _source(laid: DataFrame, place: str, id_col: str, text_col: str) -> DataFrame:
-    return laid.select(F.col(place).alias("place"), F.col(id_col).alias("id"), empty_if_null(F.col(text_col)).alias("text"))
-
-
-def _same_document(place: Column, id_: Column, other_place: Column, other_id: Column) -> Column:
-    """Equal places and ids. The ids aren't compared by ``=``: as join keys they would have the laid out texts
-    shuffled anew, since their layout goes by ``place`` alone."""
+    placed = docs.withColumn(place, F.xxhash64(F.col(id_col), empty_if_null(F.col(text_col)))).repartition(buckets, place)
+    other = numbers.select(F.col("id").alias("id__"), F.col("place").alias("place__"), F.col("seq").alias(seq)).repartition(buckets, "place__")
+    id_, other_id = placed[id_col], other["id__"]
+    # The ids aren't compared by ``=``: as join keys they would have the texts dealt out by id and place.
     same_id = F.coalesce((id_ <= other_id) & (id_ >= other_id), id_.isNull() & other_id.isNull())
-    return (place == other_place) & same_id
-
+    laid = placed.join(other.hint("shuffle_hash"), (placed[place] == other["place__"]) & same_id).drop("id__", "place__")
+    laid.write.bucketBy(buckets, place).option("compression", "zstd").option("path", scratch(spark, "line-texts")).saveAsTable(name)
+    return spark.table(name), place, seq
 
-def repeated_units(source: DataFrame) -> DataFrame:
-    """``(place, id, units)`` of documents with units that occur more than once.
 
-    A unit is ``(begin, end, key, is_first, left, right)``; ``left`` and ``right`` tell where lines around it
-    must be looked at: at the ends of copied runs of units, and at the first places of these.
+def repeated_runs(units: DataFrame) -> DataFrame:
+    """``(seq, begin, end, first_seq, first_begin)``: the runs of lines that repeat the first place of their units.
 
-    Counting shuffles one number per unit, pre-aggregated, so a unit that a third of all documents share
-    is no hot group.
+    A position is a document's number and a line number in one integer, so counting shuffles two numbers per
+    unit, pre-aggregated, and a unit that a third of all documents share is no hot group. Units of a document
+    that touch and have their first places in one other, as far apart, are one run.
     """
-    saved = save(line_units(source), "line-units")
-    found = saved.select("place", "id", F.inline("units"))
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    again = save(found.join(often, "key"), "line-again")
-    release(saved)
-    order = F.struct(F.col("id").isNull(), "id", "place", "begin")
-    firsts = again.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("key", "first")
-    marked = again.join(firsts, "key").withColumn("is_first", order == F.col("first"))
-    # Units of a document that touch and have their first places in one other, as far apart, are one copied run.
-    run = ["place", "id", "first.id", "first.place", F.col("begin") - F.col("first.begin")]
-    line = Window.partitionBy(*run).orderBy("begin", "end")
-    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("begin").over(line.rowsBetween(1, Window.unboundedFollowing))
-    left, right = before.isNull() | (before < F.col("begin")), after.isNull() | (after > F.col("end"))
-    edged = save(marked.select("place", "id", "begin", "end", "key", "is_first", left.alias("left"), right.alias("right")), "line-edges")
-    release(again)
-    others = edged.where("not is_first")
-    asked = others.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    all_units = others.unionByName(edged.where("is_first").drop("left", "right").join(asked, "key"))
-    unit = F.struct("begin", "end", "key", "is_first", "left", "right")
-    candidates = save(all_units.groupBy("place", "id").agg(F.collect_set(unit).alias("units")), "line-candidates")
-    release(edged)
-    return candidates
+    found = units.select("seq", F.inline("units"))
+    found = found.select("key", F.shiftleft("seq", LINE_BITS).bitwiseOR(F.col("begin")).alias("at"), (F.col("end") - F.col("begin")).alias("n"))
+    firsts = found.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("key", "first")
+    others = found.join(firsts, "key").where("at <> first")
+    seq, begin = F.shiftright("at", LINE_BITS), F.col("at").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
+    placed = others.select(seq.alias("seq"), (F.col("at") - F.col("first")).alias("apart"), begin.alias("begin"), (begin + F.col("n")).alias("end"))
+    line = Window.partitionBy("seq", "apart").orderBy("begin", "end")
+    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opened = placed.withColumn("opens", F.coalesce(reach < F.col("begin"), F.lit(True)).cast("int"))
+    numbered = opened.withColumn("run", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("seq", "apart", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    first = F.shiftleft("seq", LINE_BITS).bitwiseOR(F.col("begin")) - F.col("apart")
+    return runs.select("seq", "begin", "end", F.shiftright(first, LINE_BITS).alias("first_seq"), first.bitwiseAND((1 << LINE_BITS) - 1).cast("int").alias("first_begin"))
+
+
+def _around(lines: Column, begin: Column, n: Column) -> tuple[Column, Column, Column]:
+    """``n`` lines from ``begin`` on, those before them (the nearest first) and those after."""
+    left = F.reverse(F.slice(lines, F.greatest(begin - AROUND, F.lit(0)) + 1, F.least(begin, F.lit(AROUND))))
+    return F.slice(lines, begin + 1, n), left, F.slice(lines, begin + n + 1, AROUND)
 
 
 def _shared(x: Column, y: Column) -> Column:
@@ -169,51 +180,34 @@ def _shared(x: Column, y: Column) -> Column:
     return (F.array_position(F.concat(equal, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
 
 
-def repeats(source: DataFrame) -> DataFrame:
-    """``(place, id, spans)``: the line ranges of each document that repeat an earlier place.
+def _of_document(laid: DataFrame, place: str, seq: str, found: DataFrame) -> Column:
+    """Equal places and numbers. The numbers aren't compared by ``=``: as join keys they would have the laid out
+    texts shuffled anew, since their layout goes by ``place`` alone."""
+    return (laid[place] == found["place__"]) & (laid[seq] <= found["seq__"]) & (laid[seq] >= found["seq__"])
+
+
+def repeats(laid: DataFrame, numbers: DataFrame, place: str, seq: str, text_col: str) -> DataFrame:
+    """``(place__, seq__, runs)``: of each document with repeats its runs ``(begin, core, left, right)``, the lines of
+    their first places with up to ``AROUND`` lines on either side.
 
-    ``place`` hashes id and text; documents equal in both are one document. A place in a text is earlier if
-    its (id with nulls last, ``place``, line) is smaller. Only the first place of a unit stays. On a collision
-    of keys both stay. Ranges that touch are one.
+    A place in a text is earlier if its (``seq``, line) is smaller. Only the first place of a unit stays.
     """
-    candidates = repeated_units(source)
-    same_document = _same_document(source["place"], source["id"], candidates["place"], candidates["id"])
-    texts = source.join(candidates, same_document).select(source["*"], candidates["units"])
-
-    def read(lines: Column, u: Column) -> Column:
-        none = F.array().cast("array<string>")
-        left = F.reverse(F.slice(lines, F.greatest(u["begin"] - AROUND, F.lit(0)) + 1, F.least(u["begin"], F.lit(AROUND))))
-        return F.struct(
-            u["begin"].alias("begin"),
-            u["end"].alias("end"),
-            u["key"].alias("key"),
-            u["is_first"].alias("is_first"),
-            F.array_join(F.slice(lines, u["begin"] + 1, u["end"] - u["begin"]), "").alias("bytes"),
-            F.when(u["left"], left).otherwise(none).alias("left"),
-            F.when(u["right"], F.slice(lines, u["end"] + 1, AROUND)).otherwise(none).alias("right"),
-        )
-
-    # A one-element array binds the lines, else each unit would split the text anew.
-    with_bytes = F.transform(F.array(_lines(F.col("text"))), lambda lines: F.transform("units", lambda u: read(lines, u)))[0]
-    saved = save(texts.select("place", "id", with_bytes.alias("units")), "line-bytes")
-    release(candidates)
-    units = saved.select("place", "id", F.inline("units"))
-    kept = units.where("is_first").groupBy("key").agg(F.min(F.struct("bytes", "left", "right")).alias("same"))
-    same = units.where("not is_first").join(kept, "key").where("bytes = same.bytes")
-    grown = same.select(
-        "place",
-        "id",
-        (F.col("begin") - _shared(F.col("left"), F.col("same.left"))).alias("begin"),
-        (F.col("end") + _shared(F.col("right"), F.col("same.right"))).alias("end"),
-    )
-    document = Window.partitionBy("place", "id").orderBy("begin", "end")
-    reach = F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1))
-    opened = grown.withColumn("opens", (reach.isNull() | (reach < F.col("begin"))).cast("int"))
-    numbered = opened.withColumn("run", F.sum("opens").over(document.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("place", "id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    spans = save(runs.groupBy("place", "id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "line-repeats")
+    saved = save(line_units(laid.select(F.col(seq).alias("seq"), empty_if_null(F.col(text_col)).alias("text"))), "line-units")
+    runs = save(repeated_runs(saved), "line-runs")
     release(saved)
-    return spans
+    places = numbers.select("seq", F.col("place").alias("place__"))
+    n = F.col("end") - F.col("begin")
+    wanted = runs.select(F.col("first_seq").alias("seq"), F.col("first_begin").alias("begin"), n.alias("n")).distinct()
+    asked = wanted.groupBy("seq").agg(F.collect_list(F.struct("begin", "n")).alias("runs")).join(places, "seq").withColumnRenamed("seq", "seq__")
+
+    def read(lines: Column, z: Column) -> Column:
+        core, left, right = _around(lines, z["begin"], z["n"])
+        return F.struct(z["begin"].alias("first_begin"), z["n"].alias("n"), core.alias("core"), left.alias("left"), right.alias("right"))
+
+    read_all = _bound(_lines(empty_if_null(F.col(text_col))), lambda lines: F.transform("runs", lambda z: read(lines, z)))
+    sources = save(laid.join(asked, _of_document(laid, place, seq, asked)).select(F.col("seq__").alias("first_seq"), read_all.alias("runs")), "line-sources")
+    given = runs.withColumn("n", n).join(places, "seq").join(sources.select("first_seq", F.inline("runs")).dropDuplicates(["first_seq", "first_begin", "n"]), ["first_seq", "first_begin", "n"])
+    return given.groupBy("place__", F.col("seq").alias("seq__")).agg(F.collect_list(F.struct("begin", "core", "left", "right")).alias("runs"))
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,20 +217,31 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     were, with zero removed, and so do texts of any length without a repeat. Other columns, whatever their
     names, come out unchanged.
     """
-    laid, place = lay_out(docs, id_col, text_col)
-    found = repeats(_source(laid, place, id_col, text_col))
-    spans, lines = (free_name(laid, c) for c in ("spans", "lines"))
-    other = found.select(F.col("place").alias("place__"), F.col("id").alias("id__"), F.col("spans").alias(spans))
-    on = _same_document(laid[place], laid[id_col], other["place__"], other["id__"])
-    joined = laid.join(other, on, "left").drop("place__", "id__")
+    numbers, size = number(docs, id_col, text_col)
+    laid, place, seq = lay_out(docs, numbers, size, id_col, text_col)
+    found = repeats(laid, numbers, place, seq, text_col)
+    runs, lines = (free_name(laid, c) for c in ("runs", "lines"))
+    other = found.withColumnRenamed("runs", runs)
+    joined = laid.join(other, _of_document(laid, place, seq, other), "left").drop("place__", "seq__")
+
+    def grown(all_lines: Column, z: Column) -> Column:
+        n = F.size(z["core"])
+        core, left, right = _around(all_lines, z["begin"], n)
+        b, e = z["begin"] - _shared(left, z["left"]), z["begin"] + n + _shared(right, z["right"])
+        return F.when(core == z["core"], F.sequence(b, e - 1)).otherwise(F.array().cast("array<int>"))
+
+    def stay(all_lines: Column, repeated: Column) -> Column:
+        following = F.transform(repeated, lambda i: i + 1)
+        spans = F.zip_with(F.array_except(repeated, following), F.array_except(following, repeated), lambda b, e: F.struct(b.alias("begin"), e.alias("end")))
+        words = lambda z: F.aggregate(F.slice(all_lines, z["begin"] + 1, z["end"] - z["begin"]), F.lit(0), lambda s, x: s + _words(x))
+        gone = F.flatten(F.transform(F.filter(spans, lambda z: words(z) >= min_words), lambda z: F.sequence(z["begin"], z["end"] - 1)))
+        return F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
 
     def work(all_lines: Column) -> Column:
-        words = lambda z: F.aggregate(F.slice(all_lines, z["begin"] + 1, z["end"] - z["begin"]), F.lit(0), lambda s, x: s + _words(x))
-        long = F.filter(spans, lambda z: words(z) >= min_words)
-        gone = F.flatten(F.transform(long, lambda z: F.sequence(z["begin"], z["end"] - 1)))
-        return F.struct(all_lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone).alias("stay"))
+        repeated = F.array_sort(F.array_distinct(F.flatten(F.transform(runs, lambda z: grown(all_lines, z)))))
+        return F.struct(all_lines.alias("lines"), _bound(repeated, lambda r: stay(all_lines, r)).alias("stay"))
 
-    cut = F.when(F.col(spans).isNotNull(), F.transform(F.array(_lines(F.col(text_col))), work)[0])
+    cut = F.when(F.col(runs).isNotNull(), _bound(_lines(F.col(text_col)), work))
     parts = joined.select(*[F.col(c) for c in docs.columns], cut.alias(lines))
     left = F.array_join(F.transform(F.col(lines)["stay"], lambda i: F.get(F.col(lines)["lines"], i)), "")
     return parts.select(
