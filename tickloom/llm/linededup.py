@@ -57,51 +57,52 @@ def _lines(text: Column) -> Column:
 
 def _words(line: Column) -> Column:
     """Words by blanks, or one per twelve characters where that is more (scripts without blanks)."""
-    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" ")))
-    return F.greatest(blanks + F.when(line.endswith(" "), 0).otherwise(1), F.floor(F.length(line) / 12).cast("int"))
+    by_blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + F.when(line.endswith(" "), 0).otherwise(1)
+    # Characters are counted only where the bytes are enough for more words.
+    return _bound(by_blanks, lambda n: F.when(F.octet_length(line) < n * 12 + 12, n).otherwise(F.greatest(n, F.floor(F.length(line) / 12).cast("int"))))
 
 
 def line_units(rows: DataFrame) -> DataFrame:
-    """``rows(seq, text)`` as ``(seq, units)``; a unit is ``(begin, end, key)``.
+    """``rows(seq, text)`` as ``(seq, cuts, ends, keys)``, arrays of the chunks of each text.
 
-    ``begin`` and ``end`` are line numbers (end exclusive); ``key`` hashes the unit's line hashes. Every
-    step is an array function of its row. Rolling hashes and words of longer runs of chunks are made only
+    A unit begins at each of ``cuts`` (line numbers) but the last; it ends before the line in ``ends`` and has the
+    hash of its line hashes in ``keys``, both null where the text ends before it has its words. Every step is
+    an array function of its row. Rolling hashes and words of longer runs of chunks are made only
     where shorter ones don't settle a boundary or a unit.
     """
     split = rows.select("seq", _lines(F.col("text")).alias("lines"))
     hashed = split.select("seq", F.size("lines").alias("n"), F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("words"))
     rolled = lambda i: F.xxhash64(F.coalesce(F.get("h", i - 2), F.lit(0).cast("long")), F.get("h", i - 1))
 
-    def ends(i: Column) -> Column:
-        long = (i == F.col("n")) | (F.get("words", i - 1) >= OWN_WORDS) | (F.get("words", i) >= OWN_WORDS)
+    def closes(i: Column) -> Column:
+        long = (F.get("words", i - 1) >= OWN_WORDS) | (i == F.col("n")) | (F.get("words", i) >= OWN_WORDS)
         before = F.when(i == 1, F.lit(0).cast("long")).otherwise(rolled(i - 1))
         return long | (before >= rolled(i)) | (rolled(i) < rolled(i + 1))
 
-    cut = hashed.select("seq", "n", "h", "words", F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.col("n")), ends)).alias("cuts"))
-    total = lambda b, e: F.aggregate(F.slice("words", b + 1, e - b), F.lit(0), lambda s, w: s + w)
-    totals = F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), total)
+    cut = hashed.select("seq", "n", "h", "words", F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.col("n")), closes)).alias("cuts"))
+    several = lambda b, e: F.aggregate(F.slice("words", b + 1, e - b), F.lit(0), lambda s, w: s + w)
+    total = lambda b, i: _bound(F.get("cuts", i + 1), lambda e: F.when(e == b + 1, F.get("words", b)).otherwise(several(b, e)))
+    totals = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), total)
     table = cut.select("seq", "h", "cuts", F.when(F.size("cuts") == F.col("n") + 1, F.col("words")).otherwise(totals).alias("chunks"))
 
-    def taken(words: Column, i: Column) -> Column:
+    def end(words: Column, i: Column) -> Column:
         choice, so_far, m = None, words, 1
         while m <= 16:
-            choice = (F if choice is None else choice).when(so_far >= UNIT_WORDS, m)
+            choice = (F if choice is None else choice).when(so_far >= UNIT_WORDS, F.get("cuts", i + m))
             # Words of twice as many chunks; null where the text ends before.
             for k in range(m, 2 * m):
                 so_far = so_far + F.get("chunks", i + k)
             m *= 2
         return choice
 
-    chosen = table.select("seq", "h", "cuts", F.transform("chunks", taken).alias("counts"))
-    spans = F.transform("counts", lambda m, i: F.struct(F.get("cuts", i).alias("begin"), F.get("cuts", i + m).alias("end")))
-    full = F.filter(spans, lambda z: z["end"].isNotNull())
+    chosen = table.select("seq", "h", "cuts", F.transform("chunks", end).alias("ends"))
 
-    def key(begin: Column, end: Column) -> Column:
+    def key(end: Column, i: Column) -> Column:
+        begin = F.get("cuts", i)
         one, two = F.get("h", begin), F.get("h", begin + 1)
-        return F.when(end - begin == 1, F.xxhash64(one)).when(end - begin == 2, F.xxhash64(one, two)).otherwise(F.xxhash64(F.slice("h", begin + 1, end - begin)))
+        return F.when(end == begin + 1, one).when(end == begin + 2, F.xxhash64(one, two)).when(end.isNotNull(), F.xxhash64(F.slice("h", begin + 1, end - begin)))
 
-    keyed = F.transform(full, lambda z: F.struct(z["begin"].alias("begin"), z["end"].alias("end"), key(z["begin"], z["end"]).alias("key")))
-    return chosen.select("seq", keyed.alias("units"))
+    return chosen.select("seq", "cuts", "ends", F.transform("ends", key).alias("keys"))
 
 
 def number(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -153,10 +154,12 @@ def repeated_runs(units: DataFrame) -> DataFrame:
     unit, pre-aggregated, and a unit that a third of all documents share is no hot group. Units of a document
     that touch and have their first places in one other, as far apart, are one run.
     """
-    found = units.select("seq", F.inline("units"))
-    found = found.select("key", F.shiftleft("seq", LINE_BITS).bitwiseOR(F.col("begin")).alias("at"), (F.col("end") - F.col("begin")).alias("n"))
+    all_keys = units.select("seq", "cuts", "ends", F.posexplode("keys").alias("i", "key")).where("key IS NOT NULL")
+    begin, end = F.get("cuts", F.col("i")), F.get("ends", F.col("i"))
+    found = all_keys.select("key", F.shiftleft("seq", LINE_BITS).bitwiseOR(begin).alias("at"), (end - begin).alias("n"))
     firsts = found.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select("key", "first")
-    others = found.join(firsts, "key").where("at <> first")
+    # One row per key and partition is held, so the units needn't be sorted.
+    others = found.join(firsts.hint("shuffle_hash"), "key").where("at <> first")
     seq, begin = F.shiftright("at", LINE_BITS), F.col("at").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
     placed = others.select(seq.alias("seq"), (F.col("at") - F.col("first")).alias("apart"), begin.alias("begin"), (begin + F.col("n")).alias("end"))
     line = Window.partitionBy("seq", "apart").orderBy("begin", "end")
@@ -205,6 +208,8 @@ def repeats(laid: DataFrame, numbers: DataFrame, place: str, seq: str, text_col:
         return F.struct(z["begin"].alias("first_begin"), z["n"].alias("n"), core.alias("core"), left.alias("left"), right.alias("right"))
 
     read_all = _bound(_lines(empty_if_null(F.col(text_col))), lambda lines: F.transform("runs", lambda z: read(lines, z)))
+    # What is asked of a bucket is less than its texts, which needn't be sorted so.
+    asked = asked.hint("shuffle_hash")
     sources = save(laid.join(asked, _of_document(laid, place, seq, asked)).select(F.col("seq__").alias("first_seq"), read_all.alias("runs")), "line-sources")
     given = runs.withColumn("n", n).join(places, "seq").join(sources.select("first_seq", F.inline("runs")).dropDuplicates(["first_seq", "first_begin", "n"]), ["first_seq", "first_begin", "n"])
     return given.groupBy("place__", F.col("seq").alias("seq__")).agg(F.collect_list(F.struct("begin", "core", "left", "right")).alias("runs"))
@@ -222,7 +227,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     found = repeats(laid, numbers, place, seq, text_col)
     runs, lines = (free_name(laid, c) for c in ("runs", "lines"))
     other = found.withColumnRenamed("runs", runs)
-    joined = laid.join(other, _of_document(laid, place, seq, other), "left").drop("place__", "seq__")
+    joined = laid.join(other.hint("shuffle_hash"), _of_document(laid, place, seq, other), "left").drop("place__", "seq__")
 
     def grown(all_lines: Column, z: Column) -> Column:
         n = F.size(z["core"])
