@@ -9,9 +9,10 @@ later boundary.
 
 A *unit* is the first of 1, 2, 4, 8 or 16 successive chunks, from any boundary on, that has ``UNIT_WORDS``
 words. Inside a repeated run of lines at most four short lines at its start and two at its end lie
-outside the boundaries that both places share, so a run of 51 words holds a unit. Places of equal units are
-compared byte by byte and grown line by line as long as the lines around them are equal too; what is left
-of that with ``MIN_WORDS`` words or more is removed. So a repeated run of whole lines goes whole.
+outside the boundaries that both places share, so a run of 51 words holds a unit. Runs of units with equal
+keys are compared byte by byte with their first place and grown line by line as long as the lines around them
+are equal too; what is left of that with ``MIN_WORDS`` words or more is removed. So a repeated run of whole
+lines goes whole. If a key collides, its run stays.
 """
 
 from __future__ import annotations
