@@ -175,3 +175,16 @@ def test_clean_documents_stay(spark):
 
 def test_empty_table(spark):
     assert linededup.remove(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_lines_at_the_end_of_a_run_equal_brute_force(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghilmnorstu", k=rng.randint(2, 9)))
+    line = lambda: " ".join(word() for _ in range(rng.choice((1, 1, 1, 2, 2, 3)))) + "\n"
+    lines = lambda n: "".join(line() for _ in range(n))
+    rows = []
+    for k in range(400):
+        passage = lines(rng.randint(16, 34))
+        rows += [(10 * k + copy, lines(rng.randint(1, 9)) + passage + lines(rng.randint(1, 9))) for copy in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text, r.removed) for r in linededup.remove(docs).collect()), key=repr) == plain(rows)
