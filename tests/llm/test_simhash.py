@@ -168,3 +168,52 @@ def test_keep_one_similar_searches_fingerprints(spark, monkeypatch):
 
 def test_keep_one_similar_of_nothing(spark):
     assert simhash.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def lost_pairs():
+    """Texts of five and four shingles, four of them common: similarity 0.8, but no common band or 28 different bits."""
+    texts = []
+    for seed in (274, 1379, 1928, 6463, 27434):
+        words = [f"w{seed}x{i}" for i in range(9)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    return texts
+
+
+def test_pipeline_links_pairs_without_band_or_reach(spark):
+    import corpus_pipeline
+
+    texts = lost_pairs()
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    far = [(simhash.majority(a) ^ simhash.majority(b)) & (1 << 64) - 1 for a, b in zip(sets[::2], sets[1::2])]
+    meet = [set(simhash.bands_of(a)) & set(simhash.bands_of(b)) for a, b in zip(sets[::2], sets[1::2])]
+    assert all(x.bit_count() > simhash.REACH or not m for x, m in zip(far, meet)) and max(x.bit_count() for x in far) > simhash.REACH
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one_similar(docs).count() == 10
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_keep_one_similar_complete_equals_all_pairs(spark, monkeypatch):
+    """Copies of many degrees around shingles that most texts share, with few and many of them moved to the end."""
+    rng = random.Random(9)
+    shared = [" ".join(f"s{j}x{i}" for i in range(8)) for j in range(6)]
+    texts = [*lost_pairs(), None, "", " ", "a b", "A  b"]
+    for i in range(60):
+        parts = [f"w{rng.random()}" for _ in range(rng.randint(1, 40))] + rng.sample(shared, rng.randint(1, 3))
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+        for _ in range(rng.randint(0, 2)):
+            words = texts[-1].split()
+            words[rng.randrange(len(words))] = "changed" + str(rng.random())
+            texts.append(" ".join(words[: rng.randint(len(words) - 2, len(words))]))
+    expect = sorted(set(plain_similar(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) != expect
+    monkeypatch.setattr(simhash, "REACH", 0)
+    for rows, often, kept, at_once, few in ((128, 8, 65_536, 1 << 20, 131_072), (2, 2, 5, 50, 0)):
+        for name, value in (("BUCKET_ROWS", rows), ("OFTEN", often), ("OFTEN_KEPT", kept), ("SHINGLES_AT_ONCE", at_once), ("FEW_NODES", few)):
+            monkeypatch.setattr(simhash, name, value)
+        assert sorted(r.doc_id for r in simhash.keep_one_similar(docs, complete=True).collect()) == expect
+
+
+def test_keep_one_similar_complete_of_nothing(spark):
+    assert simhash.keep_one_similar(spark.createDataFrame([], "doc_id long, text string"), complete=True).collect() == []

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import free_name, save
+from tickloom.llm.shared import free_name, release, save
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -261,6 +261,13 @@ BUCKET_ROWS = 128
 #: Bits by which fingerprints of two sets at similarity 0.8 may differ; more with probability 0.000013 at most (4 of 5
 #: shingles common; 0.0000002 for long texts, 9.7 bits on average). Two unrelated ones are as near with probability 0.08.
 REACH = 26
+#: Shingles counted in this many texts come last in each text's order, at most ``OFTEN_KEPT`` of them.
+OFTEN = 8
+OFTEN_KEPT = 65_536
+#: Shingles that a task counts, or hands on, at once.
+SHINGLES_AT_ONCE = 1 << 20
+#: Nodes at most that are broadcast to pick their texts.
+FEW_NODES = 131_072
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -289,6 +296,30 @@ def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(one) + len(two) - both)
 
 
+def repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one of ``sets`` holds, and in how many; long lists are counted in parts."""
+    shingles, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    ends = np.cumsum([len(x) for x in sets]) // SHINGLES_AT_ONCE
+    for part in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(ends)) + 1):
+        if len(part):
+            values, counts = np.unique(np.concatenate([sets[i] for i in part]), return_counts=True)
+            shingles.append(values[counts > 1])
+            times.append(counts[counts > 1])
+    return np.concatenate(shingles), np.concatenate(times)
+
+
+def leading(shingles: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, those in the sorted ``often`` after all others; two sets at ``similarity`` share one.
+
+    A set that held none of them would share less than ``similarity`` of this one.
+    """
+    common = np.zeros(len(shingles), bool)
+    if len(often):
+        common = often[np.minimum(np.searchsorted(often, shingles), len(often) - 1)] == shingles
+    count = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return np.concatenate([shingles[~common], shingles[common]])[:count]
+
+
 def _within_reach(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Pairs i > j of ``fps`` within ``radius`` bits, from one BK-tree of the distinct values."""
     values, at = np.unique(fps.astype("<i8").view("<u8"), return_inverse=True)
@@ -299,28 +330,115 @@ def _within_reach(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     return zip(*np.nonzero(np.tril(near[at][:, at], -1)), strict=True)
 
 
-def similar_groups(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """``(node, root)`` of the texts of ``texts(node, text, fp, bands)`` whose shingle sets are linked at ``similarity``.
+def often_shared(counts: DataFrame) -> np.ndarray:
+    """The sorted shingles of ``counts(often, times)`` with ``OFTEN`` or more; the most frequent ones if too many."""
+    table = save(counts.groupBy("often").agg(F.sum("times").alias("n")).where(F.col("n") >= OFTEN), "often")
+    least, kept = OFTEN, 0
+    for n, values in sorted(table.groupBy("n").count().collect(), reverse=True):
+        kept += values
+        if kept > OFTEN_KEPT:
+            least = n + 1
+            break
+    rows = table.where(F.col("n") >= least).select("often").collect()
+    release(table)
+    return np.sort(np.array([r.often for r in rows], "<i8").view("<u8"))
+
+
+def rest_pairs(heads: DataFrame, groups: DataFrame, often: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """``(src, dst)``: pairs of ``heads(node, text)`` from different ``groups(node, root)``, all those at ``similarity`` among them.
+
+    The shingles that two texts share either lead in both or come after the ``leading`` ones of the text whose leading ones
+    end first, and after the last that leads in both. So what they share leading and the lesser rest bound what they share
+    at all; these bounds and that of the sizes are exact and know no fingerprints or bands. The order of the shingles only decides how many other pairs
+    pass. The rows of a shingle are dealt into pieces of which every two meet.
+    """
+
+    def flat(held: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+        counts = [len(x) for _, _, x in held]
+        token = np.concatenate([x for _, _, x in held]).view("<i8")
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        node, size = (np.repeat(np.array([x[i] for x in held], t), counts) for i, t in ((0, np.int64), (1, np.int32)))
+        return pd.DataFrame({"token": token, "node": node, "size": size, "place": place})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for frame in frames:
+            for node, text in zip(frame["node"], frame["text"], strict=True):
+                shingles = shingle_set(text, width)
+                if len(shingles):
+                    held.append((node, len(shingles), leading(shingles, often, similarity)))
+                    rows += len(held[-1][2])
+                if rows > SHINGLES_AT_ONCE // 4:
+                    yield flat(held)
+                    held, rows = [], 0
+        if held:
+            yield flat(held)
+
+    leads = save(heads.select("node", "text").mapInPandas(run, "token long, node long, size int, place int"), "leads")
+    rooted = leads.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
+    dealt = (
+        rooted.join(mixed.select("token", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("pieces")), "token")
+        .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+        .select("token", "node", "size", "place", "root", "pieces", "piece")
+    )
+    dealt = save(dealt, "dealt")
+    own = ("node", "size", "place", "root")
+    one = dealt.select("token", F.col("piece").alias("low"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("high"), *[F.col(c).alias(f"{c}_1") for c in own])
+    two = dealt.select("token", F.explode(F.sequence(F.lit(0), "piece")).alias("low"), F.col("piece").alias("high"), *[F.col(c).alias(f"{c}_2") for c in own])
+    longer = F.greatest("size_1", "size_2")
+    meet = (
+        ((F.col("low") < F.col("high")) | (F.col("node_1") < F.col("node_2"))) & (F.col("root_1") != F.col("root_2"))
+        & (F.least("size_1", "size_2") >= similarity * longer - 1e-6)
+    )
+    least = similarity / (1 + similarity) * (F.col("size_1") + F.col("size_2")) - 1e-6
+    rests = [F.ceil(similarity * longer - 1e-9), F.col("size_1") - F.col("place_1"), F.col("size_2") - F.col("place_2")]
+    found = one.join(two, ["token", "low", "high"]).where(meet)
+    found = found.select(F.least("node_1", "node_2").alias("src"), F.greatest("node_1", "node_2").alias("dst"), (F.least(*rests) - 1 - least).alias("over"))
+    pairs = save(found.groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("over").alias("over")).where("n + over >= 0").select("src", "dst"), "rest")
+    release(leads)
+    release(dealt)
+    return pairs
+
+
+def _few(nodes: DataFrame) -> DataFrame:
+    """``nodes`` written, to be broadcast if there are few of them."""
+    table = save(nodes, "nodes")
+    return F.broadcast(table) if table.count() <= FEW_NODES else table
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The ``pairs(src, dst)`` of ``texts(node, text)`` whose shingle sets reach ``similarity``; only texts in a pair are shuffled."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(shingle_set(x, width), shingle_set(y, width), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    nodes = _few(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    wanted = texts.select("node", "text").join(nodes, "node", "left_semi")
+    one, two = (wanted.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("src", "dst"))
+    return save(pairs.join(one, "src").join(two, "dst").where(near("src_text", "dst_text")).select("src", "dst"), "similar")
+
+
+def similar_groups(texts: DataFrame, spare: DataFrame, similarity: float, width: int, often: np.ndarray | None = None) -> DataFrame:
+    """``(node, root)`` of the texts of ``texts(node, text, fp, bands)`` but ``spare(node)`` whose shingle sets are linked at ``similarity``.
 
     A bucket of a band is a shard of fingerprints, with its first text as the root of its BK-tree. Children of the root
     within ``REACH`` bits are verified by their sets. Shards that then still hold several groups get whole trees, in
     pieces of which every two meet, and what lies within ``REACH`` bits there is verified unless linked before; so no
-    link between groups of a shard is left out.
+    link between groups of a shard is left out. With ``often`` the pairs that share no band or differ in more bits are
+    found too (``rest_pairs``).
     """
-    buckets = save(texts.select("node", "fp", F.explode("bands").alias("bucket")), "buckets")
+    heads = texts.join(_few(spare), "node", "left_anti")
+    buckets = save(heads.select("node", "fp", F.explode("bands").alias("bucket")), "buckets")
     root = F.min(F.struct("node", "fp"))
     shared = buckets.groupBy("bucket").agg(root.alias("first"), F.count("*").alias("n")).where("n > 1")
     held = save(buckets.join(shared, "bucket"), "shared-buckets")
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in ("src", "dst"))
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(shingle_set(x, width), shingle_set(y, width), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     edge = F.bit_count(F.col("first.fp").bitwiseXOR(F.col("fp")))
     children = held.where((F.col("first.node") != F.col("node")) & (edge <= REACH))
-    pairs = children.select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct()
-    edges = save(pairs.join(one, "src").join(two, "dst").where(near("src_text", "dst_text")).select("src", "dst"), "similar")
+    pairs = save(children.select(F.col("first.node").alias("src"), F.col("node").alias("dst")).distinct(), "children")
+    edges = verified(pairs, texts, similarity, width)
     groups = save(components(edges), "groups")
     rooted = held.join(groups, "node", "left").select("bucket", "node", "fp", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
@@ -344,32 +462,52 @@ def similar_groups(texts: DataFrame, similarity: float, width: int) -> DataFrame
                     label[label == label[j]] = label[i]
         return pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
 
-    more = dealt.join(texts.select("node", "text"), "node").groupBy("bucket", "low", "high").applyInPandas(compare, "src long, dst long")
-    return components(edges.unionByName(more))
+    dealt = save(dealt, "dealt")
+    wanted = texts.select("node", "text").join(_few(dealt.select("node").distinct()), "node", "left_semi")
+    more = dealt.join(wanted, "node").groupBy("bucket", "low", "high").applyInPandas(compare, "src long, dst long")
+    edges = edges.unionByName(more)
+    if often is None:
+        return components(edges)
+    edges = save(edges, "edges")
+    found = save(components(edges), "groups")
+    return components(edges.unionByName(verified(rest_pairs(heads, found, often, similarity, width), texts, similarity, width)))
 
 
 def keep_one_similar(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", complete: bool = False
 ) -> DataFrame:
     """One row of ``docs`` for each group linked by the Jaccard similarity of word shingles; rows as in ``keep_one``.
 
     Fingerprints of the shingle sets are searched by BK-trees in shards. Agreement on some of 64 bits gives no shards for
     pairs as far apart as 0.8, so a text's shards are its MinHash bands (a pair at 0.8 shares none with probability
     0.0004, less above), and ``REACH`` is the radius in them. A pair is linked only if its shingle sets reach
-    ``similarity``. Rows with equal sets are one group.
+    ``similarity``. Rows with equal sets are one group. ``complete`` goes on from there to the pairs that share no band or
+    whose fingerprints differ in more bits, so that every pair at ``similarity`` is linked.
     """
     sign, row = free_name(docs, "sign"), free_name(docs, "row")
 
-    @F.pandas_udf("bands array<long>, same binary, fp long")
+    @F.pandas_udf("bands array<long>, same binary, fp long, often array<long>, times array<long>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in texts]
         same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-        return pd.DataFrame({"bands": [bands_of(x) for x in sets], "same": same, "fp": np.array([majority(x) for x in sets], "int64")})
+        often, times = [None] * len(sets), [None] * len(sets)
+        if sets and complete:
+            # The first row carries the counts of its batch.
+            shingles, counts = repeated(list(dict(zip(same, sets, strict=True)).values()))
+            often[0], times[0] = shingles.view("<i8"), counts
+        return pd.DataFrame(
+            {"bands": [bands_of(x) for x in sets], "same": same, "fp": np.array([majority(x) for x in sets], "int64"), "often": often, "times": times}
+        )
 
     table = save(docs.withColumn(sign, signed(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "documents")
     rows = table.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(f"{sign}.same").alias("same"))
     classes = save(rows.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")), "shingle-classes")
     texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text"), F.col(f"{sign}.fp").alias("fp"), F.col(f"{sign}.bands").alias("bands"))
-    groups = similar_groups(texts.join(classes.select("node"), "node", "left_semi"), similarity, width)
+    often = None
+    if complete:
+        counts = table.select(F.explode(F.arrays_zip(F.col(f"{sign}.often").alias("often"), F.col(f"{sign}.times").alias("times"))).alias("x"))
+        often = often_shared(counts.select("x.often", "x.times"))
+    spare = rows.select(F.col("row").alias("node")).join(classes.select("node"), "node", "left_anti")
+    groups = similar_groups(texts, spare, similarity, width, often)
     kept = classes.join(groups, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least"))
     return table.join(kept.select(F.col("least.row").alias(row)), row, "left_semi").drop(sign, row)
